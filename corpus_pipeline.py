@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import language_id, mixing, packing
+from claimloom.llm import jaccard_join, language_id, mixing, packing
 from claimloom.llm.common import written
 from claimloom.llm.queries import TOKENIZER
 
@@ -23,6 +23,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays.
+
+    Rows without an id stay; rows that repeat an id are one document and stay together.
+    """
+    found = jaccard_join.jaccard_components(docs, width=5, num=80, den=100)
+    go = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in equal shares: documents are repeated or left out by their Poisson draw."""
     return mixing.mix(docs, weights=None, scale=1.0, seed="pipeline").select(*docs.columns)
@@ -35,6 +45,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language id", identify_language),
+    ("near copies", remove_near_copies),
     ("mixing sources", mix_sources),
     ("packing", pack_documents),
 ]
