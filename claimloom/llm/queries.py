@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, token_counts
+from . import jaccard_join, language_id, mixing, packing, suffix_tree, token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +29,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree.score_texts(table(spark, sf_dir, "documents"), train=fold(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(3) == 1
@@ -53,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
