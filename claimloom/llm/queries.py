@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, simhash, suffix_tree, token_counts, topk
+from . import chat, jaccard_join, language_id, mixing, packing, simhash, suffix_tree, token_counts, topk, url_filters
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,6 +22,14 @@ def fold(of: int, key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -30,6 +38,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    made = chat.format_preferences(*chat.swapped_answers(table(spark, sf_dir, "conversations")))
+    return made.withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), str(TOKENIZER), window=2048, end_id=1)
     return pieces.select(
@@ -65,8 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_topk": op2_topk,
     "op3_fingerprints": op3_fingerprints,
+    "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_language_id": op7_language_id,
@@ -86,6 +102,32 @@ ORACLES: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5
     """,
+    "op4_chat": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        answers AS (SELECT conv_id, max(turn) AS stop FROM t WHERE role = 'assistant' GROUP BY conv_id),
+        texts AS (SELECT t.conv_id, max(text) AS answer FROM t JOIN answers a ON t.conv_id = a.conv_id AND t.turn = a.stop WHERE role = 'assistant' GROUP BY t.conv_id),
+        told AS (SELECT t.*, a.stop FROM t LEFT JOIN answers a USING (conv_id) WHERE a.stop IS NULL OR t.turn <= a.stop),
+        sides AS (
+            SELECT 'a' AS side, conv_id, turn, role, text FROM told
+            UNION ALL
+            SELECT 'b', told.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = stop THEN coalesce(x.answer, '') ELSE text END
+            FROM told LEFT JOIN texts x ON x.conv_id = xor(told.conv_id, 1)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS pos FROM sides),
+        common AS (
+            SELECT a.conv_id, coalesce(min(a.pos) FILTER (a.role <> b.role OR a.text <> b.text) - 1, count(*)) AS k
+            FROM placed a JOIN placed b ON a.conv_id = b.conv_id AND a.pos = b.pos WHERE a.side = 'a' AND b.side = 'b' GROUP BY a.conv_id),
+        drawn AS (SELECT p.*, k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM placed p JOIN common USING (conv_id)),
+        ends AS (SELECT *, sum(CASE WHEN pos > k THEN length(shown) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY pos) AS edge FROM drawn),
+        joined AS (
+            SELECT conv_id, side, max(k) AS k,
+                coalesce(string_agg(shown, '' ORDER BY pos) FILTER (pos <= k), '') AS prompt,
+                coalesce(string_agg(shown, '' ORDER BY pos) FILTER (pos > k), '') AS rest,
+                coalesce(string_agg((edge - length(text) - 11)::BIGINT || '-' || (edge - 1)::BIGINT, ',' ORDER BY pos)
+                         FILTER (pos > k AND role = 'assistant'), '') AS mask
+            FROM ends GROUP BY conv_id, side)
+        SELECT a.conv_id AS pair_id, a.k::INTEGER AS common_turns, a.prompt, a.rest AS chosen, b.rest AS rejected, a.mask AS chosen_mask, b.mask AS rejected_mask
+        FROM joined a JOIN joined b USING (conv_id) WHERE a.side = 'a' AND b.side = 'b'
+    """,
     "op8_mixing": """
         WITH sized AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS all_n, count(*) OVER () AS sources FROM documents GROUP BY source),
         rates AS (SELECT source, all_n / (sources * n) AS rate FROM sized),
