@@ -1,21 +1,24 @@
 """Language identification by compression.
 
-For each language a zstandard dictionary of raw content is filled with text of labelled documents. A text is cut
-into blocks; each block is compressed under every dictionary, and the language with the smallest total wins. The
-margin is the gap between the two smallest totals; ``rejected`` marks texts without a letter and those whose margin
-is narrow.
+For each language a zstandard dictionary of raw content is filled with text of labelled documents. A text's words
+(lower case, letters only, single spaces) are cut into blocks; each block is compressed under every dictionary, and
+the language with the smallest total wins. Short texts are compressed at a level that finds short matches. The
+margin is the gap between the two smallest totals; ``rejected`` marks texts without a letter and those whose margin is
+narrow: fewer whole bytes than the share ``narrow`` of the second total, so that a short text needs no margin.
 
 The dictionaries are the only thing that is fitted, on a bounded sample: ``dictionary_bytes`` of text per language
 from about ``sample_docs`` labelled documents, chosen by a hash of their ids. They are sent to every task: a few
 languages times ``dictionary_bytes``. Every text is judged whole.
 
-Null texts and texts without a letter are ``und`` with score 0. Ties go to the smaller label. With no labelled
+Null texts and texts without a letter are ``und`` with score 0. Ties go to the language with more labelled documents,
+then to the smaller label. With no labelled
 document every text is ``und``. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def sample_texts(
@@ -39,31 +43,38 @@ def sample_texts(
     if not counts:
         return {}
     # uniform hash below a bound: about 2 * sample_docs rows of each language, whatever the table's size
-    share = lambda n: min(1.0, 2 * sample_docs / n)
-    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int((2 * share(n) - 1) * (2**63 - 1)))))[F.col("lang")]
+    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * sample_docs / n - 1)))[F.col("lang")]
     found: dict[str, list] = {}
-    for r in labelled.where(F.col("h") <= bound).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text")).collect():
+    for r in labelled.where(F.col("h") / F.lit(2.0**63) <= bound).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text")).collect():
         found.setdefault(r.lang, []).append((r.h, r.text))
-    return {lang: b"\n".join(t.encode("utf-8") for _, t in sorted(texts)[:sample_docs])[:dictionary_bytes] for lang, texts in sorted(found.items())}
+    order = sorted(found, key=lambda lang: (-counts[lang], lang))
+    return {lang: b"".join(words_of(t) for _, t in sorted(found[lang])[:sample_docs])[:dictionary_bytes] for lang in order}
+
+
+def words_of(text: str) -> bytes:
+    """Lower-case words of letters, each between single spaces."""
+    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
 
 class Judge:
     """Compressed sizes of a text under each language's dictionary."""
 
-    def __init__(self, content: dict[str, bytes], level: int, block: int):
-        self.block = block
-        self.each = []
-        for raw in content.values():
-            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
-            self.each.append(
-                zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            )
+    def __init__(self, content: dict[str, bytes], level: int, block: int, short: int = 1024, short_level: int = 19):
+        self.block, self.short = block, short
+        self.long_text, self.short_text = ([self._compressor(raw, x) for raw in content.values()] for x in (level, short_level))
+
+    @staticmethod
+    def _compressor(raw: bytes, level: int):
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "replace")
+        raw = words_of(text)
+        if len(raw) <= self.short:
+            return [len(compress(raw)) for compress in self.short_text]
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
-        return [sum(len(compress(b)) for b in blocks) for compress in self.each]
+        return [sum(len(compress(b)) for b in blocks) for compress in self.long_text]
 
 
 _judges: dict[int, tuple[list[str], Judge]] = {}
@@ -76,7 +87,7 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(content)
     key = zlib.crc32(repr((content, level, block)).encode())
 
-    @F.pandas_udf("best string, score double, margin double")
+    @F.pandas_udf("best string, score double, margin double, clear boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
         if key not in _judges:
             _judges.clear()
@@ -85,15 +96,16 @@ def identify(
         rows = []
         for text in texts:
             if text is None or not names:
-                rows.append((UNKNOWN, 0.0, 0.0))
+                rows.append((UNKNOWN, 0.0, 0.0, False))
                 continue
             sizes = held.sizes(text)
-            order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
+            order = sorted(range(len(names)), key=lambda i: (sizes[i], i))
             low = sizes[order[0]]
-            margin = (sizes[order[1]] - low) / max(1, sizes[order[1]]) if len(order) > 1 else 1.0
+            second = sizes[order[1]] if len(order) > 1 else 2 * low
             # each byte of gap counts as a bit of evidence
-            rows.append((names[order[0]], 1 / sum(math.exp(-0.7 * min(900, s - low)) for s in sizes), margin))
-        return pd.DataFrame(rows, columns=["best", "score", "margin"])
+            score = 1 / sum(math.exp(-0.7 * min(900, s - low)) for s in sizes)
+            rows.append((names[order[0]], score, (second - low) / max(1, second), second - low >= int(narrow * second)))
+        return pd.DataFrame(rows, columns=["best", "score", "margin", "clear"])
 
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return (
@@ -101,6 +113,6 @@ def identify(
         .withColumn("lang_pred", F.col("_judged.best"))
         .withColumn("score", F.col("_judged.score"))
         .withColumn("margin", F.col("_judged.margin"))
-        .withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < narrow))
+        .withColumn("rejected", ~F.col("_judged.clear"))
         .drop("_judged")
     )
