@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 #: The claims of the events, as SQL: ``claims`` has the value's fields as columns.
 CLAIMS_SQL = f"""
-    raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_ms(ts) AS ms FROM events),
+    raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS ms FROM events),
     claims AS (
         SELECT 'ev-' || lpad(event_id::VARCHAR, 10, '0') AS id, 'user:' || user_id AS subject, 'event.' || event_type AS key,
             CASE WHEN k % 2 = 0 THEN 'user-' || user_id END AS entity, value AS amount, k, k % 4 AS v,
@@ -132,7 +132,7 @@ def _decayed(policy):
 
 
 register("decay_exponential", f"SELECT id, round(point * pow(0.5, {AGE} / 7), 6) AS effective FROM claims")(_decayed(temporal.exponential(7)))
-register("decay_linear", f"SELECT id, round(point * greatest(0, 1 - 0.1::DOUBLE * {AGE}), 6) AS effective FROM claims")(_decayed(temporal.linear(0.1)))
+register("decay_linear", f"SELECT id, round(point * greatest(0, 1 - 0.125::DOUBLE * {AGE}), 6) AS effective FROM claims")(_decayed(temporal.linear(0.125)))
 register("decay_step", f"SELECT id, round(point * CASE WHEN {AGE} >= 5 THEN 0 ELSE 1 END, 6) AS effective FROM claims")(_decayed(temporal.step(5)))
 
 
@@ -462,7 +462,7 @@ def binary_rate_wilson(spark, d):
 def _reweighted(make, core=None):
     def run(spark, d):
         claims = events_claims(spark, d)
-        aggregates = A.group_by(claims, "subject", core or A.binary_rate("value.won"))
+        aggregates = A.group_by(claims, "subject", core() if core else A.binary_rate("value.won"))
         scored = claims.withColumn("score", P.value_eq("v", 2).cast("double") + 0.5)
         return A.join_aggregate(scored, aggregates, "subject", make(aggregates)).select("id", r6("score").alias("score"))
 
@@ -473,9 +473,9 @@ SCORED_SQL = "(CASE WHEN v = 2 THEN 1 ELSE 0 END + 0.5)"
 COUNTS_SQL = ", b AS (SELECT subject, count(*) AS n FROM claims GROUP BY subject)"
 register("join_aggregate_wilson", f"{RATES_SQL} SELECT id, round({SCORED_SQL} * {WILSON}, 6) AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.wilson_floor))
 register("reweight_mean", f"{RATES_SQL} SELECT id, round({SCORED_SQL} * (h + 1) / (n + 2), 6) AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.multiply_mean))
-register("reweight_multiply", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} * n, 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.multiply, A.count()))
-register("reweight_normalize", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} * n / (SELECT max(n) FROM b), 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(A.normalize, A.count()))
-register("reweight_boost", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} + n * 0.1, 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.boost(0.1), A.count()))
+register("reweight_multiply", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} * n, 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.multiply, A.count))
+register("reweight_normalize", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} * n / (SELECT max(n) FROM b), 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(A.normalize, A.count))
+register("reweight_boost", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} + n * 0.1, 6)::DOUBLE AS score FROM claims JOIN b USING (subject)")(_reweighted(lambda _: A.boost(0.1), A.count))
 
 
 # composition

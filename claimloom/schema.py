@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions import values as V
 from .functions.confidence import point
@@ -24,7 +23,12 @@ CLAIM_COLUMNS = {
     "raw": "double", "effective": "double", "valid_from": "bigint", "valid_to": "bigint", "recorded": "bigint", "recorded_seq": "bigint",
     "status": "string", "source": "string", "run_id": "string", "evidence": EVIDENCE, "tags": "array<string>", "ord": ORDER,
 }
-CLAIM_SCHEMA = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in CLAIM_COLUMNS.items()))
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in columns.items())
+
+
 STATUSES = ("candidate", "provisional", "validated", "deprecated")
 TRIPLE = ("subject", "key", "scope_hash")
 DAY_MS = 86_400_000
