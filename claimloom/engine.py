@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import chain, writing
 from .operators.contradiction import check_cardinality
+from .operators.graph import settled
 from .plans import ast, census, derive, dsl, read
 from .schema import CLAIM_COLUMNS
 from .sources.store import ClaimStore, UnknownCorpus, query_plan
@@ -72,8 +73,8 @@ class Engine:
         rows = batch.withColumn("corpus_id", F.lit(corpus_id)).withColumn("writer", F.lit(writer)).withColumn("recorded", F.lit(now)).withColumn("recorded_seq", F.col("recorded_seq") + base + 1)
         rows = rows.withColumn("ord", F.struct(F.lit(0).alias("stage"), F.col("recorded_seq").alias("seq"), F.col("id").alias("tie"))).cache()
         existing = store.claims()
-        told = writing.commit_batch(rows, existing, definition["policy"], definition["rule"], store.idempotency(), now).cache()
-        told.count()
+        # written, not cached: what follows changes the tables that the decisions were read from
+        told = settled(writing.commit_batch(rows, existing, definition["policy"], definition["rule"], store.idempotency(), now), "told")
         accepted = rows.join(told.where("outcome = 'committed'").select("id"), "id", "left_semi")
         store.insert(accepted.select(*CLAIM_COLUMNS))
         gone = told.where("deprecated_id is not null").select(F.lit(corpus_id).alias("corpus_id"), F.col("deprecated_id").alias("id"), F.lit("deprecated").alias("to"))
@@ -89,7 +90,7 @@ class Engine:
         return told
 
     def promote(self, corpus_id: str, requests: DataFrame) -> DataFrame:
-        told = writing.promote(self.claims(corpus_id), requests).cache()
+        told = settled(writing.promote(self.claims(corpus_id), requests), "told")
         changes = told.where("outcome = 'promoted'").select(F.lit(corpus_id).alias("corpus_id"), "id", "to")
         self.store.scoped(corpus_id).set_status(changes, self.clock())
         return told

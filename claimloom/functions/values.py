@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_PATH = re.compile(r"[^.\[\]]+(\[\d+\])*(\.[^.\[\]]+(\[\d+\])*)*")
 _STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
 
 
@@ -69,9 +70,9 @@ def value_text(value_json: Column) -> Column:
 
 def variant_path(path: str) -> str:
     """``a.b[0].c`` as a JSON path."""
-    steps = _STEP.findall(path)
-    if not steps or "".join(n or f"[{i}]" for n, i in steps) != path.replace(".", ""):
+    if not _PATH.fullmatch(path):
         raise ValueError(f"not a path: {path!r}")
+    steps = _STEP.findall(path)
     return "$" + "".join(f"['{n}']" if n else f"[{i}]" for n, i in steps)
 
 
