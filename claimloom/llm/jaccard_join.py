@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, written
 from .texthash import _SALT, U, chunks, mix, shingle_sets
+from .worker import release, slices
 
 REGION = 0.3
 FREQUENT = 1 << 18
@@ -102,8 +103,9 @@ def _digests(width: int):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         often = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        for batch in batches:
+        for batch in slices(batches):
             for ids, sets in _rows(batch, width):
                 n = [len(s) for s in sets]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -112,19 +114,24 @@ def _digests(width: int):
                 yield _batch(schema, np.zeros(len(n), np.int32), ids, n, (a[edge[1:]] - a[edge[:-1]]).view(np.int64), (b[edge[1:]] - b[edge[:-1]]).view(np.int64))
                 seen, count = np.unique(flat[flat < _LIMIT], return_counts=True)
                 often = [np.concatenate((often[0], seen)), np.concatenate((often[1], count))]
-                if len(often[0]) > 4_000_000:
+                if len(often[0]) > 1_000_000:
                     often = _summed(*often)
         seen, count = _summed(*often)
         keep = count >= max(8, int(count.sum()) >> 14)
         k = int(keep.sum())
         yield _batch(schema, np.ones(k, np.int32), pa.nulls(k, pa.int64()), count[keep], seen[keep].view(np.int64), np.zeros(k, np.int64))
+        release()
 
     return digests, "kind int, doc_id long, n long, a long, b long"
 
 
 def _summed(items: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    out, where = np.unique(items, return_inverse=True)
-    return [out, np.bincount(where, counts, len(out)).astype(np.int64)]
+    if not len(items):
+        return [items, counts]
+    order = np.argsort(items)
+    items = items[order]
+    first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+    return [items[first], np.add.reduceat(counts[order], first)]
 
 
 REGION_ENTRY, LISTED, SUBSET = 0, 1, 2
@@ -137,8 +144,9 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
     heavy_from = -(-num * (light + 1) // den)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         frequent = shared_frequent.value
-        for batch in batches:
+        for batch in slices(batches):
             for ids, sets in _rows(batch, width):
                 out: dict[int, list] = {REGION_ENTRY: [], LISTED: [], SUBSET: []}
                 for doc, items in zip(ids, sets):
@@ -315,6 +323,8 @@ def _verify(num: int, den: int):
                 rows.append(row)
         if len(rows) > 1:
             yield settle(rows, key[1] != key[2])
+        rows.clear()
+        release()
 
     return verify, "doc long, root long, links long"
 
@@ -323,7 +333,7 @@ def _sets(width: int):
     schema = pa.schema([("doc", pa.int64()), ("items", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for ids, sets in _rows(batch, width):
                 yield _batch(schema, ids, [s.tobytes() for s in sets])
 

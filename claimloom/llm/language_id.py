@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .worker import kept
+
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -61,13 +63,15 @@ class Judge:
 
     def __init__(self, content: dict[str, bytes], level: int, block: int, short: int = 1024, short_level: int = 19):
         self.block, self.short = block, short
-        self.long_text, self.short_text = ([self._compressor(raw, x) for raw in content.values()] for x in (level, short_level))
+        self.long_text, self.short_text = ([self._compressor(raw, *x) for raw in content.values()] for x in ((level, block), (short_level, short)))
 
     @staticmethod
-    def _compressor(raw: bytes, level: int):
+    def _compressor(raw: bytes, level: int, most: int):
+        """Tables sized for the dictionary and one block, not for the level's usual window."""
         held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        sized = zstandard.ZstdCompressionParameters.from_level(level, source_size=most, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        held.precompute_compress(compression_params=sized)
+        return zstandard.ZstdCompressor(dict_data=held, compression_params=sized).compress
 
     def sizes(self, text: str) -> list[int]:
         raw = words_of(text)
@@ -77,9 +81,6 @@ class Judge:
         return [sum(len(compress(b)) for b in blocks) for compress in self.long_text]
 
 
-_judges: dict[int, tuple[list[str], Judge]] = {}
-
-
 def identify(
     docs: DataFrame, content: dict[str, bytes], text_col: str = "text", level: int = 3, block: int = 8192, narrow: float = 0.002
 ) -> DataFrame:
@@ -89,10 +90,7 @@ def identify(
 
     @F.pandas_udf("best string, score double, margin double, clear boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        if key not in _judges:
-            _judges.clear()
-            _judges[key] = (list(shared.value), Judge(shared.value, level, block))
-        names, held = _judges[key]
+        names, held = list(shared.value), kept(("language", key), lambda: Judge(shared.value, level, block))
         rows = []
         for text in texts:
             if text is None or not names:
@@ -107,6 +105,7 @@ def identify(
             rows.append((names[order[0]], score, (second - low) / max(1, second), second - low >= int(narrow * second)))
         return pd.DataFrame(rows, columns=["best", "score", "margin", "clear"])
 
+    judge = judge.asNondeterministic()  # else a filter on its result has it run twice
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return (
         docs.withColumn("_judged", judge(F.when(has_letter, F.col(text_col))))

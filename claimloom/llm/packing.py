@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .token_counts import byte_letters
 from .wordsplit import WordSplitter
+from .worker import kept, slices
 
 #: The splitting rules for which words can be encoded one by one.
 WORD_RULES = {
@@ -66,9 +67,6 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one, written: part, doc_id, n (tokens with the end), local_start and ids (binary) of each document."""
     text = Path(tokenizer_path).read_text(encoding="utf-8")
@@ -76,20 +74,16 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
     key, end = zlib.crc32(text.encode()), np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(spec.value)
-        encoder, part, at = _encoders[key], TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for small in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = [encoder(t) + end for t in small.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int64)), small.column(0), pa.array(n), pa.array(start), pa.array(ids, pa.binary())],
-                    ["part", "doc_id", "n", "local_start", "ids"],
-                )
+        encoder, part, at = kept(("encode", key), lambda: Encoder(spec.value)), TaskContext.get().partitionId(), 0
+        for batch in slices(batches):
+            ids = [encoder(t) + end for t in batch.column(1).to_pylist()]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            start = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, np.int64)), batch.column(0), pa.array(n), pa.array(start), pa.array(ids, pa.binary())],
+                ["part", "doc_id", "n", "local_start", "ids"],
+            )
 
     return written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

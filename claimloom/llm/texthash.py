@@ -38,7 +38,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as lower-cased UTF-8, in runs of about ``limit`` bytes; with each run its first position."""
     run: list[bytes] = []
     first = size = 0

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wordsplit import WordSplitter
+from .worker import kept
 
 
 def read_rules(path: str) -> dict:
@@ -103,9 +104,6 @@ class MergeCounter:
         return len(parts) - 1 + sum(self.split.normalised(p) for p in parts if p)
 
 
-_counters: dict[int, MergeCounter] = {}
-
-
 def token_counter(spark, tokenizer_path: str) -> Callable[[Column], Column]:
     """A function from a text column to its token count."""
     rules = spark.sparkContext.broadcast(read_rules(tokenizer_path))
@@ -113,10 +111,7 @@ def token_counter(spark, tokenizer_path: str) -> Callable[[Column], Column]:
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = MergeCounter(rules.value)
-        return texts.map(_counters[key].count).astype("int64")
+        return texts.map(kept(("count", key), lambda: MergeCounter(rules.value)).count).astype("int64")
 
     return lambda text: tokens(F.coalesce(text, F.lit("")))
 
