@@ -12,7 +12,7 @@ The work is queries x vectors by definition of the search; memory is that of two
 
 Components are scaled and floored to integers. Vectors that are null, or hold null or non-finite components, take
 no part. Shorter vectors are padded with zeros. Ties go to the smaller id; a candidate with the query's own id is
-skipped; of repeated rows of one id each counts by itself. With fewer than k candidates all are returned; an empty table gives
+skipped; rows that repeat id and vector are one query, but each a candidate. With fewer than k candidates all are returned; an empty table gives
 none. Sums beyond 2^53 are added as whole numbers of any size and held to the range of a long.
 """
 
@@ -106,7 +106,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     query_blocks, vector_blocks = max(1, ceil(size.q / QUERY_BLOCK)), max(1, ceil(size.n / VECTOR_BLOCK))
     block = lambda of: F.pmod(F.xxhash64("id", "v"), F.lit(of)).cast("int")
     dealt = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    queries = usable.where("q").select("id", "v", block(query_blocks).alias("qb")).withColumn("vb", dealt(vector_blocks))
+    queries = usable.where("q").select("id", "v").distinct().select("id", "v", block(query_blocks).alias("qb")).withColumn("vb", dealt(vector_blocks))
     others = usable.select("id", "v", block(vector_blocks).alias("vb")).withColumn("qb", dealt(query_blocks))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
