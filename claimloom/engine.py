@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import chain, writing
 from .operators.contradiction import check_cardinality
 from .operators.graph import settled
+from .operators.staging import Staging
 from .plans import ast, census, derive, dsl, read
 from .schema import CLAIM_COLUMNS
 from .sources.store import ClaimStore, UnknownCorpus, query_plan
@@ -29,8 +30,9 @@ class UndeclaredScope(ValueError):
 class Engine:
     """One store; the clock is injected, in milliseconds."""
 
-    def __init__(self, store: ClaimStore, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
-        self.store, self.clock = store, clock
+    def __init__(self, store: ClaimStore, clock: Callable[[], int] = lambda: int(time.time() * 1000), log_path: str | None = None):
+        self.log_path = log_path
+        self.store, self.clock, self.staging = store, clock, Staging()
 
     # corpora
 
@@ -95,6 +97,22 @@ class Engine:
         self.store.scoped(corpus_id).set_status(changes, self.clock())
         return told
 
+    def supersede(self, corpus_id: str, old: str, replacement: DataFrame) -> DataFrame:
+        """Write a replacement and deprecate what it replaces, where that is there."""
+        told = self.commit_batch(corpus_id, replacement, "supersede")
+        gone = self.claims(corpus_id).where(F.col("id") == old).select(F.lit(corpus_id).alias("corpus_id"), "id", F.lit("deprecated").alias("to"))
+        self.store.scoped(corpus_id).set_status(settled(gone, "gone"), self.clock())
+        return told
+
+    def promote_staged(self, corpus_id: str, name: str) -> DataFrame:
+        return self.commit_batch(corpus_id, self.staging.take(name), "staging")
+
+    def commit_derived(self, expression: ast.Node, writer: str = "derive") -> tuple[DataFrame, derive.Derivation]:
+        """Derive a claim and write it, with its inputs as evidence; the provenance replays it."""
+        row, made = self.derive(expression)
+        refs = F.array(*(F.expr(f"named_struct('kind','claim','claim_id','{i}','document_id',cast(null as string),'offset_start',cast(null as bigint),'offset_end',cast(null as bigint),'method','derive','uri',cast(null as string),'content_hash','{h}')") for i, h in zip(made.inputs, made.input_hashes)))
+        return self.commit_batch(made.corpus, row.withColumn("evidence", refs).withColumn("recorded_seq", F.lit(0).cast("bigint")), writer), made
+
     # reading
 
     def query(self, expression: ast.Node) -> DataFrame:
@@ -121,7 +139,10 @@ class Engine:
         except UnknownCorpus:
             return None
         as_of = read.parse_as_of(options.pop("as_of", None))
-        return read.recall(self.claims(corpus_id), query, self.clock() if as_of is None else as_of, cardinality=options.pop("cardinality", cardinality), **options)
+        out = read.recall(self.claims(corpus_id), query, self.clock() if as_of is None else as_of, cardinality=options.pop("cardinality", cardinality), **options)
+        if self.log_path:
+            self.store.spark.createDataFrame([(self.clock(), corpus_id, query, out.top_score, out.abstained)], "at bigint, corpus_id string, query string, top_score double, abstained boolean").write.mode("append").json(self.log_path)
+        return out
 
     def explain(self, corpus_id: str, query: str, **options) -> DataFrame:
         return read.explain(self.claims(corpus_id), query, self.clock(), cardinality=self.store.corpus(corpus_id)["cardinality"], **options)

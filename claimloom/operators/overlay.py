@@ -87,3 +87,28 @@ def admit_insights(insights: DataFrame, selection: DataFrame) -> DataFrame:
     told = cited.groupBy("id").agg(F.count("*").alias("cited"), F.count("known").alias("known"))
     ok = (F.coalesce(F.col("cited"), F.lit(0)) > 0) & (F.col("cited") == F.col("known")) & F.col("key").rlike(f"^{KEY_GRAMMAR.pattern}$")
     return insights.join(told, "id", "left").select(*insights.columns, F.coalesce(ok, F.lit(False)).alias("admitted"), F.lit(DREAM_PRIOR[0]).alias("alpha"), F.lit(DREAM_PRIOR[1]).alias("beta"))
+
+
+def apply_plan(claims: DataFrame, plan: DataFrame, now: int) -> DataFrame:
+    """The claims after a consolidation plan: statuses changed and derived claims appended behind the rest."""
+    from ..schema import order_of
+    from .writing import with_status
+
+    changed = with_status(claims, plan.where("op = 'promote'").select(F.col("target").alias("id"), "to"))
+    derived = claims.join(plan.where("op = 'derive'").select(F.col("target").alias("id"), "to", F.col("alpha").alias("_a"), F.col("beta").alias("_b")), "id")
+    new = derived.withColumns({
+        "id": F.concat(F.lit("fold-"), F.substring(F.sha2("id", 256), 1, 24)), "status": F.col("to"), "alpha": F.col("_a"), "beta": F.col("_b"),
+        "raw": F.coalesce(F.col("_a") / (F.col("_a") + F.col("_b")), F.col("p")), "source": F.lit("workflow"), "recorded": F.lit(now).cast("bigint"),
+        "ord": order_of(9, F.col("recorded_seq"), F.col("id")),
+    })
+    return changed.unionByName(new.select(*claims.columns))
+
+
+def plan_counts(claims: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: applied, skipped (nothing to change) and rejected (unknown targets)."""
+    rows = plan.where("op = 'promote'").join(claims.select(F.col("id").alias("target"), "status"), "target", "left")
+    return rows.agg(
+        F.count_if(F.col("status").isNotNull() & (F.col("status") != F.col("to"))).alias("applied"),
+        F.count_if(F.col("status") == F.col("to")).alias("skipped"),
+        F.count_if(F.col("status").isNull()).alias("rejected"),
+    )

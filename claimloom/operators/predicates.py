@@ -159,7 +159,21 @@ def value_matches(pattern) -> Column:
 
 
 #: What a storage level would have to support; here all of it runs natively.
-VALUE_PREDICATES = ("valueEq", "valueGt", "valueIn", "valueExists", "valueRegex", "valueMatches", "valueNull")
+VALUE_PREDICATES = ("valueEq", "valueGt", "valueIn", "valueExists", "valueRegex", "valueMatches", "valueNull", "valueGe", "valueLt", "valueLe")
+
+
+class UnsupportedPredicate(ValueError):
+    """A value predicate that a store cannot evaluate."""
+
+
+def route_value_predicates(p: dict, supported: tuple[str, ...] = VALUE_PREDICATES) -> set[str]:
+    """The value predicates in a JSON predicate; raises on one that is not supported."""
+    if p["op"] in ("and", "or", "not"):
+        return set().union(*(route_value_predicates(x, supported) for x in p["parts"]))
+    used = {p["op"]} if p["op"].startswith("value") else set()
+    if used - set(supported):
+        raise UnsupportedPredicate(p["op"])
+    return used
 
 
 def typecheck(path: str, fields: dict, op: str) -> str:

@@ -11,7 +11,7 @@ from .operators import chain, overlay, ranking, temporal, writing
 from .operators import predicates as P
 from .plans import ast, census, dsl, read
 from .queries import AGE, KNOWN, TOKENS_SQL, r6, register
-from .sources import views
+from .sources import records, store, views
 from .sources.views import CLOCK, events_beliefs, events_claims
 
 MERGED_SQL = """,
@@ -384,3 +384,54 @@ def pushdown_differential(spark, d):
     hints = ast.pushed_hints(p)
     hinted = claims.where(P.and_(P.subject_eq(hints["subject"]), P.key_in(hints["keys"]))).where(ast.predicate(p))
     return claims.where(ast.predicate(p)).select("id").unionByName(hinted.select("id")).distinct()
+
+
+# sources and stores
+
+
+@register("read_plan", "SELECT id FROM claims WHERE subject = 'user:4' AND key IN ('event.view', 'event.click') AND recorded <= 1705000000000 AND status IN ('validated')")
+def read_plan(spark, d):
+    plan = store.query_plan(subject="user:4", keys=["event.view", "event.click"], recorded_at_most=CLOCK, statuses=["validated"], run_ids=[])
+    return events_beliefs(spark, d).where(plan).select("id")
+
+
+@register("read_by_ids", "SELECT * FROM (VALUES ('ev-0000000007', 0), ('ev-0000000003', 2)) t(id, position)", claims=False)
+def read_by_ids(spark, d):
+    return read.read_by_ids(events_beliefs(spark, d), ["ev-0000000007", "nobody", "ev-0000000003"]).select("id", "position")
+
+
+def _lines(spark, d, text) -> DataFrame:
+    events = views.read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    bad = F.when(F.col("event_id") % 10 == 0, "not json").when(F.col("event_id") % 10 == 1, "  ").otherwise(text)
+    return records.parse_lines(events.select(bad.alias("value")))
+
+
+GOOD = "event_id % 10 > 1"
+
+
+@register("import_jsonl", f"SELECT 'u' || user_id AS subject, event_type AS key, count(*) AS n, round(sum((k % 10) / 10.0::DOUBLE), 6) AS p FROM (SELECT DISTINCT user_id, event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE {GOOD}) GROUP BY ALL", claims=False)
+def import_jsonl(spark, d):
+    record = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("subject"), F.col("event_type").alias("key"), F.col("event_id").alias("value"), ((F.col("k") % 10) / 10.0).alias("confidence")))
+    claims = records.map_records(_lines(spark, d, record), "jsonl")
+    return claims.groupBy("subject", "key").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("p"))
+
+
+@register("import_edges", f"SELECT 'u' || user_id AS subject, event_id AS n, least(1, greatest(0, (k - 50) / 20.0::DOUBLE)) AS p FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE {GOOD}", claims=False)
+def import_edges(spark, d):
+    record = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("start"), F.col("event_type").alias("rel"), F.col("event_id").alias("end"), ((F.col("k") - 50) / 20.0).alias("weight")))
+    return records.map_records(_lines(spark, d, record), "conceptnet").select("subject", F.col("value_json").cast("bigint").alias("n"), "p")
+
+
+@register("import_summary", "SELECT count(*) FILTER (event_id % 10 <> 1) AS total, count(*) FILTER (event_id % 10 > 1) AS well_formed, count(*) FILTER (event_id % 10 = 0) AS skipped FROM events", claims=False)
+def import_summary(spark, d):
+    return records.import_summary(_lines(spark, d, F.to_json(F.struct("event_id"))))
+
+
+@register("consolidated_statuses", f"""
+    , act AS (SELECT *, count(*) OVER (PARTITION BY subject, key, v) AS members FROM claims WHERE status <> 'deprecated'),
+    t AS (SELECT id, members, {TIER.format('(' + BOUND.format(a='alpha', b='beta') + ')')} AS tier FROM act)
+    SELECT c.id, CASE WHEN members >= 3 THEN 'deprecated' WHEN list_position(['candidate', 'provisional', 'validated'], tier) > list_position(['candidate', 'provisional', 'validated'], status) THEN tier ELSE status END AS status
+    FROM claims c LEFT JOIN t USING (id)""")
+def consolidated_statuses(spark, d):
+    claims = events_beliefs(spark, d)
+    return overlay.apply_plan(claims, overlay.plan_consolidation(claims), CLOCK).where("id like 'ev-%'").select("id", "status")

@@ -12,7 +12,12 @@ MAPPERS = ("jsonl", "conceptnet", "icews")
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows (line, value VARIANT or null, malformed); blank lines are left out. One narrow pass, split by file blocks."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parse_lines(spark.read.text(path))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """The same for lines at hand, in the column ``value``."""
+    lines = lines.where(F.trim("value") != "")
     parsed = F.try_parse_json("value")
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     return lines.select(F.col("value").alias("line"), parsed.alias("record"), (~is_object).alias("malformed"))

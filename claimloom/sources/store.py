@@ -1,7 +1,7 @@
 """Claims kept as Parquet, partitioned by corpus: append-only rows and status changes, folded on reading.
 
-A commit is one append per table. ``plan`` filters reach the scan: corpus_id prunes partitions, the other conditions
-are pushed to the row groups.
+A commit is one append per table. A bound corpus prunes partitions; a read plan filters the current view, since a later row
+or a status change decides what an id looks like now.
 """
 
 from __future__ import annotations
@@ -76,10 +76,10 @@ class ClaimStore:
     def claims(self, plan: Column | None = None) -> DataFrame:
         """The current view: the last row of each id with its status changes, filtered by ``plan``."""
         rows = self._read("claims")
-        rows = rows if plan is None else rows.where(plan)
         last = F.row_number().over(Window.partitionBy("corpus_id", "id").orderBy(F.desc("recorded_seq"), F.desc("recorded")))
         rows = rows.withColumn("_r", last).where("_r = 1").drop("_r")
-        return with_status(rows, self._read("status").select("id", "to")).select(*CLAIM_COLUMNS)
+        rows = with_status(rows, self._read("status").select("id", "to")).select(*CLAIM_COLUMNS)
+        return rows if plan is None else rows.where(plan)
 
     def events(self, claim_id: str | None = None, since: int | None = None) -> DataFrame:
         rows = self._read("events")

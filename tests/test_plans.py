@@ -168,6 +168,9 @@ def test_overlay(spark):
     assert got["a"] == (10.0, 1.0) and got["b"] == (pytest.approx(2.8), pytest.approx(2.2))
     plan = overlay.plan_consolidation(claims(spark, [{"value": 1}] * 3 + [{"value": 2, "status": "candidate", "alpha": 90, "beta": 1}])).collect()
     assert sorted((r.op, r.target, r.to) for r in plan) == [("derive", "c000", "validated"), ("promote", "c000", "deprecated"), ("promote", "c001", "deprecated"), ("promote", "c002", "deprecated"), ("promote", "c003", "validated")]
+    many = claims(spark, [{"value": 1}] * 3 + [{"value": 2, "status": "candidate", "alpha": 90, "beta": 1}])
+    after = overlay.apply_plan(many, overlay.plan_consolidation(many), 5)
+    assert after.count() == 5 and after.where("status = 'deprecated'").count() == 3 and overlay.plan_counts(many, overlay.plan_consolidation(many)).first().applied == 4
     insight = spark.createDataFrame([("i", "a.b", ["a"]), ("j", "a.b", ["zz"]), ("k", "Bad", ["a"])], "id string, key string, cites array<string>")
     assert {r.id: r.admitted for r in overlay.admit_insights(insight, rows).collect()} == {"i": True, "j": False, "k": False}
 
@@ -204,6 +207,34 @@ def test_engine_round_trip(spark, tmp_path):
     assert engine.list_corpora() == []
 
 
+def test_ingest_staging_and_embeddings(spark, tmp_path):
+    import numpy as np
+
+    from claimloom.functions.embedding import Embedder, embedder, register_embedder, warm, with_embeddings
+    from claimloom.operators.predicates import UnsupportedPredicate, route_value_predicates
+    from claimloom.plans.ingest import ingest
+
+    engine = Engine(ClaimStore(spark, str(tmp_path / "db")), lambda: 1_000, log_path=str(tmp_path / "log"))
+    engine.create_corpus("c")
+    engine.staging.emit("first", claims(spark, [{"id": "a", "subject": "Red Apple", "value": "sweet"}]))
+    assert engine.staging.list() == ["first"] and engine.promote_staged("c", "first").first().outcome == "committed" and not engine.staging.discard("first")
+    done = ingest(engine, "c", spark.range(1), lambda _: claims(spark, [{"id": "b", "subject": "red-apple", "value": "sour", "key": "k.b"}, {"id": "d", "subject": "moon", "value": "far"}]))
+    assert {r.id: r.subject for r in engine.claims("c").collect()} == {"a": "Red Apple", "b": "Red Apple", "d": "moon"} and done.outcomes.count() == 2
+    engine.supersede("c", "a", claims(spark, [{"id": "e", "subject": "Red Apple", "value": "bitter"}]))
+    assert engine.claims("c", statuses=["deprecated"]).first().id == "a"
+    _, made = engine.commit_derived(ast.pipe("c", ("sigma", {"predicate": {"op": "subjectEq", "value": "moon"}}), ("synthesize", {"subject": "moon", "key": "k.s", "rule": "weighted_avg"})))
+    assert made.inputs == ["d"] and engine.claims("c", key="k.s").first().evidence[0].claim_id == "d"
+    engine.recall("c", "moon")
+    assert spark.read.json(str(tmp_path / "log")).first().query == "moon"
+    letters = Embedder("letters", "1", 2, lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    register_embedder(letters)
+    assert embedder("letters") is letters
+    rows = with_embeddings(claims(spark, [{"value": "ab"}, {"value": "ab"}, {"value": "abc"}]), warm(spark.createDataFrame([("ab",), ("ab",), ("abc",)], "text string"), letters))
+    assert sorted(r.embedding[0] for r in rows.collect()) == [2, 2, 3]
+    with pytest.raises(UnsupportedPredicate):
+        route_value_predicates({"op": "and", "parts": [{"op": "valueNear", "path": "x"}]})
+
+
 def test_imports(spark, tmp_path):
     lines = ['{"subject":"s","key":"k","value":{"b":1,"a":2},"confidence":0.7,"tags":["t"]}', "", "nonsense", '{"start":"cat","rel":"IsA","end":"animal","weight":3}', '{"subject":"a","relation":"meets","object":"b","timestamp":5}']
     (tmp_path / "x.jsonl").write_text("\n".join(lines))
