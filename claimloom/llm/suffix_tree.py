@@ -1,12 +1,14 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-A text is the symbol sequence of its words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``): their bytes, one space
-between words and an end symbol. From the training documents all strings of ``DEPTH`` context symbols and the next
+A text is the symbol sequence of its words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``): their bytes, a space after
+each and an end symbol. From the training documents all strings of ``DEPTH`` context symbols and the next
 symbol are counted. A context is retained if its next-symbol counts diverge enough from those of its suffix,
 count * KL >= ``PER_SYMBOL`` for each different next symbol, and if it holds at least 1 / ``RESOLUTION`` of all symbols; the
 suffixes of a retained context are retained too. Distributions are smoothed towards the suffix's by the number of
 different next symbols. The tree becomes an automaton whose state is the longest known suffix of what was read; all
-texts are scored through it, many segments side by side.
+texts are scored through it, many segments side by side. A token (a word with its space, or the end) has the product
+of its symbols' probabilities. As for the base score, the outcomes are the tokens seen in training and one class of all
+others: a seen token has (1 - u) * (c / N + product) / 2, an unseen one u, the Good-Turing share of tokens seen once.
 
 The model has at most DEPTH * RESOLUTION contexts, so it can be broadcast; what it is counted from covers all training
 text. Unigram counts for the base score are exact: words that make up more than 1 / ``FREQUENT`` of all tokens (so
@@ -14,7 +16,7 @@ fewer than ``FREQUENT``) are broadcast, all others are looked up in the counts b
 arrays.
 
 Null and empty texts are the end symbol alone. Unknown symbols share the root's escape probability. Rows that
-repeat an id are scored alike. Without training text the model is uniform and the base score 0 for each token.
+repeat an id are scored alike. Without training text every token is unseen for sure: both scores are 0.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .texthash import U, chunks, mix, word_hashes
+from .worker import kept, release, slices
 
 DEPTH = 6
 RESOLUTION = 1 << 18
 PER_SYMBOL = 1.0
+OWN_SHARE = 0.5
 FREQUENT = 1 << 20
 BUCKET_ITEMS = 1_000_000
 SEGMENT = 512
@@ -44,7 +48,7 @@ _LEAD = bytes(DEPTH) + bytes([_END])
 
 def streams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of lower-cased texts, each after DEPTH zeros and an end symbol; and each text's length with those."""
-    parts = [_LEAD + b" ".join(r.replace(b"\0", b"\1").split()) + b"\n" for r in raws]
+    parts = [_LEAD + b"".join([w + b" " for w in r.replace(b"\0", b"\1").split()]) + b"\n" for r in raws]
     return np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
 
 
@@ -58,8 +62,12 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def _merge(items: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.concatenate(items) if items else np.zeros(0, np.uint64), np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    out, at = np.unique(a, return_inverse=True)
-    return out, np.bincount(at, b, len(out)).astype(np.int64)
+    if not len(a):
+        return a, b.astype(np.int64)
+    order = np.argsort(a)
+    a = a[order]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    return a[first], np.add.reduceat(b[order].astype(np.int64), first)
 
 
 class _Tally:
@@ -73,7 +81,7 @@ class _Tally:
         self.items.append(new)
         self.counts.append(count)
         self.n += len(new)
-        if self.n > 3_000_000:
+        if self.n > 1_500_000:
             a, b = _merge(self.items, self.counts)
             self.items, self.counts, self.n = [a], [b], len(a) // 2
 
@@ -110,8 +118,9 @@ def gram_bucket(items: np.ndarray) -> np.ndarray:
 
 def _count(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words, strings, texts = _Tally(), _Tally(), 0
-        for batch in batches:
+        for batch in slices(batches):
             for _, raws in chunks(batch.column(0).to_pylist()):
                 words.add(word_hashes(raws)[0])
                 strings.add(grams(streams(raws)[0]))
@@ -121,7 +130,10 @@ def _count(buckets: int):
         items, counts = strings.result()
         rows += _split(GRAM, items, counts, gram_bucket(items))
         rows.append((DOCUMENT, -1, b"", b"", texts, 0))
+        del words, strings, items, counts
         yield from _table(rows, _COUNTED).to_batches()
+        rows.clear()
+        release()
 
     return count
 
@@ -196,7 +208,7 @@ class Automaton:
         first = {d: sum(len(states[k]) for k in range(d)) for d in range(DEPTH + 1)}
         total = sum(map(len, states.values()))
         step = np.zeros((total, width), np.int32)
-        chance = np.zeros((total, width), np.float64 if total < 100_000 else np.float32)
+        chance = np.zeros((total, width), np.float32)
 
         def place(d: int, keys: np.ndarray) -> np.ndarray:
             """Positions of strings of d symbols among the states, -1 where there is none."""
@@ -216,28 +228,31 @@ class Automaton:
                     suffix[open_] = place(k, states[d][open_] & U((1 << 8 * k) - 1))
                 step[own], base = step[suffix], chance[suffix]
             else:
-                base = np.full((1, width), 1 / 257)
+                base = np.full((1, width), 1 / 257, np.float32)
             chance[own] = base
             strings, counts = levels.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             if len(strings):
                 row, column = place(d, strings >> U(8)) - first[d], self.symbols[(strings & U(255)).astype(np.int64)]
                 sums, kinds = np.bincount(row, counts, len(states[d])), np.bincount(row, minlength=len(states[d]))
-                part = kinds / np.maximum(1, sums + kinds)
+                part = (kinds / np.maximum(1, sums + kinds)).astype(np.float32)
                 part[kinds == 0] = 1
                 mixed = base * part[:, None]
-                np.add.at(mixed, (row, column), counts / (sums + kinds)[row])
+                np.add.at(mixed, (row, column), (counts / (sums + kinds)[row]).astype(np.float32))
                 chance[own] = mixed
             if d < DEPTH and len(states[d + 1]):  # a longer state follows where its last symbol is read
                 to = states[d + 1]
                 step[place(d, to >> U(8)), self.symbols[(to & U(255)).astype(np.int64)]] = first[d + 1] + np.arange(len(to))
         step[:, 0] = 0
         chance[:, 0] = 1
+        if total * width >= 1 << 31:
+            raise ValueError(f"{total} states of {width} symbols are too many; lower the resolution")
         self.states = total
-        self.step = (step.astype(np.int64) * width).astype(np.int32).ravel()
-        self.logp = np.log10(chance).astype(np.float32).ravel()
+        step *= width
+        self.step = step.ravel()
+        self.logp = np.log10(chance, out=chance).ravel()
 
-    def score(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The log10 probability of each stream, all segments side by side."""
+    def symbol_scores(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The log10 probability of every symbol of the streams (0 for what leads them), all segments side by side."""
         symbols = self.symbols[data].astype(np.int32)
         begin = np.cumsum(lengths) - lengths + len(_LEAD)
         predicted = lengths - len(_LEAD)
@@ -247,51 +262,75 @@ class Automaton:
         at = begin[owner] + nth * SEGMENT
         size = np.minimum(SEGMENT, predicted[owner] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
-        at, size, owner = at[order], size[order], owner[order]
+        at, size = at[order], size[order]
         state = np.zeros(len(at), np.int32)
         for back in range(DEPTH, 0, -1):
             state = self.step[state + symbols[at - back]]
-        total = np.zeros(len(at))
+        out = np.zeros(len(data), np.float32)
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than t
         for t in range(int(size.max(initial=0))):
             k = active[t]
-            index = state[:k] + symbols[at[:k] + t]
-            total[:k] += self.logp[index]
+            here = at[:k] + t
+            index = state[:k] + symbols[here]
+            out[here] = self.logp[index]
             state[:k] = self.step[index]
-        return np.bincount(owner, total, len(lengths))
+        return out
+
+    def token_scores(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The log10 probability of every token's symbols, in order: the words of each text and then its end."""
+        sums = np.concatenate(([0.0], np.cumsum(self.symbol_scores(data, lengths), dtype=np.float64)))
+        ends = (data == 0x20) | (data == _END)
+        ends[np.cumsum(lengths) - lengths + DEPTH] = False  # the end symbol that leads each stream
+        return np.diff(sums[np.flatnonzero(ends) + 1], prepend=0.0)
+
+
+def unseen_share(tokens: int, once: int) -> float:
+    """Good-Turing: what share of tokens to expect that training has not seen; 1 without training."""
+    return min(0.5, max(once, 1) / (tokens + 1)) if tokens else 1.0
+
+
+def mixed(counts: np.ndarray, spelt: np.ndarray, tokens: int, unseen: float) -> np.ndarray:
+    """log10 of a token's probability: its own frequency and its symbols' product in equal parts, or the unseen share."""
+    own = np.log10(np.maximum(counts, 1) / max(tokens, 1) * OWN_SHARE)
+    other = spelt + np.log10(1 - OWN_SHARE)
+    known = np.maximum(own, other) + np.log1p(10.0 ** -np.minimum(np.abs(own - other), 300.0)) / np.log(10.0)
+    return np.where(counts > 0, known + np.log10(max(1 - unseen, 1e-300)), np.log10(unseen))
 
 
-_automata: dict[int, Automaton] = {}
 _SCORED = pa.schema(
     [("kind", pa.int32()), ("bucket", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64())]
-    + [("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.binary()), ("cnt", pa.binary()), ("items", pa.binary())]
+    + [("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.binary()), ("cnt", pa.binary()), ("items", pa.binary()), ("spelt", pa.binary())]
 )
-_SCORED_SQL = "kind int, bucket long, row long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double, rows binary, cnt binary, items binary"
+_SCORED_SQL = "kind int, bucket long, row long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double, rows binary, cnt binary, items binary, spelt binary"
 
 
-def _score(shared_model, shared_words, key: int, size: int, end_count: int, buckets: int):
+def _score(shared_model, shared_words, key: int, tokens: int, different: int, unseen: float, end_count: int, buckets: int):
     """One row per document with what is known locally, and packed requests for the counts of all other words."""
 
+    size = tokens + different + 1
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = Automaton(shared_model.value)
-        automaton, (frequent, frequent_counts) = _automata[key], shared_words.value
+        automaton, (frequent, frequent_counts) = kept(("automaton", key), lambda: Automaton(shared_model.value)), shared_words.value
         next_row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             ids, train = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, raws in chunks(batch.column(0).to_pylist()):
                 k = len(raws)
                 words, per_text = word_hashes(raws)
                 owner = np.repeat(np.arange(k), per_text)
-                scores = automaton.score(*streams(raws))
+                spelt = automaton.token_scores(*streams(raws))
+                is_end = np.zeros(len(spelt), bool)
+                is_end[np.cumsum(per_text + 1) - 1] = True
+                scores, spelt = mixed(np.full(k, end_count), spelt[is_end], tokens, unseen), spelt[~is_end]
                 found = np.zeros(len(words), bool)
                 base = np.full(k, np.log10((end_count + 1) / size))
                 n_known = np.full(k, int(end_count > 0))
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
                     found = frequent[at] == words
-                    base += np.bincount(owner[found], np.log10((frequent_counts[at[found]] + 1) / size), k)
+                    counts = frequent_counts[at[found]]
+                    base += np.bincount(owner[found], np.log10((counts + 1) / size), k)
+                    scores += np.bincount(owner[found], mixed(counts, spelt[found], tokens, unseen), k)
                     n_known = n_known + np.bincount(owner[found], minlength=k)
                 rows = np.arange(next_row, next_row + k)
                 next_row += k
@@ -300,28 +339,29 @@ def _score(shared_model, shared_words, key: int, size: int, end_count: int, buck
                     [
                         pa.array(c, t) if not isinstance(c, pa.Array) else c
                         for c, t in zip(
-                            (np.full(k, DOCUMENT, np.int32), np.full(k, -1, np.int64), rows, ids[first : first + k], train[first : first + k], per_text + 1, n_known, base, scores, none, none, none),
+                            (np.full(k, DOCUMENT, np.int32), np.full(k, -1, np.int64), rows, ids[first : first + k], train[first : first + k], per_text + 1, n_known, base, scores, none, none, none, none),
                             _SCORED.types,
                         )
                     ],
                     schema=_SCORED,
                 )
-                asked, who = words[~found], owner[~found]
+                asked, who, spelt = words[~found], owner[~found], spelt[~found].astype(np.float32)
                 to = (asked % U(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 out = []
                 for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:]) if len(order) else []:
                     run = np.flatnonzero(np.diff(who[at], prepend=-1))
                     counts = np.diff(np.append(run, len(at))).astype(np.uint32)
-                    out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, rows[who[at[run]]].tobytes(), counts.tobytes(), asked[at].tobytes()))
+                    out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, rows[who[at[run]]].tobytes(), counts.tobytes(), asked[at].tobytes(), spelt[at].tobytes()))
                 yield from _table(out, _SCORED).to_batches()
 
     return score
 
 
-def _answer(size: int, groups: int):
+def _answer(tokens: int, different: int, unseen: float, groups: int):
     """Per bucket: look requests up in the counts; sums for each document, packed by group of documents."""
-    schema = pa.schema([("bucket", pa.int64()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
+    size = tokens + different + 1
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
         items, counts = _unpack(counted.column("items"), np.uint64), _unpack(counted.column("counts"), np.int64)
@@ -334,20 +374,23 @@ def _answer(size: int, groups: int):
             found = np.where(items[at] == words, counts[at], 0)
         owner = np.repeat(np.arange(len(rows)), cnt)
         base, known = np.bincount(owner, np.log10((found + 1) / size), len(rows)), np.bincount(owner, found > 0, len(rows)).astype(np.int64)
+        score = np.bincount(owner, mixed(found, _unpack(asked.column("spelt"), np.float32).astype(float), tokens, unseen), len(rows))
         to = (mix(rows.view(np.uint64)) % U(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         return _table(
-            [(int(to[at[0]]), rows[at].tobytes(), known[at].tobytes(), base[at].tobytes()) for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:])],
+            [(int(to[at[0]]), rows[at].tobytes(), known[at].tobytes(), base[at].tobytes(), score[at].tobytes()) for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:])],
             schema,
         )
 
-    return answer, "bucket long, rows binary, known binary, base binary"
+    return answer, "bucket long, rows binary, known binary, base binary, score binary"
 
 
 def _gather(table: pa.Table) -> pa.Table:
     rows, known, base = _unpack(table.column("rows"), np.int64), _unpack(table.column("known"), np.int64), _unpack(table.column("base"), np.float64)
+    score = _unpack(table.column("score"), np.float64)
     own, at = np.unique(rows, return_inverse=True)
-    return pa.table({"row": own, "more_known": np.bincount(at, known, len(own)).astype(np.int64), "more_base": np.bincount(at, base, len(own))})
+    sums = {"more_base": np.bincount(at, base, len(own)), "more_score": np.bincount(at, score, len(own))}
+    return pa.table({"row": own, "more_known": np.bincount(at, known, len(own)).astype(np.int64)} | sums)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", resolution: int = RESOLUTION, per_symbol: float = PER_SYMBOL) -> DataFrame:
@@ -372,11 +415,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         for batch in batches:
             items, counts = _unpack(batch.column(0), np.uint64), _unpack(batch.column(1), np.int64)
             keep = counts > least
-            yield pa.RecordBatch.from_pydict({"items": [items[keep].tobytes()], "counts": [counts[keep].tobytes()]})
+            yield pa.RecordBatch.from_pydict({"items": [items[keep].tobytes()], "counts": [counts[keep].tobytes()], "once": [int((counts == 1).sum())]})
 
-    often = words.select("items", "counts").mapInArrow(frequent, "items binary, counts binary").collect()
+    often = words.select("items", "counts").mapInArrow(frequent, "items binary, counts binary, once long").collect()
     known, known_counts = _merge([np.frombuffer(r["items"], np.uint64) for r in often], [np.frombuffer(r["counts"], np.int64) for r in often])
 
+    unseen = unseen_share(tokens, sum(r["once"] for r in often))
+
     strings = counted.where(F.col("kind") == GRAM).select("items", "counts")
     kept: dict[int, tuple[list, list]] = {}
     for r in strings.mapInArrow(*_prune(total(GRAM, "total") / resolution, per_symbol)).collect():
@@ -385,14 +430,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         at[1].append(np.frombuffer(r["counts"], np.int64))
     model = {d: _merge(*x) for d, x in kept.items()}
 
-    size = tokens + different + 1
     key = zlib.crc32(b"".join(x.tobytes() for pair in model.values() for x in pair))
     share = spark.sparkContext.broadcast
-    scored = written(rows.mapInArrow(_score(share(model), share((known, known_counts)), key, size, texts, buckets), _SCORED_SQL), "scored")
-    asked = scored.where(F.col("kind") == REQUEST).select("bucket", "rows", "cnt", "items")
+    scored = written(rows.mapInArrow(_score(share(model), share((known, known_counts)), key, tokens, different, unseen, texts, buckets), _SCORED_SQL), "scored")
+    asked = scored.where(F.col("kind") == REQUEST).select("bucket", "rows", "cnt", "items", "spelt")
     more = (
-        asked.groupBy("bucket").cogroup(words.select("bucket", "items", "counts").groupBy("bucket")).applyInArrow(*_answer(size, buckets))
-        .groupBy("bucket").applyInArrow(_gather, "row long, more_known long, more_base double")
+        asked.groupBy("bucket").cogroup(words.select("bucket", "items", "counts").groupBy("bucket")).applyInArrow(*_answer(tokens, different, unseen, buckets))
+        .groupBy("bucket").applyInArrow(_gather, "row long, more_known long, more_base double, more_score double")
     )
     return scored.where(F.col("kind") == DOCUMENT).join(more, "row", "left").select(
         "doc_id",
@@ -401,5 +445,5 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
