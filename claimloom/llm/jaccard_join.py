@@ -38,9 +38,9 @@ from .common import connected_components, written
 from .texthash import _SALT, U, chunks, mix, shingle_sets
 from .worker import release, slices
 
-REGION = 0.3
+REGION = 0.25
 FREQUENT = 1 << 18
-BUCKET_ITEMS = 400_000
+BUCKET_ITEMS = 1_000_000
 _LIMIT = U(int(REGION * 2.0**64))
 
 
@@ -135,8 +135,8 @@ def _summed(items: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 
 REGION_ENTRY, LISTED, SUBSET = 0, 1, 2
-_ENTRY = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "n", "r", "cnt", "items"))])
-_ENTRY_SQL = "bucket long, kind int, docs binary, n binary, r binary, cnt binary, items binary"
+_ENTRY = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "gap", "cnt", "items"))])
+_ENTRY_SQL = "bucket long, kind int, docs binary, gap binary, cnt binary, items binary"
 
 
 def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_frequent):
@@ -154,7 +154,7 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
                     if doc is None or not n:
                         continue
                     if n <= light:
-                        out[SUBSET].append((doc, n, 0, subset_keys(items, num, den, light)))
+                        out[SUBSET].append((doc, 0, subset_keys(items, num, den, light)))
                     if n >= heavy_from:
                         cut = int(np.searchsorted(items, _LIMIT))
                         region = own = items[:cut]
@@ -162,12 +162,12 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
                             at = np.minimum(np.searchsorted(frequent, region), len(frequent) - 1)
                             own = region[frequent[at] != region]
                         lacking = int(prefix_length(n, num, den)) - len(own)
-                        out[REGION_ENTRY].append((doc, n, len(own), own))
+                        out[REGION_ENTRY].append((doc, lacking, own))
                         if lacking > 0:
                             more = items[cut : cut + lacking]
                             if len(more) < lacking and len(own) < cut:
                                 more = np.concatenate((more, np.setdiff1d(region, own, assume_unique=True)[: lacking - len(more)]))
-                            out[LISTED].append((doc, n, len(own), more))
+                            out[LISTED].append((doc, lacking, more))
                 for kind, found in out.items():
                     if found:
                         yield from _packed(kind, found, buckets)
@@ -176,9 +176,9 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
 
 
 def _packed(kind: int, found: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    docs, n, r = (np.array([f[i] for f in found], t) for i, t in ((0, np.int64), (1, np.uint32), (2, np.uint32)))
-    items = np.concatenate([f[3] for f in found])
-    owner = np.repeat(np.arange(len(found)), [len(f[3]) for f in found])
+    docs, gap = (np.array([f[i] for f in found], t) for i, t in ((0, np.int64), (1, np.int32)))
+    items = np.concatenate([f[2] for f in found])
+    owner = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
     if not len(items):
         return
     to = (items % U(buckets)).astype(np.int64)
@@ -191,7 +191,7 @@ def _packed(kind: int, found: list, buckets: int) -> Iterator[pa.RecordBatch]:
     for i, j in zip(edge, np.append(edge[1:], len(run))):
         stop = run[j] if j < len(run) else len(items)
         who = runs[i:j]
-        rows.append((int(to[run[i]]), kind, docs[who].tobytes(), n[who].tobytes(), r[who].tobytes(), counts[i:j].tobytes(), items[run[i] : stop].tobytes()))
+        rows.append((int(to[run[i]]), kind, docs[who].tobytes(), gap[who].tobytes(), counts[i:j].tobytes(), items[run[i] : stop].tobytes()))
     yield _batch(_ENTRY, *zip(*rows))
 
 
@@ -206,7 +206,7 @@ def _shared(groups: int):
         out = []
         for kind in (REGION_ENTRY, LISTED, SUBSET):
             part = table.filter(pa.array(np.asarray(table.column("kind")) == kind))
-            docs, n, r, cnt, items = _unpacked(part, ("docs", np.int64), ("n", np.uint32), ("r", np.uint32), ("cnt", np.uint32), ("items", np.uint64))
+            docs, gap, cnt, items = _unpacked(part, ("docs", np.int64), ("gap", np.int32), ("cnt", np.uint32), ("items", np.uint64))
             owner = np.repeat(np.arange(len(docs)), cnt)
             order = np.argsort(items, kind="stable")
             items, owner = items[order], owner[order]
@@ -220,30 +220,28 @@ def _shared(groups: int):
             order = np.argsort(to, kind="stable")
             edge = np.flatnonzero(np.diff(to[order], prepend=-1))
             for at in np.split(order, edge[1:]) if len(order) else []:
-                out.append((int(to[at[0]]), kind, doc[at].tobytes(), n[owner[at]].tobytes(), r[owner[at]].tobytes(), df[at].tobytes(), items[at].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, _ENTRY.types)], schema=_ENTRY)
+                out.append((int(to[at[0]]), kind, doc[at].tobytes(), gap[owner[at]].tobytes(), df[at].tobytes(), items[at].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _ENTRY.types)], schema=_ENTRY)
 
     return shared
 
 
-def _prefixes(num: int, den: int):
-    """Per group of documents: those entries of each that belong to its prefix."""
+def _prefixes():
+    """Per group of documents: those entries of each that belong to its prefix (gap: its length less the region's items)."""
     schema = pa.schema([("doc", pa.int64()), ("item", pa.int64())])
 
     def prefixes(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind"))
         rest = table.filter(pa.array(kinds != REGION_ENTRY))
         other_doc, other_item = _unpacked(rest, ("docs", np.int64), ("items", np.uint64))
-        doc, n, r, df, item = _unpacked(
-            table.filter(pa.array(kinds == REGION_ENTRY)), ("docs", np.int64), ("n", np.uint32), ("r", np.uint32), ("cnt", np.uint32), ("items", np.uint64)
-        )
+        doc, gap, df, item = _unpacked(table.filter(pa.array(kinds == REGION_ENTRY)), ("docs", np.int64), ("gap", np.int32), ("cnt", np.uint32), ("items", np.uint64))
         if len(doc):
             order = np.lexsort((item, df, doc))
-            doc, n, r, item = doc[order], n[order].astype(np.int64), r[order].astype(np.int64), item[order]
+            doc, gap, item = doc[order], gap[order], item[order]
             start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
             size = np.diff(np.append(start, len(doc)))
             rank = np.arange(len(doc)) - np.repeat(start, size)
-            keep = rank < prefix_length(n, num, den) - (r - np.repeat(size, size))
+            keep = rank < gap + np.repeat(size, size)  # the prefix, less the region's items that no other document has
             doc, item = doc[keep], item[keep]
         return pa.table([np.concatenate((doc, other_doc)), np.concatenate((item, other_item)).view(np.int64)], schema=schema)
 
@@ -363,7 +361,7 @@ def jaccard_components(
     # 2. and 3. candidates
     parts = max(8, ceil(REGION * size / BUCKET_ITEMS))
     packed = texts.mapInArrow(_entries(width, num, den, light, parts, spark.sparkContext.broadcast(frequent)), _ENTRY_SQL)
-    found = packed.groupBy("bucket").applyInArrow(_shared(parts), _ENTRY_SQL).groupBy("bucket").applyInArrow(*_prefixes(num, den))
+    found = packed.groupBy("bucket").applyInArrow(_shared(parts), _ENTRY_SQL).groupBy("bucket").applyInArrow(*_prefixes())
     one_each = classes.select(F.col("class_id").alias("doc"), "n", "copies")
     found = written(found.distinct().join(one_each.select("doc"), "doc", "left_semi"), "lists")
     hubs = found.groupBy("item").agg(F.min("doc").alias("hub"), F.count("*").alias("k")).where("k > 1")
