@@ -91,7 +91,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+
+
+def _url_sql() -> str:
+    """The template tree level by level, with the settings that ``judge_urls`` has by default."""
+    fits = lambda rule: f"(r.host = '{rule.partition('/')[0]}' OR ends_with(r.host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(rule)} THEN '{of((verdict, rule))}'" for verdict, rule in longest) + " END"
+    levels = ""
+    for d in range(5):
+        levels += f"""
+        c{d} AS (SELECT host, p, s[{d + 1}] AS x, sum(n) AS n, sum(m) AS m, sum(b) AS b FROM l{d} WHERE len(s) > {d} GROUP BY ALL),
+        w{d} AS (SELECT *, count(*) OVER k AS kids, sum(n) OVER k AS all_n, sum(m) OVER k AS all_m, sum(b) OVER k AS all_b FROM c{d} WINDOW k AS (PARTITION BY host, p)),
+        y{d} AS (SELECT host, p, x, CASE WHEN kids > 1 AND ((kids > 20 AND n < 0.02::DOUBLE * all_n) OR m = 0 OR all_m = m
+            OR abs(b / greatest(m, 1) - (all_b - b) / greatest(all_m - m, 1)) <= 2.58::DOUBLE * sqrt((all_b + 1) / (all_m + 2) * (1 - (all_b + 1) / (all_m + 2)) * (1 / greatest(m, 1) + 1 / greatest(all_m - m, 1))))
+            THEN '*' ELSE x END AS y FROM w{d}),
+        l{d + 1} AS (SELECT l.host, shape, n, m, b, s, l.p || coalesce('/' || y, '') AS p FROM l{d} l LEFT JOIN y{d} y ON l.host = y.host AND l.p = y.p AND l.s[{d + 1}] = y.x),"""
+    return rf"""
+        WITH urls AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+                regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM urls),
+        shaped AS (SELECT *, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(path, '(?i)[0-9a-f]*[0-9][0-9a-f]{{11,}}', '#', 'g'), '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''), '/') AS shape FROM parts),
+        known AS (SELECT doc_id AS page_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id),
+        l0 AS (SELECT host, shape, count(*) AS n, count(bad) AS m, count(*) FILTER (bad) AS b, CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS s, '' AS p
+            FROM shaped LEFT JOIN known USING (page_id) GROUP BY host, shape),{levels}
+        named AS (SELECT *, p || CASE WHEN len(s) > 5 THEN '/**' ELSE '' END AS template FROM l5),
+        prior AS (SELECT coalesce(sum(b) / nullif(sum(m), 0), 0) AS q FROM l0),
+        judged AS (SELECT host, template, sum(m) AS m, (sum(b) + max(q) * 20) / (sum(m) + 20) AS purity FROM named, prior GROUP BY host, template)
+        SELECT page_id, r.host, path, {case(lambda r: r[1])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN j.m > 0 AND purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+            j.template, round(purity, 9) AS purity
+        FROM (SELECT * FROM shaped) r JOIN named t ON r.host = t.host AND r.shape = t.shape JOIN judged j ON t.host = j.host AND t.template = j.template
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op1_url_filters": _url_sql(),
     "op2_topk": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -141,4 +176,20 @@ ORACLES: dict[str, str] = {
                round(('0x' || substr(md5('mix:' || doc_id || '#' || c), 1, 13))::BIGINT / 4503599627370496.0, 12) AS place
         FROM (SELECT *, unnest(range(0, copies)) AS c FROM counted WHERE copies > 0)
     """,
+    "op9_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        e AS (SELECT doc_id, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT i, j, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS i, doc_id AS j FROM n UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i)
+        SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, (SELECT min(j) FROM l WHERE l.i = n.doc_id AND same)) AS class_id,
+               (SELECT count(*) FROM l WHERE l.i = n.doc_id) AS n_links, (SELECT min(j) FROM r WHERE r.i = n.doc_id) AS component_id
+        FROM n
+    """,
 }
