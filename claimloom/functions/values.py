@@ -110,7 +110,17 @@ def python_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[^a-z0-9_]+", text.lower()) if t))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two token arrays; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+    def score(sets: Column) -> Column:
+        x, y = F.size(sets["a"]), F.size(sets["b"])
+        overlap = F.size(F.array_intersect(sets["a"], sets["b"]))
+        return F.when((x == 0) & (y == 0), 1.0).otherwise(let(overlap, lambda both: both / (x + y - both)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), score)
