@@ -84,7 +84,10 @@ class Judge:
 def identify(
     docs: DataFrame, content: dict[str, bytes], text_col: str = "text", level: int = 3, block: int = 8192, narrow: float = 0.002
 ) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1), margin (share of the second size) and rejected. One narrow pass."""
+    """``docs`` with lang_pred, score (0 to 1), margin (share of the second size) and rejected. One narrow pass.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(content)
     key = zlib.crc32(repr((content, level, block)).encode())
 

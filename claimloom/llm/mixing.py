@@ -66,8 +66,13 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mixture: all columns of ``docs`` with _copy (from 0), _copies, _rate and _place, globally shuffled by _place."""
+    """The mixture: all columns of ``docs`` with _copy (from 0), _copies, _rate and _place, globally shuffled by _place.
+
+    Columns of ``docs`` with these four names are replaced; any other name is free.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("_copy", "_copies", "_rate", "_place")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_from"))
     rates = source_rates(docs, weights, scale, source_col).select(F.col("source").alias("_source"), F.col("rate").alias("_rate")).where("rate > 0")
     known = [(r._source, r._rate) for r in rates.limit(BROADCAST_SOURCES + 1).collect()]
     if len(known) <= BROADCAST_SOURCES:
@@ -75,7 +80,7 @@ def mix(
         table = spark.createDataFrame(
             [(s, r, p, cumulative(r / p)) for (s, r), p in zip(known, parts)], "_source string, _rate double, _parts int, _cdf array<double>"
         )
-        joined = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table["_source"]))
+        joined = held.join(F.broadcast(table), F.col("_from").eqNullSafe(F.col("_source")))
     else:  # too many sources to broadcast: a salted join, so that a hot source is spread
         @F.udf("array<double>")
         def cdf(rate: float) -> list[float]:
@@ -86,9 +91,9 @@ def mix(
             .withColumn("_cdf", cdf(F.col("_rate") / F.col("_parts")))
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         )
-        salted = docs.withColumn("_salt0", F.pmod(F.hash(F.col(id_col)), F.lit(SALTS)))
-        joined = salted.join(table, salted[source_col].eqNullSafe(table["_source"]) & (F.col("_salt0") == F.col("_salt"))).drop("_salt", "_salt0")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+        salted = held.withColumn("_salt0", F.pmod(F.hash("_id"), F.lit(SALTS)))
+        joined = salted.join(table, F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_salt0") == F.col("_salt")))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
     draw = lambda part: F.size(F.filter("_cdf", lambda p: p <= uniform(F.concat(key, F.lit("/"), part.cast("string")), seed)))
     count = F.when(F.col("_parts") == 1, draw(F.lit(0))).otherwise(
         F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda total, part: total + draw(part))
@@ -98,7 +103,8 @@ def mix(
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
         .withColumn("_place", uniform(F.concat(key, F.lit("#"), F.col("_copy").cast("string")), seed))
-        .drop("_source", "_parts", "_cdf")
+        .select("_doc", "_copy", "_copies", "_rate", "_place", "_id")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionById(n, F.floor(F.col("_place") * n).cast("int")).sortWithinPartitions("_place", id_col)
+    dealt = copies.repartitionById(n, F.floor(F.col("_place") * n).cast("int")).sortWithinPartitions("_place", "_id")
+    return dealt.select(*(F.col(f"_doc.`{c}`") for c in docs.columns), "_copy", "_copies", "_rate", "_place")

@@ -19,8 +19,10 @@ from claimloom.llm.queries import TOKENIZER
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or whose language is not clear go; ``lang`` becomes the predicted one where it is null."""
     content = language_id.sample_texts(docs, F.lit(True))
-    judged = language_id.identify(docs, content)
-    return judged.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text")  # so that no name clashes
+    kept = language_id.identify(held, content).where(~F.col("rejected"))
+    own = lambda c: F.coalesce(F.col("_doc.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col(f"_doc.`{c}`").alias(c)
+    return kept.select(*map(own, docs.columns))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,8 @@ def test_salted_mixing_is_the_same(spark, monkeypatch):
 def test_mixing_edges(edge_docs, no_docs):
     assert mixing.mix(edge_docs).where("source is null").count() >= 0 and mixing.mix(no_docs).count() == 0
     assert mixing.mix(edge_docs, {"absent": 1.0}).count() == 0
+    clash = mixing.mix(edge_docs.withColumns({"_source": F.lit("x"), "_cdf": F.lit(1), "_copy": F.lit("y"), "_id": F.lit(2)}))
+    assert clash.where("_source <> 'x' or _id <> 2").count() == 0 and dict(clash.dtypes)["_copy"] == "int"
 
 
 # search
@@ -233,6 +235,8 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     clean = corpus_pipeline.identify_language(spark, docs, "")
     assert clean.columns == docs.columns and clean.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    named = corpus_pipeline.identify_language(spark, docs.withColumns({"score": F.lit("own"), "lang_pred": F.lit("own")}), "")
+    assert named.where("score = 'own' and lang_pred = 'own'").count() == clean.count()
     single = corpus_pipeline.remove_near_copies(spark, docs, "")
     assert single.columns == docs.columns and single.select("text").distinct().count() == single.count()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
