@@ -23,6 +23,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BITS = 128
 RANGE_ROWS = 4096
 BROADCAST_RANGES = 500_000
@@ -104,34 +106,34 @@ def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, place (position among its range's rows), next_id, next_text."""
+    """b (the range), doc_id, text, place (position among its range's rows), next_id, next_text; dealt to partitions by b."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    unplaced = rows.where("doc_id is null").select("doc_id", "text", F.lit(0).alias("place"), F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("next_text"))
-    if not span.n:
-        return unplaced
-    ranges = max(1, ceil(span.n / RANGE_ROWS))
-    width = -(-(span.high - span.low + 1) // ranges)
-    number = F.floor((F.col("doc_id") - F.lit(span.low)) / F.lit(width))
-    fullest = rows.where("doc_id is not null").groupBy(number.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if fullest > 8 * RANGE_ROWS:  # ids are far from even: cut at quantiles instead
-        cuts = sorted(set(rows.approxQuantile("doc_id", [i / min(ranges, 1000) for i in range(1, min(ranges, 1000))], 0.0002)))
-        number = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("doc_id"))).cast("long")
-    placed = rows.where("doc_id is not null").withColumn("b", number.cast("long"))
-    heads = placed.groupBy("b").agg(F.max("doc_id").alias("head"))
+    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count("*").alias("all")).first()
+    ranges, loose = max(1, ceil(span.n / RANGE_ROWS)), max(1, ceil((span.all - span.n) / RANGE_ROWS))
+    number = F.lit(None).cast("long")
+    if span.n:
+        width = -(-(span.high - span.low + 1) // ranges)
+        number = F.floor((F.col("doc_id") - F.lit(span.low)) / F.lit(width))
+        fullest = rows.where("doc_id is not null").groupBy(number.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if fullest > 8 * RANGE_ROWS:  # ids are far from even: cut at quantiles instead
+            cuts = sorted(set(rows.approxQuantile("doc_id", [i / min(ranges, 1000) for i in range(1, min(ranges, 1000))], 0.0002)))
+            number = F.when(F.col("doc_id").isNotNull(), F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("doc_id"))).cast("long"))
+    # rows without an id are spread over ranges of their own, below 0
+    placed = rows.withColumn("b", F.coalesce(number.cast("long"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(loose))))
+    heads = placed.where("b >= 0").groupBy("b").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy(F.desc("b"))  # one row per range
     last = heads.agg(F.min("b")).first()[0]
-    heads = heads.select("head", F.coalesce(F.lag("b").over(order), F.lit(last)).alias("also"))
+    heads = heads.select("head", F.coalesce(F.lag("b").over(order), F.lit(last)).cast("long").alias("also"))
     if ranges <= BROADCAST_RANGES:
         heads = F.broadcast(heads)
     dealt = placed.join(heads, F.col("doc_id") == F.col("head"), "left").select(
         "doc_id", "text", F.explode(F.expr("if(also is null, array(struct(b, false as guest)), array(struct(b, false as guest), struct(also as b, true as guest)))")).alias("x")
     ).select("doc_id", "text", "x.b", "x.guest")
     inside = Window.partitionBy("b").orderBy("guest", F.desc("doc_id"), F.xxhash64("text"))
-    followed = dealt.select(
-        "doc_id", "text", "guest", F.row_number().over(inside).alias("place"), F.lead("doc_id").over(inside).alias("next_id"), F.lead("text").over(inside).alias("next_text")
+    after = lambda c: F.when(F.col("b") >= 0, F.lead(c).over(inside))
+    return dealt.select(
+        "b", "doc_id", "text", "guest", F.row_number().over(inside).alias("place"), after("doc_id").alias("next_id"), after("text").alias("next_text")
     ).where("not guest").drop("guest")
-    return followed.unionByName(unplaced)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,15 +147,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edited = F.when(F.col("next_text").isNull(), F.col("text")).otherwise(
         F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - third), F.col("next_text").substr(F.lit(1), third))
     )
+    # keys begin with the range by which rows are dealt already, so that votes are summed where the texts are
     both = pairs.select(
-        "doc_id", "place", "next_id", F.xxhash64("text").alias("h"), F.xxhash64("next_text").alias("next_h"), "n_chars",
+        "b", "doc_id", "place", "next_id", F.xxhash64("text").alias("h"), F.xxhash64("next_text").alias("next_h"), "n_chars",
         F.explode(F.array(F.struct(F.lit(0).cast("long").alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).cast("long").alias("kind"), edited.alias("t")))).alias("x"),
-    ).select("doc_id", "place", "next_id", "h", "next_h", "n_chars", "x.kind", "x.t")
-    prints = fingerprints(both, ["doc_id", "place", "next_id", "h", "next_h", "n_chars", "kind"], "t", digest=True)
+    ).select("b", "doc_id", "place", "next_id", "h", "next_h", "n_chars", "x.kind", "x.t")
+    prints = fingerprints(both, ["b", "doc_id", "place", "next_id", "h", "next_h", "n_chars", "kind"], "t", digest=True)
     pick = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    rows = (
-        prints.groupBy("doc_id", "place", "next_id", "h", "next_h", "n_chars")
-        .agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("f1", "f2") for k in (0, 1)), pick("sha256", 1).alias("edited_sha256"))
+    rows = written(  # small rows, read twice
+        prints.groupBy("b", "doc_id", "place", "next_id", "h", "next_h", "n_chars")
+        .agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("f1", "f2") for k in (0, 1)), pick("sha256", 1).alias("edited_sha256")),
+        "fingerprints",
     )
     following = rows.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("f1_0").alias("g1"), F.col("f2_0").alias("g2")).distinct()
     like = lambda *x: F.lit(1.0) - distance(*(F.col(c) for c in x)) / F.lit(float(BITS))
