@@ -110,7 +110,7 @@ def key_census(spark, d):
 
 
 @register("reconcile", NAMES_SQL.format(axis="key") + f""",
-    c AS (SELECT r_name AS value, {TOKENS_SQL.format("r_name")} AS t FROM region UNION ALL SELECT value, t FROM v WHERE n > 3
+    c AS (SELECT r_name AS value, {TOKENS_SQL.format("r_name")} AS t FROM region UNION ALL SELECT value, t FROM v
           UNION ALL SELECT value || ' EXTRA', list_distinct(t || ['extra']) FROM v),
     m AS (SELECT c.value, v.value AS best, len(list_intersect(c.t, v.t))::DOUBLE / len(list_distinct(c.t || v.t)) AS score FROM c JOIN v ON len(list_intersect(c.t, v.t)) > 0
           QUALIFY row_number() OVER (PARTITION BY c.value ORDER BY score DESC, v.value) = 1)
@@ -119,23 +119,18 @@ def key_census(spark, d):
 def reconcile(spark, d):
     claims = views.name_claims(spark, d)
     keys = census.distinct_entities(claims, "key", CLOCK)
-    wanted = views.read(spark, d, "region").select(F.col("r_name").alias("value")).unionByName(keys.where("n > 3").select("value"))
+    wanted = views.read(spark, d, "region").select(F.col("r_name").alias("value")).unionByName(keys.select("value"))
     wanted = wanted.unionByName(keys.select(F.concat("value", F.lit(" EXTRA")).alias("value")))
     return census.reconcile(wanted, claims, "key", CLOCK).select("value", "best", r6("score").alias("score"), "disposition")
 
 
 PAIRED_SQL = f"""
-    WITH RECURSIVE t AS (SELECT 'turn-' || lpad(conv_id::VARCHAR, 8, '0') || '-' || lpad(turn::VARCHAR, 4, '0') AS id, 'conv:' || conv_id AS subject, {TOKENS_SQL.format("text")} AS a
-        FROM conversations WHERE conv_id < 40),
+    WITH RECURSIVE t AS (SELECT 'part-' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand AS subject, {TOKENS_SQL.format("p_name")} AS a FROM part),
     p AS (SELECT x.id AS x, x.subject AS sx, y.id AS y, y.subject AS sy, len(list_intersect(x.a, y.a))::DOUBLE / len(list_distinct(x.a || y.a)) AS score FROM t x JOIN t y ON x.id <> y.id),
     sizes AS (SELECT subject, count(*) AS n FROM t GROUP BY subject)
 """
 
 
-def _conversations(spark, d) -> DataFrame:
-    return views.convo_claims(spark, d).where("cast(substring(subject, 6) as bigint) < 40")
-
-
 @register("reverse_reconcile_a", f"""{PAIRED_SQL},
     cut AS (SELECT sx AS subject, (min(score) + max(score)) / 2 AS edge FROM p WHERE sx = sy GROUP BY sx HAVING max(score) - min(score) >= 0.1),
     e AS (SELECT x, y FROM p JOIN cut ON sx = subject WHERE sx = sy AND score >= edge),
@@ -143,7 +138,7 @@ def _conversations(spark, d) -> DataFrame:
     c AS (SELECT x, min(y) AS c FROM r GROUP BY x), k AS (SELECT t.subject, c.c, count(*) AS k FROM c JOIN t ON c.x = t.id GROUP BY ALL)
     SELECT subject, sum(k)::BIGINT AS n, count(*) AS clusters, count(*) FILTER (k >= 2) AS substantial FROM k JOIN sizes USING (subject) WHERE n >= 4 GROUP BY subject HAVING count(*) FILTER (k >= 2) >= 2""", claims=False)
 def reverse_reconcile_a(spark, d):
-    return census.value_clusters(_conversations(spark, d), CLOCK)
+    return census.value_clusters(views.brand_claims(spark, d), CLOCK)
 
 
 @register("reverse_reconcile_b", f"""{PAIRED_SQL},
@@ -153,7 +148,7 @@ def reverse_reconcile_a(spark, d):
     a AS (SELECT sx AS subject, count(*) AS affected FROM g GROUP BY sx)
     SELECT subject, n, affected FROM a JOIN sizes USING (subject) WHERE n >= 4 AND affected < n * 0.5""", claims=False)
 def reverse_reconcile_b(spark, d):
-    return census.misplaced(_conversations(spark, d), CLOCK).select("subject", "n", "affected")
+    return census.misplaced(views.brand_claims(spark, d), CLOCK).select("subject", "n", "affected")
 
 
 @register("audit_proposals")
@@ -164,7 +159,7 @@ def audit_proposals(spark, d):
 # the write path
 
 FOLD_SQL = """,
-    items AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY seq) AS n FROM claims WHERE user_batch),
+    items AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY seq) AS n FROM claims),
     fold AS (
         SELECT subject, key, 0::BIGINT AS n, []::STRUCT(id VARCHAR, v BIGINT, point DOUBLE)[] AS live, NULL::VARCHAR AS id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS conflict, NULL::VARCHAR AS gone FROM (SELECT DISTINCT subject, key FROM items)
         UNION ALL
@@ -177,39 +172,35 @@ FOLD_SQL = """,
 """
 
 
-def _batch(spark, d) -> DataFrame:
-    return events_beliefs(spark, d).where("key = 'event.purchase'")
-
-
 def _fold_sql(decision: str) -> str:
-    return FOLD_SQL.replace("user_batch", "key = 'event.purchase'") % decision
+    return FOLD_SQL % decision
 
 
 @register("commit_reject", _fold_sql("CASE WHEN c.point >= i.point THEN 'rejected' ELSE 'committed' END AS outcome, NULL::VARCHAR AS gone"))
 def commit_reject(spark, d):
-    return writing.decisions(_batch(spark, d), None, "reject_on_contradiction")
+    return writing.decisions(events_beliefs(spark, d), None, "reject_on_contradiction")
 
 
 @register("commit_resolve_lower", _fold_sql("'committed' AS outcome, CASE WHEN i.point > c.point THEN c.id END AS gone"))
 def commit_resolve_lower(spark, d):
-    return writing.decisions(_batch(spark, d), None, "accept_and_resolve", "deprecate_lower")
+    return writing.decisions(events_beliefs(spark, d), None, "accept_and_resolve", "deprecate_lower")
 
 
 @register("commit_mark", _fold_sql("'committed' AS outcome, NULL::VARCHAR AS gone"))
 def commit_mark(spark, d):
-    return writing.decisions(_batch(spark, d), None, "accept_but_mark")
+    return writing.decisions(events_beliefs(spark, d), None, "accept_but_mark")
 
 
-@register("commit_conservation", "SELECT key, count(*) AS total FROM claims WHERE key = 'event.purchase' GROUP BY key")
+@register("commit_conservation", "SELECT key, count(*) AS total FROM claims GROUP BY key")
 def commit_conservation(spark, d):
-    batch = _batch(spark, d)
+    batch = events_beliefs(spark, d)
     told = writing.commit_batch(batch, None, "reject_on_contradiction")
     counted = batch.select("id", "key").join(told, "id").groupBy("key").agg(*(F.count_if(F.col("outcome") == o).alias(o[0]) for o in ("committed", "rejected", "duplicate")))
     return counted.select("key", (F.col("c") + F.col("r") + F.col("d")).alias("total"))
 
 
 @register("idempotent_batch", "SELECT id, CASE WHEN min(id) OVER w <> id THEN min(id) OVER w END AS duplicate_of FROM claims WINDOW w AS (PARTITION BY key, k)")
-def idempotent_batch(spark, d):
+def idempotentevents_beliefs(spark, d):
     batch = events_claims(spark, d).withColumns({"writer": F.lit("w"), "idempotency_key": F.get_json_object("value_json", "$.k")})
     return writing.idempotent(batch, None, CLOCK).select("id", "duplicate_of")
 
@@ -225,10 +216,10 @@ def promote_lifecycle(spark, d):
     return writing.promote(claims, asked.unionByName(spark.createDataFrame([("nobody", "validated")], "id string, to string")))
 
 
-@register("supersede", "SELECT id, CASE WHEN seq < 100 THEN 'deprecated' ELSE status END AS status FROM claims UNION ALL SELECT 'new-' || id, 'validated' FROM claims WHERE seq < 100")
+@register("supersede", "SELECT id, CASE WHEN status = 'candidate' THEN 'deprecated' ELSE status END AS status FROM claims UNION ALL SELECT 'new-' || id, 'validated' FROM claims WHERE status = 'candidate'")
 def supersede(spark, d):
     claims = events_beliefs(spark, d)
-    new = claims.where("recorded_seq < 100").withColumns({"supersedes": F.col("id"), "id": F.concat(F.lit("new-"), "id"), "status": F.lit("validated")})
+    new = claims.where("status = 'candidate'").withColumns({"supersedes": F.col("id"), "id": F.concat(F.lit("new-"), "id"), "status": F.lit("validated")})
     return writing.supersede(claims, new).select("id", "status")
 
 
@@ -245,26 +236,26 @@ def attribution(spark, d):
 
 
 def _log(spark, d) -> DataFrame:
-    rows = events_beliefs(spark, d).where("recorded_seq < 2000")
+    rows = events_beliefs(spark, d)
     none = F.lit(None).cast("string")
     events = rows.select(F.lit("commit").alias("op"), F.col("key").alias("corpus_id"), F.lit("writer").alias("writer"), F.col("id").alias("claim_id"), none.alias("deprecated_id"), none.alias("to_status"), none.alias("reason"), "recorded", "recorded_seq")
     return chain.build_chain(events)
 
 
-@register("hash_chain_verify", "SELECT key AS corpus_id, count(*) AS entries, true AS intact FROM claims WHERE seq < 2000 GROUP BY key")
+@register("hash_chain_verify", "SELECT key AS corpus_id, count(*) AS entries, true AS intact FROM claims GROUP BY key")
 def hash_chain_verify(spark, d):
     return chain.verify_chain(_log(spark, d)).select("corpus_id", "entries", "intact")
 
 
 @register("hash_chain", """,
-    e AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, '["commit","' || key || '","writer","' || id || '",null,null,null,' || recorded || ',' || seq || ']' AS body FROM claims WHERE seq < 2000),
+    e AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, '["commit","' || key || '","writer","' || id || '",null,null,null,' || recorded || ',' || seq || ']' AS body FROM claims),
     h AS (SELECT key, 0::BIGINT AS n, '' AS hash FROM (SELECT DISTINCT key FROM e) UNION ALL SELECT e.key, e.n, sha256(e.body || h.hash) FROM h JOIN e ON e.key = h.key AND e.n = h.n + 1)
     SELECT h.key AS corpus_id, e.seq AS recorded_seq, h.hash AS entry_hash FROM h JOIN e ON e.key = h.key AND e.n = h.n""")
 def hash_chain(spark, d):
     return _log(spark, d).select("corpus_id", "recorded_seq", "entry_hash")
 
 
-@register("hash_chain_tampered", "SELECT key AS corpus_id, false AS intact FROM claims WHERE seq < 2000 GROUP BY key")
+@register("hash_chain_tampered", "SELECT key AS corpus_id, false AS intact FROM claims GROUP BY key")
 def hash_chain_tampered(spark, d):
     forged = _log(spark, d).withColumn("writer", F.when(F.col("recorded_seq") > 1000, "forger").otherwise(F.col("writer")))
     return chain.verify_chain(forged).select("corpus_id", "intact")
@@ -370,9 +361,9 @@ def source_half_lives(spark, d):
     return events_beliefs(spark, d).select("id", r6(C.point() * F.pow(F.lit(0.5), age / half)).alias("effective"))
 
 
-@register("canonical_json", "SELECT DISTINCT event_id % 50 AS n, '{\"a\":' || (event_id % 50) || ',\"b\":[1,true,null]}' AS canonical FROM events", claims=False)
+@register("canonical_json", "SELECT event_id AS n, '{\"a\":' || event_id || ',\"b\":[1,true,null]}' AS canonical FROM events", claims=False)
 def canonical_json(spark, d):
-    rows = views.read(spark, d, "events").select((F.col("event_id") % 50).alias("n")).distinct()
+    rows = views.read(spark, d, "events").select(F.col("event_id").alias("n"))
     return rows.select("n", V.canonical_json(F.concat(F.lit('{ "b" : [1, true, null], "a": '), F.col("n").cast("string"), F.lit("}"))).alias("canonical"))
 
 

@@ -220,9 +220,9 @@ def hybrid_max(spark, d):
 # provenance
 
 GAMMA_SQL = """
-    WITH RECURSIVE o AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, o_custkey FROM orders),
+    WITH RECURSIVE o AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, o_orderstatus FROM orders),
     reach AS (
-        SELECT o_orderkey AS k, 0 AS depth FROM o WHERE o_custkey % 10 = 0 AND o_orderkey % 3 = 0
+        SELECT o_orderkey AS k, 0 AS depth FROM o WHERE o_orderstatus = 'F'
         UNION ALL SELECT o.before, depth + 1 FROM reach JOIN o ON o.o_orderkey = reach.k WHERE o.before IS NOT NULL AND depth < 2)
     SELECT 'ord-' || lpad(k::VARCHAR, 10, '0') AS id, min(depth)::INTEGER AS depth FROM reach GROUP BY k
 """
@@ -231,7 +231,7 @@ GAMMA_SQL = """
 @register("gamma_depth2", GAMMA_SQL, claims=False)
 def gamma_depth2(spark, d):
     claims = views.orders_claims(spark, d)
-    start = claims.where("cast(substring(subject, 6) as bigint) % 10 = 0 and recorded_seq % 3 = 0").withColumn("score", F.lit(1.0))
+    start = claims.where("value_text = 'F'").withColumn("score", F.lit(1.0))
     return provenance.gamma(start, claims, 2).select("id", "depth")
 
 
@@ -482,24 +482,23 @@ register("reweight_boost", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} + n * 0.
 
 
 def _few(spark, d):
-    rows = views.convo_claims(spark, d).where("valid_from = 0")
-    return ranking.rho(rows, "jaccard", QUERY)
+    return ranking.rho(views.convo_claims(spark, d), "jaccard", QUERY)
 
 
 FEW_SQL = f"""
-    WITH t AS (SELECT conv_id, text, {TOKENS_SQL.format("text")} AS a FROM conversations WHERE turn = 0),
-    s AS (SELECT conv_id, text, {JACCARD_SQL.format(a="a", b=_Q)} AS score FROM t),
+    WITH t AS (SELECT conv_id, turn, text, {TOKENS_SQL.format("text")} AS a FROM conversations),
+    s AS (SELECT conv_id * 1000 + turn AS place, text, {JACCARD_SQL.format(a="a", b=_Q)} AS score FROM t),
     c AS (SELECT {{0}} AS body FROM s)
     SELECT '{{1}}' AS format, substr(body, 1, 1600) AS content, ceil(least(length(body), 1600) / 4.0)::INTEGER AS token_count FROM c
 """
 
 
-@register("kappa_markdown", FEW_SQL.format("string_agg('- ' || text, chr(10) ORDER BY score DESC, conv_id)", "markdown"), claims=False)
+@register("kappa_markdown", FEW_SQL.format("string_agg('- ' || text, chr(10) ORDER BY score DESC, place)", "markdown"), claims=False)
 def kappa_markdown(spark, d):
     return composition.kappa(_few(spark, d), "markdown", 400, dedup_threshold=1.01)
 
 
-@register("kappa_text", FEW_SQL.format("string_agg(text, chr(10) ORDER BY score DESC, conv_id)", "text"), claims=False)
+@register("kappa_text", FEW_SQL.format("string_agg(text, chr(10) ORDER BY score DESC, place)", "text"), claims=False)
 def kappa_text(spark, d):
     return composition.kappa(_few(spark, d), "text", 400, dedup_threshold=1.01)
 

@@ -150,6 +150,15 @@ def name_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_claims(parts.unionByName(nations), "names")
 
 
+def brand_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject: the brand; value: the part's name."""
+    rows = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("id"), F.col("p_brand").alias("subject"), F.lit("part.name").alias("key"),
+        F.concat(F.lit('"'), "p_name", F.lit('"')).alias("value_json"), F.lit(0).alias("valid_from"), F.col("p_partkey").alias("recorded_seq"),
+    )
+    return as_claims(rows, "brands")
+
+
 #: Aliases with a chain, a cycle, a tie, a self-alias and a malformed one: (variant, value, valid_from).
 ALIAS_ROWS = [
     ("event.view", '"event.click"', 10), ("event.click", '"event.touch"', 10), ("event.old", '"event.view"', 5), ("event.old", '"event.click"', 9),
