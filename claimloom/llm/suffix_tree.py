@@ -3,15 +3,16 @@
 A text is the symbol sequence of its words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``): their bytes, a space after
 each and an end symbol. From the training documents all strings of ``DEPTH`` context symbols and the next
 symbol are counted. A context is retained if its next-symbol counts diverge enough from those of its suffix,
-count * KL >= ``PER_SYMBOL`` for each different next symbol, and if it holds at least 1 / ``RESOLUTION`` of all symbols; the
-suffixes of a retained context are retained too. Distributions are smoothed towards the suffix's by the number of
-different next symbols. The tree becomes an automaton whose state is the longest known suffix of what was read; all
-texts are scored through it, many segments side by side. A token (a word with its space, or the end) has the product
+count * KL >= ``PER_SYMBOL`` for each different next symbol, and if it was seen ``LEAST`` times, however large the corpus is;
+the suffixes of a retained context are retained too. Distributions are smoothed towards the suffix's by the number of
+different next symbols; a symbol has its probability in the longest retained suffix of what precedes it. A token (a word with its space, or the end) has the product
 of its symbols' probabilities. As for the base score, the outcomes are the tokens seen in training and one class of all
 others: a seen token has (1 - u) * (c / N + product) / 2, an unseen one u, the Good-Turing share of tokens seen once.
 
-The model has at most DEPTH * RESOLUTION contexts, so it can be broadcast; what it is counted from covers all training
-text. Unigram counts for the base score are exact: words that make up more than 1 / ``FREQUENT`` of all tokens (so
+The tree grows with the training text, so it is nowhere held whole: it lies in the shared folder, split by the two
+symbols before the next one. Chunks of texts ask for their different strings there, once each, and get the
+probabilities back. Only contexts of up to one symbol, 2^16 counts at most, are broadcast.
+Unigram counts for the base score are exact: words that make up more than 1 / ``FREQUENT`` of all tokens (so
 fewer than ``FREQUENT``) are broadcast, all others are looked up in the counts by buckets of the hash range, shipped as packed
 arrays.
 
@@ -21,27 +22,29 @@ repeat an id are scored alike. Without training text every token is unseen for s
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .texthash import U, chunks, mix, word_hashes
-from .worker import kept, release, slices
+from .worker import release, slices
 
 DEPTH = 6
-RESOLUTION = 1 << 18
+LEAST = 4
 PER_SYMBOL = 1.0
 OWN_SHARE = 0.5
 FREQUENT = 1 << 20
 BUCKET_ITEMS = 1_000_000
 SEGMENT = 512
+CHUNK_BYTES = 1 << 24
+SALT_BYTES = 1 << 31
 _END = 0x0A
 _LEAD = bytes(DEPTH) + bytes([_END])
 
@@ -52,12 +55,27 @@ def streams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
 
 
+def predicted(data: np.ndarray) -> np.ndarray:
+    """Which symbols of the streams are predicted: all but what leads each text."""
+    lead = np.zeros(len(data), bool)
+    lead[DEPTH:] = (data[DEPTH:] == _END) & (data[DEPTH - 1 : -1] == 0)
+    return (data != 0) & ~lead
+
+
+def token_sums(logp: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums over every token's symbols, in order: the words of each text and then its end."""
+    sums = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
+    ends = (data == 0x20) | (data == _END)
+    ends[np.cumsum(lengths) - lengths + DEPTH] = False  # the end symbol that leads each stream
+    return np.diff(sums[np.flatnonzero(ends) + 1], prepend=0.0)
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """Every predicted symbol (lowest byte) with its context; zeros stand for what precedes the text."""
     out = data.astype(np.uint64)
     for j in range(1, DEPTH + 1):
         out[j:] |= data[:-j].astype(np.uint64) << U(8 * j)
-    return out[(data != 0) & (out >> U(8) != 0)]
+    return out[predicted(data)]
 
 
 def _merge(items: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +112,30 @@ _COUNTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("items", pa
 _COUNTED_SQL = "kind int, bucket long, items binary, counts binary, total long, different long"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on, so that zeros lie together and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed(items: np.ndarray) -> bytes:
+    """Sorted strings of one bucket as steps from one to the next, without the two symbols that name the bucket."""
+    return planes(np.diff(((items >> U(24)) << U(8)) | (items & U(255)), prepend=U(0)))
+
+
+def unpacked(raw: bytes, bucket: int) -> np.ndarray:
+    rest = np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+    return ((rest >> U(8)) << U(24)) | U(bucket << 8) | (rest & U(255))
+
+
 def _split(kind: int, items: np.ndarray, counts: np.ndarray, to: np.ndarray) -> list[tuple]:
     order = np.argsort(to, kind="stable")
     edge = np.flatnonzero(np.diff(to[order], prepend=-1))
     return [
-        (kind, int(to[at[0]]), items[at].tobytes(), counts[at].astype(np.uint32).tobytes(), int(counts[at].sum()), len(at))
+        (kind, int(to[at[0]]), packed(items[at]) if kind == GRAM else items[at].tobytes(), planes(counts[at].astype(np.uint32)), int(counts[at].sum()), len(at))
         for at in (np.split(order, edge[1:]) if len(order) else [])
     ]
 
@@ -142,7 +179,8 @@ def _sum_up(table: pa.Table) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     if kind == DOCUMENT:
         return _table([(kind, bucket, b"", b"", sum(table.column("total").to_pylist()), 0)], _COUNTED)
-    items, counts = _merge([_unpack(table.column("items"), np.uint64)], [_unpack(table.column("counts"), np.uint32)])
+    read = (lambda raw: unpacked(raw, bucket)) if kind == GRAM else (lambda raw: np.frombuffer(raw, np.uint64))
+    items, counts = _merge([read(x) for x in table.column("items").to_pylist()], [unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
     return _table([(kind, bucket, items.tobytes(), counts.tobytes(), int(counts.sum()), len(items))], _COUNTED)
 
 
@@ -176,23 +214,111 @@ def retained(items: np.ndarray, counts: np.ndarray, least: float, per_symbol: fl
 
 
 def _prune(least: float, per_symbol: float):
-    schema = pa.schema([("depth", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, raw, count in zip(*(c.to_pylist() for c in batch.columns)):
                 items, counts = np.frombuffer(raw, np.uint64), np.frombuffer(count, np.int64)
-                rows = [(d, a.tobytes(), b.tobytes()) for d, (a, b) in enumerate(retained(items, counts, least, per_symbol), 2) if len(a)]
+                rows = [(bucket, d, a.tobytes(), b.tobytes()) for d, (a, b) in enumerate(retained(items, counts, least, per_symbol), 2) if len(a)]
                 for d in (0, 1):  # every context of up to one symbol is kept
                     strings, n, *_ = _contexts(items, counts, d)
-                    rows.append((d, strings.tobytes(), n.astype(np.int64).tobytes()))
+                    rows.append((bucket, d, strings.tobytes(), n.astype(np.int64).tobytes()))
                 yield from _table(rows, schema).to_batches()
 
-    return prune, "depth int, items binary, counts binary"
+    return prune, "bucket long, depth int, items binary, counts binary"
+
+
+def root_chances(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Probabilities of every symbol after every single symbol, from the strings of contexts of up to one symbol."""
+    table = np.full((256, 256), 1 / 257)
+    for d in (0, 1):
+        strings, counts = levels.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        own = np.zeros((256, 256))
+        np.add.at(own, ((strings >> U(8)).astype(np.int64), (strings & U(255)).astype(np.int64)), counts)
+        if d == 0:
+            own[:] = own[0]
+        sums, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
+        table = np.where(kinds > 0, (own + kinds * table) / np.maximum(1, sums + kinds), table)
+    return table
+
+
+def chances(items: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the last symbols of strings, each in the longest retained suffix of its context."""
+    found = root[((items >> U(8)) & U(255)).astype(np.int64), (items & U(255)).astype(np.int64)]
+    for d in range(2, DEPTH + 1):
+        strings, counts = levels.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        if not len(strings):
+            break  # suffixes of retained contexts are retained, so nothing is deeper
+        contexts, first = np.unique(strings >> U(8), return_index=True)
+        sums, kinds = np.add.reduceat(counts, first), np.diff(first, append=len(strings))
+        context, whole = (items >> U(8)) & U((1 << 8 * d) - 1), items & U((1 << 8 * (d + 1)) - 1)
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        here = np.minimum(np.searchsorted(strings, whole), len(strings) - 1)
+        own = np.where(strings[here] == whole, counts[here], 0)
+        found = np.where(contexts[at] == context, (own + kinds[at] * found) / (sums[at] + kinds[at]), found)
+    return np.log10(found).astype(np.float32)
+
+
+TEXT, ASK = 0, 1
+_ASKED = pa.schema(
+    [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("nth", pa.int64()), ("items", pa.binary())]
+    + [("texts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_()))]
+)
+_ASKED_SQL = "kind int, chunk long, bucket long, nth long, items binary, texts binary, sizes array<long>, ids array<long>, train array<boolean>"
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed runs, numbered by chunk, and each chunk's different strings by bucket (packed)."""
+    release()
+    chunk, nth, size, strings = TaskContext.get().partitionId() << 20, 0, 0, _Tally()
+
+    def requests() -> list[pa.RecordBatch]:
+        items, _ = strings.result()
+        parts = _split(GRAM, items, np.zeros(len(items), np.int64), gram_bucket(items))
+        return _table([(ASK, chunk, p[1], 0, p[2], None, None, None, None) for p in parts], _ASKED).to_batches()
+
+    for batch in slices(batches):
+        ids, train = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for first, raws in chunks(batch.column(0).to_pylist()):
+            strings.add(grams(streams(raws)[0]))
+            own = slice(first, first + len(raws))
+            yield from _table([(TEXT, chunk, -1, nth, None, zstandard.compress(b"".join(raws), 1), list(map(len, raws)), ids[own], train[own])], _ASKED).to_batches()
+            nth, size = nth + 1, size + sum(map(len, raws)) + len(raws)
+            if size >= CHUNK_BYTES:
+                yield from requests()
+                chunk, nth, size, strings = chunk + 1, 0, 0, _Tally()
+    yield from requests()
+    release()
+
+
+def _levels(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    parts: dict[int, tuple[list, list]] = {}
+    for d, items, counts in zip(*(table.column(c).to_pylist() for c in ("depth", "items", "counts"))):
+        at = parts.setdefault(d, ([], []))
+        at[0].append(np.frombuffer(items, np.uint64))
+        at[1].append(np.frombuffer(counts, np.int64))
+    return {d: _merge(*x) for d, x in parts.items()}
+
+
+def _reply(shared_root):
+    """Per bucket and salt: the probabilities of what chunks ask for."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("items", pa.binary()), ("chance", pa.binary())])
+
+    def reply(asked: pa.Table, model: pa.Table) -> pa.Table:
+        levels, rows = _levels(model), []
+        for chunk, bucket, raw in zip(*(asked.column(c).to_pylist() for c in ("chunk", "bucket", "items"))):
+            rows.append((chunk, bucket, raw, planes(chances(unpacked(raw, bucket), levels, shared_root.value))))
+        return _table(rows, schema)
+
+    return reply, "chunk long, bucket long, items binary, chance binary"
 
 
 class Automaton:
-    """Next states and log10 probabilities by state and symbol; symbol 0 pads, symbol 1 is any unknown byte."""
+    """A whole small tree in memory, against which tests hold ``chances``.
+
+    Next states and log10 probabilities by state and symbol; symbol 0 pads, symbol 1 is any unknown byte.
+    """
 
     def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]]):
         seen = np.unique(np.concatenate([x[0] & U(255) for x in levels.values()] or [np.zeros(0, np.uint64)])).astype(np.int64)
@@ -245,7 +371,7 @@ class Automaton:
         step[:, 0] = 0
         chance[:, 0] = 1
         if total * width >= 1 << 31:
-            raise ValueError(f"{total} states of {width} symbols are too many; lower the resolution")
+            raise ValueError(f"{total} states of {width} symbols are too many for one table")
         self.states = total
         step *= width
         self.step = step.ravel()
@@ -278,10 +404,7 @@ class Automaton:
 
     def token_scores(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The log10 probability of every token's symbols, in order: the words of each text and then its end."""
-        sums = np.concatenate(([0.0], np.cumsum(self.symbol_scores(data, lengths), dtype=np.float64)))
-        ends = (data == 0x20) | (data == _END)
-        ends[np.cumsum(lengths) - lengths + DEPTH] = False  # the end symbol that leads each stream
-        return np.diff(sums[np.flatnonzero(ends) + 1], prepend=0.0)
+        return token_sums(self.symbol_scores(data, lengths), data, lengths)
 
 
 def unseen_share(tokens: int, once: int) -> float:
@@ -304,56 +427,72 @@ _SCORED = pa.schema(
 _SCORED_SQL = "kind int, bucket long, row long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double, rows binary, cnt binary, items binary, spelt binary"
 
 
-def _score(shared_model, shared_words, key: int, tokens: int, different: int, unseen: float, end_count: int, buckets: int):
-    """One row per document with what is known locally, and packed requests for the counts of all other words."""
+def _score(shared_words, tokens: int, different: int, unseen: float, end_count: int, buckets: int):
+    """Per chunk: one row per document with what is known by now, and packed requests for the counts of all other words."""
 
     size = tokens + different + 1
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, (frequent, frequent_counts) = kept(("automaton", key), lambda: Automaton(shared_model.value)), shared_words.value
-        next_row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            ids, train = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, raws in chunks(batch.column(0).to_pylist()):
-                k = len(raws)
-                words, per_text = word_hashes(raws)
-                owner = np.repeat(np.arange(k), per_text)
-                spelt = automaton.token_scores(*streams(raws))
-                is_end = np.zeros(len(spelt), bool)
-                is_end[np.cumsum(per_text + 1) - 1] = True
-                scores, spelt = mixed(np.full(k, end_count), spelt[is_end], tokens, unseen), spelt[~is_end]
-                found = np.zeros(len(words), bool)
-                base = np.full(k, np.log10((end_count + 1) / size))
-                n_known = np.full(k, int(end_count > 0))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-                    found = frequent[at] == words
-                    counts = frequent_counts[at[found]]
-                    base += np.bincount(owner[found], np.log10((counts + 1) / size), k)
-                    scores += np.bincount(owner[found], mixed(counts, spelt[found], tokens, unseen), k)
-                    n_known = n_known + np.bincount(owner[found], minlength=k)
-                rows = np.arange(next_row, next_row + k)
-                next_row += k
-                none = pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays(
+    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        frequent, frequent_counts = shared_words.value
+        known = [unpacked(*x) for x in zip(replies.column("items").to_pylist(), replies.column("bucket").to_pylist())]
+        items = np.concatenate(known or [np.zeros(0, np.uint64)])
+        chance = np.concatenate([unplanes(x, np.float32) for x in replies.column("chance").to_pylist()] or [np.zeros(0, np.float32)])
+        order = np.argsort(items)
+        items, chance = items[order], chance[order]
+        del known, order
+        made = []
+        number, nth = texts.column("chunk")[0].as_py() << 25 if texts.num_rows else 0, texts.column("nth").to_pylist()
+        for i in sorted(range(len(nth)), key=nth.__getitem__):
+            whole, sizes, ids, train = (texts.column(c)[i].as_py() for c in ("texts", "sizes", "ids", "train"))
+            whole, ends = zstandard.decompress(whole), np.cumsum(sizes).tolist()
+            raws = [whole[a:b] for a, b in zip([0, *ends], ends)]
+            k = len(raws)
+            words, per_text = word_hashes(raws)
+            owner = np.repeat(np.arange(k), per_text)
+            data, lengths = streams(raws)
+            asked, back = np.unique(grams(data), return_inverse=True)
+            logp = np.zeros(len(data), np.float32)
+            logp[predicted(data)] = chance[np.searchsorted(items, asked)][back]
+            spelt = token_sums(logp, data, lengths)
+            del data, asked, back, logp
+            is_end = np.zeros(len(spelt), bool)
+            is_end[np.cumsum(per_text + 1) - 1] = True
+            scores, spelt = mixed(np.full(k, end_count), spelt[is_end], tokens, unseen), spelt[~is_end]
+            found = np.zeros(len(words), bool)
+            base = np.full(k, np.log10((end_count + 1) / size))
+            n_known = np.full(k, int(end_count > 0))
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+                found = frequent[at] == words
+                counts = frequent_counts[at[found]]
+                base += np.bincount(owner[found], np.log10((counts + 1) / size), k)
+                scores += np.bincount(owner[found], mixed(counts, spelt[found], tokens, unseen), k)
+                n_known = n_known + np.bincount(owner[found], minlength=k)
+            rows = np.arange(number, number + k)
+            number += k
+            none = pa.nulls(k, pa.binary())
+            made.append(
+                pa.Table.from_arrays(
                     [
                         pa.array(c, t) if not isinstance(c, pa.Array) else c
                         for c, t in zip(
-                            (np.full(k, DOCUMENT, np.int32), np.full(k, -1, np.int64), rows, ids[first : first + k], train[first : first + k], per_text + 1, n_known, base, scores, none, none, none, none),
+                            (np.full(k, DOCUMENT, np.int32), np.full(k, -1, np.int64), rows, ids, train, per_text + 1, n_known, base, scores, none, none, none, none),
                             _SCORED.types,
                         )
                     ],
                     schema=_SCORED,
                 )
-                asked, who, spelt = words[~found], owner[~found], spelt[~found].astype(np.float32)
-                to = (asked % U(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                out = []
-                for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:]) if len(order) else []:
-                    run = np.flatnonzero(np.diff(who[at], prepend=-1))
-                    counts = np.diff(np.append(run, len(at))).astype(np.uint32)
-                    out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, rows[who[at[run]]].tobytes(), counts.tobytes(), asked[at].tobytes(), spelt[at].tobytes()))
-                yield from _table(out, _SCORED).to_batches()
+            )
+            asked, who, spelt = words[~found], owner[~found], spelt[~found].astype(np.float32)
+            to = (asked % U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            out = []
+            for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:]) if len(order) else []:
+                run = np.flatnonzero(np.diff(who[at], prepend=-1))
+                counts = np.diff(np.append(run, len(at))).astype(np.uint32)
+                out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, rows[who[at[run]]].tobytes(), counts.tobytes(), asked[at].tobytes(), spelt[at].tobytes()))
+            made.append(_table(out, _SCORED))
+        return pa.concat_tables(made) if made else _table([], _SCORED)
 
     return score
 
@@ -393,7 +532,7 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"row": own, "more_known": np.bincount(at, known, len(own)).astype(np.int64)} | sums)
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", resolution: int = RESOLUTION, per_symbol: float = PER_SYMBOL) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, per_symbol: float = PER_SYMBOL) -> DataFrame:
     """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -409,12 +548,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total = lambda kind, what: sums[kind][what] if kind in sums else 0
     texts, words = total(DOCUMENT, "total"), counted.where(F.col("kind") == WORD)
     tokens, different = total(WORD, "total") + texts, total(WORD, "different") + int(texts > 0)
-    least = tokens / FREQUENT
+    often_from = tokens / FREQUENT
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, counts = _unpack(batch.column(0), np.uint64), _unpack(batch.column(1), np.int64)
-            keep = counts > least
+            keep = counts > often_from
             yield pa.RecordBatch.from_pydict({"items": [items[keep].tobytes()], "counts": [counts[keep].tobytes()], "once": [int((counts == 1).sum())]})
 
     often = words.select("items", "counts").mapInArrow(frequent, "items binary, counts binary, once long").collect()
@@ -422,17 +561,24 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     unseen = unseen_share(tokens, sum(r["once"] for r in often))
 
-    strings = counted.where(F.col("kind") == GRAM).select("items", "counts")
-    kept: dict[int, tuple[list, list]] = {}
-    for r in strings.mapInArrow(*_prune(total(GRAM, "total") / resolution, per_symbol)).collect():
-        at = kept.setdefault(r["depth"], ([], []))
-        at[0].append(np.frombuffer(r["items"], np.uint64))
-        at[1].append(np.frombuffer(r["counts"], np.int64))
-    model = {d: _merge(*x) for d, x in kept.items()}
-
-    key = zlib.crc32(b"".join(x.tobytes() for pair in model.values() for x in pair))
+    strings = counted.where(F.col("kind") == GRAM).select("bucket", "items", "counts")
+    model = written(strings.mapInArrow(*_prune(least, per_symbol)), "tree")
+    roots: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+    for r in model.where("depth < 2").toLocalIterator():
+        roots[r["depth"]][0].append(np.frombuffer(r["items"], np.uint64))
+        roots[r["depth"]][1].append(np.frombuffer(r["counts"], np.int64))
     share = spark.sparkContext.broadcast
-    scored = written(rows.mapInArrow(_score(share(model), share((known, known_counts)), key, tokens, different, unseen, texts, buckets), _SCORED_SQL), "scored")
+    root = share(root_chances({d: _merge(*x) for d, x in roots.items()}))
+
+    salts = max(1, ceil(letters / SALT_BYTES))  # so that what chunks ask of one bucket never meets whole
+    asking = written(rows.select("text", "doc_id", "train").mapInArrow(_ask, _ASKED_SQL), "asking")
+    asks = asking.where(F.col("kind") == ASK).select("chunk", "bucket", "items", F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt"))
+    deep = model.where("depth >= 2").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    replies = asks.groupBy("bucket", "salt").cogroup(deep.groupBy("bucket", "salt")).applyInArrow(*_reply(root))
+    texts_of = asking.where(F.col("kind") == TEXT).select("chunk", "nth", "texts", "sizes", "ids", "train")
+    scored = written(
+        texts_of.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share((known, known_counts)), tokens, different, unseen, texts, buckets), _SCORED_SQL), "scored"
+    )
     asked = scored.where(F.col("kind") == REQUEST).select("bucket", "rows", "cnt", "items", "spelt")
     more = (
         asked.groupBy("bucket").cogroup(words.select("bucket", "items", "counts").groupBy("bucket")).applyInArrow(*_answer(tokens, different, unseen, buckets))

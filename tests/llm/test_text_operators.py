@@ -177,6 +177,43 @@ def test_automaton_equals_longest_suffix():
     assert table[:, 2:].sum(axis=1) + (257 - seen) * table[:, 1] == pytest.approx(np.ones(auto.states), rel=1e-4)
 
 
+def test_chances_equal_automaton():
+    """Strings asked of a tree that is split by bucket have the probabilities that the whole automaton gives."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aab bc") for _ in range(rng.randrange(300))).encode() for _ in range(60)] + [b""]
+    data, lengths = suffix_tree.streams(texts[:40])
+    items, counts = np.unique(suffix_tree.grams(data), return_counts=True)
+    levels = dict(enumerate(suffix_tree.retained(items, counts, 4, 0.5), 2))
+    roots = {d: (x[0], x[1].astype(np.int64)) for d in (0, 1) for x in [suffix_tree._contexts(items, counts, d)]}
+    data, lengths = suffix_tree.streams(texts + [b"new xyz"])
+    want = suffix_tree.Automaton(levels | roots).symbol_scores(data, lengths)[suffix_tree.predicted(data)]
+    asked = suffix_tree.grams(data)
+    got, bucket = np.zeros(len(asked)), suffix_tree.gram_bucket(asked)
+    for b in np.unique(bucket):
+        own = {d: tuple(x[suffix_tree.gram_bucket(s) == b] for x in (s, n)) for d, (s, n) in levels.items()}
+        got[bucket == b] = suffix_tree.chances(asked[bucket == b], own, suffix_tree.root_chances(roots))
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_contexts_stay_in_a_large_corpus(spark):
+    """A context seen 30 times whose next symbol clearly diverges is kept beside ten million other symbols."""
+    filler = spark.range(0, 400, 1, 4).select((F.col("id") + 1000).alias("doc_id"), F.repeat(F.lit("xa m xa n ya m ya n "), 1300).alias("text"))
+    rare = spark.range(30).select("id", F.lit("za m").alias("text"))
+    asked = spark.createDataFrame([(100, "za m"), (101, "za n")], "doc_id bigint, text string")
+    docs = filler.union(rare).union(asked)
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(docs, ~F.col("doc_id").isin(100, 101)).where("doc_id < 1000").collect()}
+    assert got[100] - got[101] > 0.3
+
+
+def test_scores_do_not_hang_on_chunks(spark, real_docs, monkeypatch):
+    """Many small chunks and several salts give what one chunk gives."""
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    whole = {r.doc_id: r for r in suffix_tree.score_texts(real_docs, train).collect()}
+    monkeypatch.setattr(suffix_tree, "SALT_BYTES", 1 << 17)
+    small = {r.doc_id: r for r in suffix_tree.score_texts(real_docs.repartition(5), train).collect()}
+    assert whole.keys() == small.keys() and all(small[i].score == pytest.approx(r.score, rel=1e-5) and small[i].n_known == r.n_known for i, r in whole.items())
+
+
 def test_mixture_is_proper():
     """Over all seen tokens and the unseen class, probabilities add up to one at most."""
     counts, unseen = np.array([5, 3, 1, 1]), suffix_tree.unseen_share(10, 2)
