@@ -4,13 +4,16 @@ For each language a zstandard dictionary of raw content is filled with text of l
 (lower case, letters only, single spaces) are cut into blocks; each block is compressed under every dictionary, and
 the language with the smallest total wins. Short texts are compressed at a level that finds short matches. The
 margin is the gap between the two smallest totals; ``rejected`` marks texts without a letter and those whose margin is
-narrow: fewer whole bytes than the share ``narrow`` of the second total, so that a short text needs no margin.
+narrow: less than the share ``narrow`` of the second total or less than a byte. Whole bytes are coarse for short
+texts, so theirs may be settled by triples of characters: where at least ``KNOWN`` of a text's triples occur in the
+dictionaries, the likeliest of the languages within the margin wins if it leads by ``LEAD`` nats. A text that no
+dictionary knows is a tie and goes, however short.
 
 The dictionaries are the only thing that is fitted, on a bounded sample: ``dictionary_bytes`` of text per language
 from about ``sample_docs`` labelled documents, chosen by a hash of their ids. They are sent to every task: a few
 languages times ``dictionary_bytes``. Every text is judged whole.
 
-Null texts and texts without a letter are ``und`` with score 0. Ties go to the language with more labelled documents,
+Null texts and texts without a letter are ``und`` with score 0. Ties that stay unsettled go to the language with more labelled documents,
 then to the smaller label. With no labelled
 document every text is ``und``. Repeated rows are judged alike.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 import pandas as pd
 import zstandard
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from .worker import kept
 
 UNKNOWN = "und"
+KNOWN, LEAD = 0.5, 5.0
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -58,11 +63,16 @@ def words_of(text: str) -> bytes:
     return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
 
+def triples(raw: bytes) -> list[str]:
+    text = raw.decode("utf-8", "replace")
+    return [text[i : i + 3] for i in range(len(text) - 2)]
+
+
 class Judge:
     """Compressed sizes of a text under each language's dictionary."""
 
     def __init__(self, content: dict[str, bytes], level: int, block: int, short: int = 1024, short_level: int = 19):
-        self.block, self.short = block, short
+        self.block, self.short, self.content, self.counts = block, short, content, None
         self.long_text, self.short_text = ([self._compressor(raw, *x) for raw in content.values()] for x in ((level, block), (short_level, short)))
 
     @staticmethod
@@ -80,6 +90,22 @@ class Judge:
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         return [sum(len(compress(b)) for b in blocks) for compress in self.long_text]
 
+    def settled(self, text: str, among: list[int]) -> int | None:
+        """Which of these languages a short text's triples speak for, if they do clearly."""
+        raw = words_of(text)
+        if len(raw) > self.short:
+            return None
+        if self.counts is None:
+            self.counts = [Counter(triples(x)) for x in self.content.values()]
+            self.different = len(set().union(*self.counts))
+        own = triples(raw)
+        known = [x for x in own if any(x in c for c in self.counts)]
+        if len(known) < KNOWN * len(own):
+            return None
+        weight = {i: sum(math.log((self.counts[i][x] + 0.5) / (self.counts[i].total() + 0.5 * self.different)) for x in known) for i in among}
+        first, second, *_ = sorted(among, key=lambda i: (-weight[i], i))
+        return first if weight[first] - weight[second] >= LEAD else None
+
 
 def identify(
     docs: DataFrame, content: dict[str, bytes], text_col: str = "text", level: int = 3, block: int = 8192, narrow: float = 0.002
@@ -105,7 +131,11 @@ def identify(
             second = sizes[order[1]] if len(order) > 1 else 2 * low
             # each byte of gap counts as a bit of evidence
             score = 1 / sum(math.exp(-0.7 * min(900, s - low)) for s in sizes)
-            rows.append((names[order[0]], score, (second - low) / max(1, second), second - low >= int(narrow * second)))
+            best, least = order[0], max(1, narrow * second)
+            clear = second - low >= least
+            if not clear and (spoken := held.settled(text, [i for i in order if sizes[i] - low < least])) is not None:
+                best, clear = spoken, True
+            rows.append((names[best], score, (second - low) / max(1, second), clear))
         return pd.DataFrame(rows, columns=["best", "score", "margin", "clear"])
 
     judge = judge.asNondeterministic()  # else a filter on its result has it run twice

@@ -312,3 +312,15 @@ def test_language_edges(edge_docs, no_docs):
     assert {rows[i].lang_pred for i in (1, 2, 3, 9)} == {"und"} and rows[9].rejected and rows[9].score == 0 and rows[6].lang_pred == "en"
     assert {r.lang_pred for r in language_id.identify(edge_docs, {}).collect()} == {"und"}
     assert language_id.sample_texts(no_docs, F.lit(True)) == {} and language_id.identify(no_docs, content).count() == 0
+
+
+def test_unknown_languages_are_rejected(spark):
+    """What no dictionary knows ties everywhere and goes; clean short texts stay, with the right language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    content = language_id.sample_texts(docs, ~held)
+    odd = ["Привет, как твои дела сегодня утром?", "今天天气很好我们去公园", "Καλημέρα σας", "xqzv kjwp bvnm qqrt zzxk", "qq"]
+    judged = language_id.identify(spark.createDataFrame([(x,) for x in odd], "text string"), content).collect()
+    assert len(judged) == 5 and all(r.rejected for r in judged)
+    short = language_id.identify(docs, content).where(held & F.col("text").rlike(r"\p{L}") & (F.col("margin") == 0) & F.col("lang").isNotNull()).collect()
+    assert short and all(not r.rejected and r.lang_pred == r.lang for r in short)
