@@ -219,6 +219,17 @@ def test_bad_templates_are_rejected(spark):
     assert free.where("verdict = 'block'").count() == 0
 
 
+def test_rare_bad_and_deep_branches_are_told_apart(spark):
+    """A bad section of 1 % among sixty others is blocked, and so is a bad branch below five segments."""
+    name = lambda i: "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    wide = [(i, f"http://w.test/{'bad' if i % 100 == 0 else name(i % 60)}/{i}", i % 100 == 0) for i in range(12000)]
+    deep = [(20000 + i, f"http://d.test/a/b/c/d/e/{'bad' if i % 4 == 0 else 'good'}/f/{i}", i % 4 == 0) for i in range(400)]
+    df = spark.createDataFrame(wide + deep, "page_id bigint, url string, bad boolean")
+    rows = {r.page_id: r for r in url_filters.judge_urls(df.drop("bad"), df.select(F.col("page_id").alias("doc_id"), "bad"), []).collect()}
+    assert len(rows) == 12400 and all(rows[i].verdict == ("block" if bad else "allow") for i, _, bad in wide + deep)
+    assert rows[0].template == "/bad/#" and rows[20000].template == "/a/b/c/d/e/bad/f/#"
+
+
 def test_url_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "http://a/b"), (None, "http://a/" + "x/" * 3000)], "page_id bigint, url string").withColumn("template", F.lit("clash")).withColumn("host", F.lit(1))
     labels = spark.createDataFrame([(2, True), (2, None), (None, True)], "doc_id bigint, bad boolean")
