@@ -1,7 +1,8 @@
 """Composition of a ranked frame into one text within a token budget.
 
 The result is one text for a reader with a bounded budget, so only as many rows as can fit are gathered: a row costs
-at least its own characters, and the head of the ranking is taken by top-k before anything is collected.
+at least its own characters, and heads of the ranking are taken by top-k before anything is collected. Only where
+near copies fill even the largest head is the whole ranking read, partition by partition.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Iterator
 from math import ceil
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .ranking import ranked
 
+HEADS = (64, 1 << 10, 1 << 14, 1 << 18)
 FORMATS = ("xml", "markdown", "json", "text")
 
 
@@ -67,18 +69,25 @@ def kappa(rows: DataFrame, fmt: str = "markdown", max_tokens: int = 1000, dedup_
     """One row: format, content, token_count.
 
     Rows past the budget cannot show: each adds one character at least, so 4 * max_tokens rows that survive the
-    deduplication fill it. The ranking is read in that order and reading stops once the budget is full.
+    deduplication fill it. The ranking is read in that order and reading stops once the budget is full or the rows end.
+    Of equal values only the first can survive the deduplication, so they are one row before the ranking.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    head = ranked(rows).select("value_json", "value_text", "score")
+    if dedup_threshold <= 1:
+        equal = rows.groupBy("value_json", "value_text", "score").agg(F.min("ord").alias("ord"))
+        best = equal.groupBy("value_json", "value_text").agg(F.max(F.struct("score", "ord")).alias("best"))
+        rows = best.select("value_json", "value_text", "best.score", "best.ord")
+    head = rows.orderBy(F.desc("score"), "ord", "value_json", "value_text").select("value_json", "value_text", "score")
 
     def until_full() -> Iterator[tuple[str, str, float]]:
         taken = units = 0
         seen: list[set] = []
-        for size in (64, 1024, 1 << 14, 1 << 18):
-            batch = head.limit(size).collect()
-            for r in batch[taken:]:
+        for size in (*HEADS, None):
+            n = 0
+            for n, r in enumerate(head.limit(size).collect() if size else head.toLocalIterator(), 1):
+                if n <= taken:
+                    continue
                 mine = set(V.python_tokens(r.value_text))
                 if all((len(mine & s) / len(mine | s) if mine | s else 1.0) < dedup_threshold for s in seen):
                     seen.append(mine)
@@ -86,7 +95,7 @@ def kappa(rows: DataFrame, fmt: str = "markdown", max_tokens: int = 1000, dedup_
                     yield (r.value_json, r.value_text, r.score)
                 if units > 4 * max_tokens:
                     return
-            if len(batch) < size:
+            if not size or n < size:
                 return
             taken = size
 

@@ -191,3 +191,13 @@ def test_composition(spark):
     assert composition.count_tokens("😀") == 1 and math.isclose(len(composition._cut("a😀b", 3)), 2)
     with pytest.raises(ValueError):
         composition.kappa(rows, "pdf")
+
+
+def test_composition_reads_past_copies(spark):
+    """Groups of copies and near copies above the largest head of the ranking do not hide what comes after them."""
+    same = " ".join(f"w{i}" for i in range(30))
+    text = F.when(F.col("ord") < 270_000, F.lit(same)).when(F.col("ord") < 540_000, F.concat(F.lit(same + " x"), F.col("ord").cast("string"))).otherwise(F.lit("the last claim"))
+    rows = spark.range(0, 540_001, 1, 4).select(F.col("id").alias("ord"), F.when(F.col("id") < 540_000, 1.0).otherwise(0.5).alias("score"))
+    rows = rows.withColumn("value_text", text).withColumn("value_json", F.concat(F.lit('"'), text, F.lit('"')))
+    assert composition.kappa(rows, "text", 400).first().content == f"{same}\nthe last claim"
+    assert composition.kappa(rows, "text", 400, dedup_threshold=1.01).first().content == "\n".join([same] * 20)[:1600]
