@@ -10,8 +10,8 @@ dictionaries, the likeliest of the languages within the margin wins if it leads
 dictionary knows is a tie and goes, however short.
 
 The dictionaries are the only thing that is fitted, on a bounded sample: ``dictionary_bytes`` of text per language
-from about ``sample_docs`` labelled documents, chosen by a hash of their ids. They are sent to every task: a few
-languages times ``dictionary_bytes``. Every text is judged whole.
+from about ``sample_docs`` labelled documents, chosen by a hash of their ids, for at most ``languages`` labels. They are
+sent to every task: that many times ``dictionary_bytes`` at most. Every text is judged whole.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties that stay unsettled go to the language with more labelled documents,
 then to the smaller label. With no labelled
@@ -24,13 +24,14 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .worker import kept
+from .worker import kept, release
 
 UNKNOWN = "und"
 KNOWN, LEAD = 0.5, 5.0
@@ -38,21 +39,28 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def sample_texts(
-    docs: DataFrame, where: Column, sample_docs: int = 60, dictionary_bytes: int = 1 << 16, id_col="doc_id", text_col="text", lang_col="lang"
+    docs: DataFrame, where: Column, sample_docs: int = 60, dictionary_bytes: int = 1 << 16, languages: int = 200, id_col="doc_id", text_col="text", lang_col="lang"
 ) -> dict[str, bytes]:
-    """Raw dictionary content per language, from labelled documents with the smallest id hashes."""
+    """Raw dictionary content per language, from labelled documents with the smallest hashes of their ids (of texts, where an id is null).
+
+    At most ``languages`` languages, those with the most labelled documents, are learned. Rows that repeat an id are one
+    document here, with the least text, so about 2 * sample_docs texts a language come to the driver whatever repeats.
+    """
     labelled = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit("sample")).alias("h"),
     )
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("different"))
+    known = sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r.lang: r.n for r in known}
     if not counts:
         return {}
-    # uniform hash below a bound: about 2 * sample_docs rows of each language, whatever the table's size
-    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * sample_docs / n - 1)))[F.col("lang")]
+    # uniform hash below a bound: about 2 * sample_docs different documents of each language, whatever the table's size
+    bound = F.create_map(*(F.lit(x) for r in known for x in (r.lang, 4.0 * sample_docs / r.different - 1)))[F.col("lang")]
+    chosen = labelled.where(F.col("h") / F.lit(2.0**63) <= bound).groupBy("lang", "h").agg(F.min(F.substring("text", 1, dictionary_bytes)).alias("text"))
     found: dict[str, list] = {}
-    for r in labelled.where(F.col("h") / F.lit(2.0**63) <= bound).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text")).collect():
+    for r in chosen.collect():
         found.setdefault(r.lang, []).append((r.h, r.text))
     order = sorted(found, key=lambda lang: (-counts[lang], lang))
     return {lang: b"".join(words_of(t) for _, t in sorted(found[lang])[:sample_docs])[:dictionary_bytes] for lang in order}
@@ -107,6 +115,23 @@ class Judge:
         return first if weight[first] - weight[second] >= LEAD else None
 
 
+    def verdict(self, text: str | None, names: list[str], narrow: float) -> tuple[str, float, float, bool]:
+        """The language, its score, the margin as a share of the second size, and whether it is clear."""
+        if text is None or not names:
+            return UNKNOWN, 0.0, 0.0, False
+        sizes = self.sizes(text)
+        order = sorted(range(len(names)), key=lambda i: (sizes[i], i))
+        low = sizes[order[0]]
+        second = sizes[order[1]] if len(order) > 1 else 2 * low
+        # each byte of gap counts as a bit of evidence
+        score = 1 / sum(math.exp(-0.7 * min(900, s - low)) for s in sizes)
+        best, least = order[0], max(1, narrow * second)
+        clear = second - low >= least
+        if not clear and (spoken := self.settled(text, [i for i in order if sizes[i] - low < least])) is not None:
+            best, clear = spoken, True
+        return names[best], score, (second - low) / max(1, second), clear
+
+
 def identify(
     docs: DataFrame, content: dict[str, bytes], text_col: str = "text", level: int = 3, block: int = 8192, narrow: float = 0.002
 ) -> DataFrame:
@@ -118,25 +143,12 @@ def identify(
     key = zlib.crc32(repr((content, level, block)).encode())
 
     @F.pandas_udf("best string, score double, margin double, clear boolean")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, held = list(shared.value), kept(("language", key), lambda: Judge(shared.value, level, block))
-        rows = []
-        for text in texts:
-            if text is None or not names:
-                rows.append((UNKNOWN, 0.0, 0.0, False))
-                continue
-            sizes = held.sizes(text)
-            order = sorted(range(len(names)), key=lambda i: (sizes[i], i))
-            low = sizes[order[0]]
-            second = sizes[order[1]] if len(order) > 1 else 2 * low
-            # each byte of gap counts as a bit of evidence
-            score = 1 / sum(math.exp(-0.7 * min(900, s - low)) for s in sizes)
-            best, least = order[0], max(1, narrow * second)
-            clear = second - low >= least
-            if not clear and (spoken := held.settled(text, [i for i in order if sizes[i] - low < least])) is not None:
-                best, clear = spoken, True
-            rows.append((names[best], score, (second - low) / max(1, second), clear))
-        return pd.DataFrame(rows, columns=["best", "score", "margin", "clear"])
+        for texts in batches:
+            yield pd.DataFrame([held.verdict(t, names, narrow) for t in texts], columns=["best", "score", "margin", "clear"])
+        del held
+        release()
 
     judge = judge.asNondeterministic()  # else a filter on its result has it run twice
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .token_counts import byte_letters
 from .wordsplit import WordSplitter
-from .worker import kept, slices
+from .worker import kept, release, slices
 
 #: The splitting rules for which words can be encoded one by one.
 WORD_RULES = {
@@ -75,7 +75,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = kept(("encode", key), lambda: Encoder(spec.value)), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, 250):
             ids = [encoder(t) + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             start = at + np.cumsum(n) - n
@@ -84,6 +84,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
                 [pa.array(np.full(len(n), part, np.int64)), batch.column(0), pa.array(n), pa.array(start), pa.array(ids, pa.binary())],
                 ["part", "doc_id", "n", "local_start", "ids"],
             )
+        del encoder
+        release()
 
     return written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

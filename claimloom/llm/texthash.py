@@ -16,6 +16,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 3
 _SALT = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
+_SEGMENT = 1 << 19
 _powers: list[np.ndarray] = []
 
 
@@ -29,13 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, for i below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, U(_BASE)), np.full(size, U(pow(_BASE, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+    """base^i and base^-i modulo 2^64, for i below n. Only tables of the usual size are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, _SEGMENT + (1 << 16))
+    up, down = np.full(size, U(_BASE)), np.full(size, U(pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    made = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size > n:
+        _powers[:] = made
+    return made
 
 
 def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -64,10 +68,22 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), counts
+    out = np.zeros(len(starts), np.uint64)
+    for a, b in _runs(starts):  # sums of a stretch at a time, so that a very long text needs little more than itself
+        low = starts[a]
+        part = data[low : ends[b - 1]]
+        up, down = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        own, stop = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((sums[stop] - sums[own]) * down[own] + (stop - own).astype(np.uint64))
+    return out, counts
+
+
+def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words that begin within one segment."""
+    edge = np.flatnonzero(np.diff(starts // _SEGMENT, prepend=-1))
+    yield from zip(edge.tolist(), np.append(edge[1:], len(starts)).tolist())
 
 
 def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:

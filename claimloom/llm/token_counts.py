@@ -17,7 +17,7 @@ import heapq
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wordsplit import WordSplitter
-from .worker import kept
+from .worker import kept, release
 
 
 def read_rules(path: str) -> dict:
@@ -110,8 +110,12 @@ def token_counter(spark, tokenizer_path: str) -> Callable[[Column], Column]:
     key = zlib.crc32(repr(rules.value).encode())
 
     @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(kept(("count", key), lambda: MergeCounter(rules.value)).count).astype("int64")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = kept(("count", key), lambda: MergeCounter(rules.value)).count
+        for texts in batches:
+            yield texts.map(count).astype("int64")
+        del count
+        release()
 
     return lambda text: tokens(F.coalesce(text, F.lit("")))
 

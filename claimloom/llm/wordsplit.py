@@ -44,7 +44,7 @@ def latin_pattern(pattern: str) -> Callable[[str], list[str]] | None:
 class WordSplitter:
     """Combines the results of a text's words; each word is computed once while the memo holds it."""
 
-    def __init__(self, pattern: str, special: list[str], word: Callable[[bytes], object], join: Callable, entries: int = 800_000):
+    def __init__(self, pattern: str, special: list[str], word: Callable[[bytes], object], join: Callable, entries: int = 240_000):
         self.find = regex.compile(pattern).findall
         self.quick = latin_pattern(pattern) or self.find
         self.special = special

@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from claimloom.llm import jaccard_join as J
-from claimloom.llm import language_id, simhash, suffix_tree
+from claimloom.llm import language_id, simhash, suffix_tree, texthash
 from claimloom.llm.common import connected_components
 from claimloom.llm.texthash import chunks, shingle_sets, word_hashes
 
@@ -109,6 +110,17 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    """Words have their hash wherever they stand, in segments of any size."""
+    rng = random.Random(3)
+    raws = [b" ".join(bytes(rng.choices(b"abcdefgh", k=rng.randint(1, 90))) for _ in range(rng.randint(0, 400))) for _ in range(9)] + [b"y" * 5000, b""]
+    whole, counts = texthash.word_hashes(raws)
+    monkeypatch.setattr(texthash, "_SEGMENT", 64)
+    monkeypatch.setattr(texthash, "_powers", [])
+    cut, again = texthash.word_hashes(raws)
+    assert (whole == cut).all() and (counts == again).all() and counts.tolist() == [len(r.split()) for r in raws]
+
+
 def test_word_hashes():
     texts = ["a b", None, "", " A\tB\n", "b", "x" * 5000]
     hashes, counts = word_hashes([r for _, run in chunks(texts) for r in run])
@@ -314,6 +326,43 @@ def test_language_edges(edge_docs, no_docs):
     assert language_id.sample_texts(no_docs, F.lit(True)) == {} and language_id.identify(no_docs, content).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat an id are one document of the sample; rows without an id are told apart by their text."""
+    row = lambda i, k: (i, f"a plain english text numbered {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", "en")
+    same = spark.createDataFrame([row(7, k) for k in range(3000)], "doc_id long, text string, lang string")
+    assert len(language_id.sample_texts(same, F.lit(True))["en"]) <= 60
+    without = spark.createDataFrame([row(None, k) for k in range(3000)], "doc_id long, text string, lang string")
+    learned = language_id.sample_texts(without, F.lit(True))["en"]
+    assert learned.count(b"plain") == 60
+    many = spark.createDataFrame([(k, "word", f"l{k % 30}") for k in range(90)], "doc_id long, text string, lang string")
+    assert len(language_id.sample_texts(many, F.lit(True), languages=8)) == 8
+
+
+def test_language_sizes_equal_plain_compression():
+    """Sizes and choices against dictionaries compressed with no precomputed tables, block by block."""
+    content = {"en": language_id.words_of("the house and the garden were quiet in the morning light " * 40), "de": language_id.words_of("das haus und der garten waren still im licht des morgens " * 40)}
+    judge = language_id.Judge(content, 3, 8192)
+    texts = ["The garden was quiet.", "Das Haus war still", "the house " * 2000, "licht des morgens und " * 900, "?"]
+    for text in texts:
+        raw = language_id.words_of(text)
+        plain = []
+        for own in content.values():
+            level, most = (19, 1024) if len(raw) <= 1024 else (3, 8192)
+            held = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made = zstandard.ZstdCompressionParameters.from_level(level, source_size=most, dict_size=len(own), write_content_size=False, write_checksum=False, write_dict_id=False)
+            out = [zstandard.ZstdCompressor(dict_data=held, compression_params=made).compress(raw[i : i + most]) for i in range(0, len(raw), most)]
+            back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            assert b"".join(back.decompress(x, max_output_size=most) for x in out) == raw
+            plain.append(sum(map(len, out)))
+        assert judge.sizes(text) == plain
+        best, _, margin, clear = judge.verdict(text, list(content), 0.002)
+        low, second = sorted(plain)
+        assert margin == (second - low) / second and (plain[list(content).index(best)] == low or not clear)
+        assert clear or second - low < max(1, 0.002 * second)
+    assert judge.verdict(None, list(content), 0.002) == ("und", 0.0, 0.0, False)
+    assert [judge.verdict(t, list(content), 0.002)[0] for t in texts[:4]] == ["en", "de", "en", "de"]
+
+
 def test_unknown_languages_are_rejected(spark):
     """What no dictionary knows ties everywhere and goes; clean short texts stay, with the right language."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
