@@ -55,11 +55,19 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def json_quoted(text: Column) -> Column:
+    """A string as JSON text, escaped as ``canonical`` does: quotes, backslashes and control characters."""
+    plain = F.regexp_replace(text, r'(["\\])', r"\\$1")
+    full = plain
+    for code in range(32):
+        full = F.replace(full, F.lit(chr(code)), F.lit(json.dumps(chr(code))[1:-1]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"'))
+
+
 def scope_hash(scope: Column) -> Column:
     """Sixteen hex digits over the sorted fields; ``_`` for an empty scope."""
     fields = F.array_sort(F.transform(F.map_entries(scope), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
-    text = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda e: F.concat(quoted(e["k"]), F.lit(":"), quoted(e["v"]))), ","), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda e: F.concat(json_quoted(e["k"]), F.lit(":"), json_quoted(e["v"]))), ","), F.lit("}"))
     return F.when(F.coalesce(F.cardinality(scope), F.lit(0)) <= 0, "_").otherwise(short_hash(text))
 
 
@@ -103,7 +111,7 @@ def kind_of(found: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case tokens; everything but ASCII letters, digits and underscore separates."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^a-z0-9_]+")), "")
 
 
 def python_tokens(text: str) -> list[str]:

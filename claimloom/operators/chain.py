@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,17 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import json_quoted
+from .graph import settled
+
 EVENT_FIELDS = ("op", "corpus_id", "writer", "claim_id", "deprecated_id", "to_status", "reason", "recorded", "recorded_seq")
 
 
-def canonical_event(row) -> str:
-    return json.dumps([getattr(row, f) if not pd.isna(getattr(row, f)) else None for f in EVENT_FIELDS], separators=(",", ":"), ensure_ascii=False)
+#: Sequence numbers of one bucket: what is ordered inside one task.
+BUCKET = 1 << 16
+#: Nodes of a Merkle tree that meet in one group.
+FAN = 1 << 10
 
 
 def canonical_column() -> Column:
-    """The same text as a column."""
-    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')), F.lit("null"))
-    parts = [F.coalesce(F.col(f).cast("string"), F.lit("null")) if f.startswith("recorded") else quoted(F.col(f)) for f in EVENT_FIELDS]
+    """An event as the JSON text that is hashed. Building and verifying share it."""
+    parts = [F.coalesce(F.col(f).cast("string") if f.startswith("recorded") else json_quoted(F.col(f)), F.lit("null")) for f in EVENT_FIELDS]
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
@@ -39,29 +42,52 @@ def build_chain(events: DataFrame, start: dict[str, str] | None = None) -> DataF
         corpus, last = None, ""
         for batch in batches:
             before, after = [], []
-            for row in batch.itertuples(index=False):
-                if row.corpus_id != corpus:
-                    corpus, last = row.corpus_id, begun.get(row.corpus_id, "")
+            for owner, text in zip(batch["corpus_id"], batch["_text"]):
+                if owner != corpus:
+                    corpus, last = owner, begun.get(owner, "")
                 before.append(last)
-                last = hashlib.sha256((canonical_event(row) + last).encode()).hexdigest()
+                last = hashlib.sha256((text + last).encode("utf-8", "surrogatepass")).hexdigest()
                 after.append(last)
-            yield batch.assign(prev_hash=before, entry_hash=after)
+            yield batch.drop(columns="_text").assign(prev_hash=before, entry_hash=after)
+
+    rows = events.withColumn("_text", canonical_column())
+    return rows.repartition("corpus_id").sortWithinPartitions("corpus_id", "recorded_seq").mapInPandas(chain, schema)
+
+
+def _bucket() -> Column:
+    return F.floor(F.col("recorded_seq") / BUCKET)
+
 
-    return events.repartition("corpus_id").sortWithinPartitions("corpus_id", "recorded_seq").mapInPandas(chain, schema)
+def _offsets(log: DataFrame) -> DataFrame:
+    """Per corpus and bucket of sequence numbers, how many entries come before it: corpus_id, bucket, entries, before."""
+    sizes = log.groupBy("corpus_id", _bucket().alias("bucket")).agg(F.count("*").alias("entries"))
+    earlier = Window.partitionBy("corpus_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    return sizes.withColumn("before", F.coalesce(F.sum("entries").over(earlier), F.lit(0)))
 
 
 def verify_chain(log: DataFrame) -> DataFrame:
     """Per corpus: entries, intact, broken_at (position from 0 of the first inconsistency).
 
-    Every entry is checked against the one before it, so all are checked in parallel; only the hash of the preceding
-    entry is looked up, by its position.
+    An entry is good if it hashes to its own hash and names the hash before it. Logs are cut into buckets of sequence
+    numbers; inside a bucket entries see their predecessor, and only each bucket's ends meet those of its neighbours.
     """
-    place = F.row_number().over(Window.partitionBy("corpus_id").orderBy("recorded_seq")) - 1
-    rows = log.withColumn("place", place)
-    before = F.coalesce(F.lag("entry_hash").over(Window.partitionBy("corpus_id").orderBy("recorded_seq")), F.lit(""))
-    good = (F.col("prev_hash") == before) & (F.sha2(F.concat(canonical_column(), before), 256) == F.col("entry_hash"))
-    checked = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    return checked.groupBy("corpus_id").agg(F.count("*").alias("entries"), F.bool_and("good").alias("intact"), F.min(F.when(~F.col("good"), F.col("place"))).alias("broken_at"))
+    order = Window.partitionBy("corpus_id", "bucket").orderBy("recorded_seq")
+    rows = log.select("corpus_id", "recorded_seq", "prev_hash", "entry_hash", canonical_column().alias("text"), _bucket().alias("bucket"))
+    own = F.sha2(F.concat("text", "prev_hash"), 256) == F.col("entry_hash")
+    rows = rows.select("corpus_id", "bucket", "recorded_seq", "prev_hash", "entry_hash", own.alias("own"))
+    before = F.lag("entry_hash").over(order)
+    rows = rows.withColumns({"place": F.row_number().over(order) - 1, "good": F.coalesce(F.col("own") & (before.isNull() | (F.col("prev_hash") == before)), F.lit(False))})
+    ends = rows.groupBy("corpus_id", "bucket").agg(
+        F.count("*").alias("entries"),
+        F.min(F.when(~F.col("good"), F.col("place"))).alias("bad"),
+        F.min_by("prev_hash", "place").alias("first"),
+        F.max_by("entry_hash", "place").alias("last"),
+    )
+    along = Window.partitionBy("corpus_id").orderBy("bucket")
+    joined = F.coalesce(F.col("first") == F.coalesce(F.lag("last").over(along), F.lit("")), F.lit(False))
+    ends = ends.withColumns({"joined": joined, "offset": F.sum("entries").over(along) - F.col("entries")})
+    bad = F.col("offset") + F.when(~F.col("joined"), 0).otherwise(F.col("bad"))
+    return ends.groupBy("corpus_id").agg(F.sum("entries").alias("entries"), F.max(bad).isNull().alias("intact"), F.min(bad).alias("broken_at"))
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -74,16 +100,30 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def merkle_roots(log: DataFrame, levels: int = 48) -> DataFrame:
-    """Per corpus the Merkle root (hex) of its entry hashes in order, level by level as aggregates over pairs."""
-    order = Window.partitionBy("corpus_id").orderBy("recorded_seq")
-    level = log.select("corpus_id", (F.row_number().over(order) - 1).alias("i"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col("entry_hash").cast("binary")), 256).alias("h"))
-    rounds = max(0, (level.groupBy("corpus_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1) - 1).bit_length()
-    for _ in range(min(rounds, levels)):
-        pairs = level.groupBy("corpus_id", F.floor(F.col("i") / 2).alias("j")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("h"))).alias("r"))
-        node = F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex("l"), F.unhex("r")), 256))
-        level = pairs.select("corpus_id", F.col("j").alias("i"), node.alias("h"))
-    return level.select("corpus_id", F.col("h").alias("root"))
+def _halved(nodes: Column) -> Column:
+    """One level up: pairs of hashes (hex) become one, an odd one stays."""
+    pair = lambda j: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.get(nodes, 2 * j)), F.unhex(F.get(nodes, 2 * j + 1))), 256)
+    up = F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda j: F.when(2 * j + 1 < F.size(nodes), pair(j)).otherwise(F.get(nodes, 2 * j)))
+    return F.when(F.size(nodes) <= 1, nodes).otherwise(up)
+
+
+def merkle_roots(log: DataFrame) -> DataFrame:
+    """Per corpus the Merkle root (hex) of its entry hashes in order.
+
+    ``FAN`` neighbours at a time become their subtree's root, so a log of n entries takes log n / log FAN shuffles; each
+    such level is written, and no task holds more than a bucket of leaves or ``FAN`` nodes.
+    """
+    inside = Window.partitionBy("corpus_id", "bucket").orderBy("recorded_seq")
+    rows = log.select("corpus_id", "recorded_seq", _bucket().alias("bucket"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col("entry_hash").cast("binary")), 256).alias("h"))
+    rows = rows.withColumn("place", F.row_number().over(inside) - 1)
+    level = rows.join(_offsets(log), ["corpus_id", "bucket"]).select("corpus_id", (F.col("before") + F.col("place")).alias("i"), "h")
+    while True:
+        groups = level.groupBy("corpus_id", F.floor(F.col("i") / FAN).alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("nodes"))
+        for _ in range(FAN.bit_length() - 1):
+            groups = groups.withColumn("nodes", _halved(F.col("nodes")))
+        level = settled(groups.select("corpus_id", "i", F.get("nodes", F.lit(0)).alias("h")), "merkle")
+        if (level.agg(F.max("i")).first()[0] or 0) == 0:
+            return level.select("corpus_id", F.col("h").alias("root"))
 
 
 @dataclass

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import order_of
+from .graph import settled
 
 
 def citations(claims: DataFrame) -> DataFrame:
@@ -29,20 +30,16 @@ def gamma(ranked: DataFrame, lookup: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def would_create_cycle(claims: DataFrame, claim_id: str, cites: list[str], most_depth: int = 100) -> bool:
-    """Whether citing ``cites`` from ``claim_id`` closes a circle: it is reachable from them."""
+def would_create_cycle(claims: DataFrame, claim_id: str, cites: list[str]) -> bool:
+    """Whether citing ``cites`` from ``claim_id`` closes a circle: it is reachable from them, at any depth."""
     if claim_id in cites:
         return True
-    edges = citations(claims)
-    spark = claims.sparkSession
-    frontier = spark.createDataFrame([(c,) for c in cites], "id string") if cites else spark.createDataFrame([], "id string")
+    edges = settled(citations(claims), "citations")
+    frontier = claims.sparkSession.createDataFrame([(c,) for c in cites], "id string")
     seen = frontier
-    for _ in range(most_depth):
-        frontier = edges.join(frontier, "id", "left_semi").select(F.col("cited").alias("id")).distinct().join(seen, "id", "left_anti")
+    while True:
+        frontier = settled(edges.join(frontier, "id", "left_semi").select(F.col("cited").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
         hit = frontier.agg(F.count("*").alias("n"), F.bool_or(F.col("id") == claim_id).alias("hit")).first()
-        if hit.hit:
-            return True
-        if not hit.n:
-            return False
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"citations are deeper than {most_depth}")
+        if hit.hit or not hit.n:
+            return bool(hit.hit)
+        seen = settled(seen.unionByName(frontier), "seen")
