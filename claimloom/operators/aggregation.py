@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.confidence import PRIOR_A, PRIOR_W, wilson_lower
+from ..schema import CLAIM_COLUMNS
 from .ranking import ranked
 
 
@@ -62,12 +63,36 @@ def avg_of(path: str) -> dict[str, Column]:
     return {"value": F.coalesce(F.avg(_finite(path)), F.lit(0.0))}
 
 
+def _comparable(path: str) -> Column:
+    """What a claim holds at a path for comparisons: (number, text). Text counts where there is no number."""
+    if path == "value" or path.startswith("value."):
+        found = F.try_parse_json("value_json") if path == "value" else V.at_path(F.col("value_json"), path[6:])
+        text = F.when(V.kind_of(found) == "string", F.try_variant_get(found, "$", "string"))
+        return F.struct(F.when(text.isNull(), as_number(path)).alias("number"), text.alias("text"))
+    if path.startswith("scope."):
+        return F.struct(F.lit(None).cast("double").alias("number"), claim_path(path).alias("text"))
+    kind = CLAIM_COLUMNS.get(path, "double")
+    number = F.col(path).cast("double") if kind in ("double", "bigint", "int") else F.lit(None).cast("double")
+    return F.struct(number.alias("number"), (F.lit(None) if kind in ("double", "bigint", "int") else F.col(path)).cast("string").alias("text"))
+
+
+def _extreme(path: str, of: Callable[[Column], Column]) -> dict[str, Column]:
+    """Numbers are compared as numbers where there is one, texts as texts where all are texts; a missing value is none.
+
+    A mixture compares the numbers alone, with numeric texts among them. ``value`` is the number, ``text`` the text.
+    """
+    c = _comparable(path)
+    numeric = F.coalesce(c["number"], F.trim(c["text"]).try_cast("double"))
+    only_text = F.count(c["number"]) == 0
+    return {"value": F.when(only_text, F.lit(None).cast("double")).otherwise(of(numeric)), "text": F.when(only_text, of(c["text"]))}
+
+
 def min_of(path: str) -> dict[str, Column]:
-    return {"value": F.min(as_number(path))}
+    return _extreme(path, F.min)
 
 
 def max_of(path: str) -> dict[str, Column]:
-    return {"value": F.max(as_number(path))}
+    return _extreme(path, F.max)
 
 
 def rate(hit: Column, trial: Column) -> dict[str, Column]:
@@ -125,10 +150,11 @@ def normalize(aggregates: DataFrame, column: str = "n"):
     return lambda score, agg: score * agg(column) / F.lit(float(top)) if top else score
 
 
-def join_aggregate(rows: DataFrame, aggregates: DataFrame, path: str, reweight) -> DataFrame:
+def join_aggregate(rows: DataFrame, aggregates: DataFrame, path: str, reweight, ordered: bool = True) -> DataFrame:
     """Ranked rows with their score reweighted by the aggregate of their group; rows without one keep theirs."""
     named = aggregates.select(*(F.col(c).alias(f"_agg_{c}") for c in aggregates.columns))
     keyed = rows.withColumn("_key", claim_path(path).cast("string"))
     joined = keyed.join(named, F.col("_key") == F.col("_agg_group_key"), "left")
     score = F.when(F.col("_agg_group_key").isNotNull(), reweight(F.col("score"), lambda c: F.col(f"_agg_{c}"))).otherwise(F.col("score"))
-    return ranked(joined.withColumn("score", score).select(*rows.columns))
+    out = joined.withColumn("score", score).select(*rows.columns)
+    return ranked(out) if ordered else out

@@ -69,12 +69,20 @@ def similar_pairs(claims: DataFrame, cutoff: float, fn: str = "jaccard") -> Data
     return near.unionByName(copies)
 
 
-def dedupe(claims: DataFrame, rule: str = "weighted_avg", cutoff: float | None = None, fn: str = "jaccard", weights: dict | None = None) -> DataFrame:
-    """One survivor per (subject, key, scope), or per cluster of similar values in it. Adds ``members``."""
+def similar_groups(claims: DataFrame, cutoff: float, fn: str = "jaccard") -> DataFrame:
+    """The clusters of similar values, as rows (node, component), written; what stands alone has no row."""
+    return components(similar_pairs(claims, cutoff, fn))
+
+
+def dedupe(claims: DataFrame, rule: str = "weighted_avg", cutoff: float | None = None, fn: str = "jaccard", weights: dict | None = None, found: DataFrame | None = None) -> DataFrame:
+    """One survivor per (subject, key, scope), or per cluster of similar values in it. Adds ``members``.
+
+    ``found``: the clusters, where ``similar_groups`` has made them already.
+    """
     if cutoff is None:
         out = _combined(claims, list(TRIPLE), rule, [F.asc("ord")])
         return out.withColumn("ord", F.col("_first")).drop("_first")
-    found = components(similar_pairs(claims, cutoff, fn))
+    found = similar_groups(claims, cutoff, fn) if found is None else found
     rows = claims.join(found, claims["id"] == found["node"], "left").withColumn("_cluster", F.coalesce("component", "id")).drop("node", "component")
     out = _combined(rows, ["_cluster"], rule, [F.desc("valid_from"), F.asc("id")])
     groups = rows.groupBy(*TRIPLE).agg(F.min("ord").alias("_group"))
@@ -82,12 +90,12 @@ def dedupe(claims: DataFrame, rule: str = "weighted_avg", cutoff: float | None =
     return out.withColumn("ord", order_of(0, F.col("_group.seq"), F.concat_ws("|", F.col("_group.tie"), "_cluster"))).drop("_first", "_group", "_cluster")
 
 
-def merged_into(claims: DataFrame, survivors: DataFrame, cutoff: float | None = None, fn: str = "jaccard") -> DataFrame:
+def merged_into(claims: DataFrame, survivors: DataFrame, cutoff: float | None = None, fn: str = "jaccard", found: DataFrame | None = None) -> DataFrame:
     """Rows (member_id, survivor_id) for claims that a survivor absorbed."""
     if cutoff is None:
         kept = survivors.select(*TRIPLE, F.col("id").alias("survivor_id"))
         return claims.select(F.col("id").alias("member_id"), *TRIPLE).join(kept, list(TRIPLE)).where("member_id <> survivor_id").select("member_id", "survivor_id")
-    found = components(similar_pairs(claims, cutoff, fn))
+    found = similar_groups(claims, cutoff, fn) if found is None else found
     named = claims.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
     kept = named.join(survivors.select("id"), "id", "left_semi").select("c", F.col("id").alias("survivor_id"))
     return named.join(kept, "c").where("id <> survivor_id").select(F.col("id").alias("member_id"), "survivor_id")

@@ -254,8 +254,8 @@ def resolution(name: str):
 
 
 def cardinality_collisions(claims: DataFrame, cardinality: dict[str, str] | None = None, aliases=None) -> DataFrame:
-    """Single-valued keys that hold two values or more: subject, canonical_key, scope_hash, values."""
+    """Single-valued keys that hold two values or more: subject, canonical_key, scope_hash, values, total (claims)."""
     multi = [k for k, v in check_cardinality(cardinality).items() if v == "multi"]
     rows = canonical_key(claims.where("status <> 'deprecated'"), aliases)
     rows = rows.where(~F.col("canonical_key").isin(multi)) if multi else rows
-    return rows.groupBy(*GROUP).agg(F.count_distinct("value_hash").alias("values")).where("values > 1")
+    return rows.groupBy(*GROUP).agg(F.count_distinct("value_hash").alias("values"), F.count("*").alias("total")).where("values > 1")

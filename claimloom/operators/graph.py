@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``. Where it is unset, a temporary folder on a local master, the warehouse on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="claimloom-")
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="claimloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/claimloom-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

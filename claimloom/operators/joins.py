@@ -31,26 +31,31 @@ def join_scope(left: DataFrame, right: DataFrame) -> DataFrame:
     return _participating(left, right, F.try_element_at("scope", F.lit("entityId")))
 
 
-def _evidence_tokens(claims: DataFrame) -> DataFrame:
-    """What a claim can be met by: its own id, the ids it cites and each reference as a whole."""
-    cited = F.transform(F.filter("evidence", lambda e: e["kind"] == "claim"), lambda e: F.concat(F.lit("id:"), e["claim_id"]))
-    whole = F.transform("evidence", lambda e: F.concat(F.lit("ref:"), F.to_json(e)))
-    return claims.select("id", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("id:"), F.col("id"))), cited, whole))).alias("token"))
+def _evidence_tokens(claims: DataFrame, side: str) -> DataFrame:
+    """What a claim can be met by: its own id, the ids it cites and each reference as a whole. Rows (side, id, own, token)."""
+    reference = claims.schema["evidence"].dataType.elementType
+    token = lambda claim, e: F.struct(claim.cast("string").alias("claim"), e.cast(reference).alias("reference"))
+    none = F.lit(None)
+    own = F.array(F.struct(F.lit(True).alias("own"), token(F.col("id"), none).alias("token")))
+    cited = F.transform(F.filter("evidence", lambda e: e["kind"] == "claim"), lambda e: F.struct(F.lit(False).alias("own"), token(e["claim_id"], none).alias("token")))
+    whole = F.transform("evidence", lambda e: F.struct(F.lit(False).alias("own"), token(none, e).alias("token")))
+    return claims.select(F.lit(side).alias("side"), "id", F.explode(F.array_distinct(F.concat(own, cited, whole))).alias("x")).select("side", "id", "x.own", "x.token")
 
 
 def join_evidence(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Claims of which one cites the other, or that share a reference: a union of equi-joins instead of a disjunction."""
-    lt, rt = _evidence_tokens(left), _evidence_tokens(right)
-    own = lambda t: t.where(F.col("token") == F.concat(F.lit("id:"), F.col("id")))
-    refs = lambda t: t.where(F.col("token") != F.concat(F.lit("id:"), F.col("id")))
-
-    def met(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-        shared = refs(mine).where("token like 'ref:%'").join(refs(theirs).select("token"), "token", "left_semi")
-        citing = refs(mine).where("token like 'id:%'").join(own(theirs).select("token"), "token", "left_semi")
-        cited = own(mine).join(refs(theirs).where("token like 'id:%'").select("token"), "token", "left_semi")
-        return shared.unionByName(citing).unionByName(cited).select("id").distinct()
-
-    return _one_each(left.join(met(lt, rt), "id", "left_semi").select(*left.columns), right.join(met(rt, lt), "id", "left_semi").select(*left.columns))
+    """Claims of which one cites the other, or that share a reference.
+
+    All tokens of both sides are one frame; an aggregate tells for each token who has it and how, and a claim is met if
+    the other side has one of its tokens in a way that fits. A token of many claims is one row of the aggregate.
+    """
+    tokens = _evidence_tokens(left, "left").unionByName(_evidence_tokens(right, "right"))
+    who = tokens.groupBy("token").agg(*(F.bool_or((F.col("side") == s) & (F.col("own") == o)).alias(f"{s}_{o}".lower()) for s in ("left", "right") for o in (True, False)))
+    other = lambda o: F.when(F.col("side") == "left", F.col(f"right_{o}")).otherwise(F.col(f"left_{o}"))
+    # an own id is met where it is cited, a cited id where it is owned, a reference where it is used
+    fits = F.when(F.col("own") | F.col("token.claim").isNull(), other("false")).otherwise(other("true"))
+    met = tokens.join(who, "token").where(fits).select("side", "id").distinct()
+    own = lambda side: met.where(F.col("side") == side).select("id")
+    return _one_each(left.join(own("left"), "id", "left_semi").select(*left.columns), right.join(own("right"), "id", "left_semi").select(*right.columns))
 
 
 def override(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Similarity and ranking. A ranked frame has ``score`` and is read by (score descending, ord)."""
+"""Similarity and ranking.
+
+A ranked frame has ``score`` and is read by (score descending, ord). With ``ordered=False`` operators add the score and
+leave rows where they are, so that a chain of them costs no shuffle: what reads the order (``top_k``, a composed text,
+``ranked`` at the end of a query) sorts. Plans and registered queries do so.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +28,11 @@ def _text(query) -> str:
 
 def jaccard(query) -> Column:
     wanted = V.python_tokens(_text(query))
-    return V.jaccard(V.tokens(F.col("value_text")), F.array(*map(F.lit, wanted)).cast("array<string>"))
+    own = V.tokens(F.col("value_text"))
+    both = F.size(F.array_intersect(own, F.array(*map(F.lit, wanted)).cast("array<string>")))
+    if not wanted:
+        return F.when(F.col("value_text").isNotNull(), F.when(F.size(own) == 0, 1.0).otherwise(0.0))
+    return both / (F.size(own) + len(wanted) - both)
 
 
 def exact(query) -> Column:
@@ -68,12 +77,17 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("score"), "ord")
 
 
-def rho(claims: DataFrame, name: str, query) -> DataFrame:
-    return ranked(claims.withColumn("score", similarity(name)(query)))
+def _scored(claims: DataFrame, score: Column, ordered: bool) -> DataFrame:
+    rows = claims.withColumn("score", score)
+    return ranked(rows) if ordered else rows
+
+
+def rho(claims: DataFrame, name: str, query, ordered: bool = True) -> DataFrame:
+    return _scored(claims, similarity(name)(query), ordered)
 
 
-def rho_by(claims: DataFrame, fn: SimilarityFn, query) -> DataFrame:
-    return ranked(claims.withColumn("score", fn(query)))
+def rho_by(claims: DataFrame, fn: SimilarityFn, query, ordered: bool = True) -> DataFrame:
+    return _scored(claims, fn(query), ordered)
 
 
 def recency(half_life_days: float, now: int) -> Column:
@@ -81,17 +95,17 @@ def recency(half_life_days: float, now: int) -> Column:
     return F.pow(F.lit(0.5), age / F.lit(float(half_life_days) * DAY_MS))
 
 
-def rank_blend(claims: DataFrame, fn: SimilarityFn, query, now: int, alpha: float = 0.5, half_life_days: float = 90) -> DataFrame:
+def rank_blend(claims: DataFrame, fn: SimilarityFn, query, now: int, alpha: float = 0.5, half_life_days: float = 90, ordered: bool = True) -> DataFrame:
     """alpha x similarity + (1 - alpha) x recency of valid_from; what is valid from the future on has age 0."""
     if not 0 <= alpha <= 1 or half_life_days <= 0:
         raise ValueError("alpha must be in [0, 1] and the half-life above 0")
-    return ranked(claims.withColumn("score", alpha * fn(query) + (1 - alpha) * recency(half_life_days, now)))
+    return _scored(claims, alpha * fn(query) + (1 - alpha) * recency(half_life_days, now), ordered)
 
 
-def rank_blend_confidence(claims: DataFrame, query, now: int, w_sim: float, w_rec: float, w_conf: float, half_life_days: float = 90) -> DataFrame:
+def rank_blend_confidence(claims: DataFrame, query, now: int, w_sim: float, w_rec: float, w_conf: float, half_life_days: float = 90, ordered: bool = True) -> DataFrame:
     from ..functions.confidence import point
 
-    return ranked(claims.withColumn("score", w_sim * jaccard(query) + w_rec * recency(half_life_days, now) + w_conf * point()))
+    return _scored(claims, w_sim * jaccard(query) + w_rec * recency(half_life_days, now) + w_conf * point(), ordered)
 
 
 def relevance_floor(rows: DataFrame, least: float) -> DataFrame:
@@ -105,7 +119,7 @@ def abstain_below_top(rows: DataFrame, least: float) -> DataFrame:
     if not 0 <= least <= 1:
         raise ValueError("the least top score must be in [0, 1]")
     top = rows.agg(F.max("score").alias("top")).where(F.col("top") >= least).select(F.lit(True).alias("answer"))
-    return ranked(rows.join(F.broadcast(top)).drop("answer"))  # one row or none
+    return rows.join(F.broadcast(top)).drop("answer")  # one row or none
 
 
 def top_k(rows: DataFrame, k: int = 5) -> DataFrame:

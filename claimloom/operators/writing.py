@@ -7,6 +7,8 @@ and each task streams through its triples with one triple's live values in memor
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,23 +30,22 @@ def decide(policy: str, rule: str = "deprecate_lower"):
         raise ValueError(f"unknown policy {policy!r} or rule {rule!r}")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, live = None, {}
+        key, live = None, Live()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if (triple := (row.subject, row.key, row.scope_hash)) != key:
-                    key, live = triple, {}  # id -> (value, point), in order
-                conflict = next((i for i, (value, _) in live.items() if value != row.value_hash), None)
+                    key, live = triple, Live(policy == "accept_and_resolve" and rule == "deprecate_lower")
+                conflict, other = live.first_other(row.value_hash) if row.candidate else (None, 0.0)
                 outcome, gone = "committed", None
-                if row.candidate and conflict is not None:
-                    other = live[conflict][1]
+                if conflict is not None:
                     if policy == "reject_on_contradiction" and other >= row.point:
                         outcome = "rejected"
-                    elif policy == "accept_and_resolve" and rule == "deprecate_lower" and row.point > other:
+                    elif live.all and row.point > other:
                         gone = conflict
-                        del live[conflict]
+                        live.drop_other(row.value_hash)
                 if outcome == "committed" and row.status == "validated":
-                    live[row.id] = (row.value_hash, row.point)
+                    live.add(row.value_hash, row.id, row.point)
                 if row.candidate:
                     out.append((row.id, outcome, conflict, gone))
             yield pd.DataFrame(out, columns=["id", "outcome", "conflict_id", "deprecated_id"])
@@ -52,6 +53,53 @@ def decide(policy: str, rule: str = "deprecate_lower"):
     return fold
 
 
+class Live:
+    """A triple's live claims in order. The first one of another value is found without a scan.
+
+    Only that one can conflict, so the first claims of two values are enough unless claims can be deprecated (``all``):
+    then each value has its queue, and a heap holds the queues' heads.
+    """
+
+    def __init__(self, all_: bool = False):
+        self.all, self.queues, self.heads, self.n = all_, {}, [], 0
+
+    def add(self, value: str, id_: str, point: float) -> None:
+        queue = self.queues.get(value)
+        if queue is None:
+            if not self.all and len(self.queues) == 2:
+                return
+            queue = self.queues[value] = deque()
+        if self.all or not queue:
+            if not queue:
+                heapq.heappush(self.heads, (self.n, value))
+            queue.append((self.n, id_, point))
+        self.n += 1
+
+    def _head(self, value: str) -> tuple[int, str] | None:
+        """The heap's entry of the first claim whose value is another one."""
+        if not self.heads:
+            return None
+        if self.heads[0][1] != value:
+            return self.heads[0]
+        return min(self.heads[1:3], default=None)  # a value has one head, so the next one is a child of the top
+
+    def first_other(self, value: str) -> tuple[str | None, float]:
+        head = self._head(value)
+        return self.queues[head[1]][0][1:] if head else (None, 0.0)
+
+    def drop_other(self, value: str) -> None:
+        top = heapq.heappop(self.heads)
+        if top[1] == value:
+            other = heapq.heappop(self.heads)
+            heapq.heappush(self.heads, top)
+        else:
+            other = top
+        queue = self.queues[other[1]]
+        queue.popleft()
+        if queue:
+            heapq.heappush(self.heads, (queue[0][0], other[1]))
+
+
 def decisions(batch: DataFrame, existing: DataFrame | None, policy: str, rule: str = "deprecate_lower") -> DataFrame:
     """Per item of the batch (ordered by ``recorded_seq``): id, outcome, conflict_id, deprecated_id."""
     if policy == "always_accept":
@@ -120,10 +168,10 @@ def with_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def promote(claims: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per request (id, to): outcome promoted, invalid_transition or not_found. Only upwards, or to deprecated."""
+    """Per request (id, to): outcome promoted, invalid_transition or not_found. Only upwards, or from any status to deprecated."""
     rank = lambda c: F.array_position(F.array(*map(F.lit, STATUSES)), F.col(c))
     known = F.coalesce(rank("to"), F.lit(0)) > 0
-    legal = known & (F.col("status") != "deprecated") & (rank("to") > rank("status"))
+    legal = known & ((F.col("to") == "deprecated") | (rank("to") > rank("status")))
     return requests.join(claims.select("id", "status"), "id", "left").select(
         "id", "to", F.when(F.col("status").isNull(), "not_found").when(legal, "promoted").otherwise("invalid_transition").alias("outcome")
     )
@@ -133,12 +181,3 @@ def supersede(claims: DataFrame, replacements: DataFrame) -> DataFrame:
     """Replacement claims with the column ``supersedes`` are appended; what they supersede is deprecated where it is there."""
     gone = replacements.where("supersedes is not null").select(F.col("supersedes").alias("id"), F.lit("deprecated").alias("to"))
     return with_status(claims, gone).unionByName(replacements.select(*claims.columns))
-
-
-def attribution(batch: DataFrame, ledger: DataFrame, t: int) -> DataFrame:
-    """Per item written: disposition committed, merged (same value before) or superseded (a newer value is live)."""
-    same = ledger.groupBy(*TRIPLE, "value_hash").agg(F.min_by("id", F.struct("recorded_seq", "id")).alias("first"))
-    newest = ledger.where((F.col("status") != "deprecated") & (F.col("valid_from") <= t)).groupBy(*TRIPLE).agg(F.max_by("value_hash", F.struct("valid_from", "recorded_seq")).alias("live"))
-    rows = batch.join(same, [*TRIPLE, "value_hash"], "left").join(newest, list(TRIPLE), "left")
-    kind = F.when(F.col("first").isNotNull() & (F.col("first") != F.col("id")), "merged").when(F.col("live") != F.col("value_hash"), "superseded").otherwise("committed")
-    return rows.select("id", kind.alias("disposition"), F.when(F.col("first") != F.col("id"), F.col("first")).alias("target_id"))
