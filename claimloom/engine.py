@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import chain, writing
+from .operators import chain, ranking, writing
 from .operators.contradiction import check_cardinality
 from .operators.graph import settled
 from .operators.staging import Staging
 from .plans import ast, census, derive, dsl, read
-from .schema import CLAIM_COLUMNS
-from .sources.store import ClaimStore, UnknownCorpus, query_plan
+from .schema import CLAIM_COLUMNS, as_claims, cite
+from .sources.store import ClaimStore, UnknownCorpus, narrowing, query_plan
 
+#: Scope fields of a corpus that ``remember`` makes.
+REMEMBER_SCOPE = ("project", "person", "context")
 TIERS = ("claims", "events", "idempotency", "audit")
 
 
@@ -57,7 +60,13 @@ class Engine:
 
     def claims(self, corpus_id: str, **plan) -> DataFrame:
         self.store.corpus(corpus_id)
-        return self.store.scoped(corpus_id).claims(query_plan(**plan))
+        return self.store.scoped(corpus_id).claims(query_plan(**plan), narrowing(**plan))
+
+    def inspect_corpus(self, corpus_id: str) -> dict:
+        """Its definition with what it holds: claims by status and the last sequence number."""
+        rows = self.claims(corpus_id)
+        counts = {r.status: r.n for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        return self.store.corpus(corpus_id) | {"claims": counts, "recorded_seq": self.store.scoped(corpus_id).max_seq()}
 
     def read_by_ids(self, corpus_id: str, ids: list[str]) -> DataFrame:
         return read.read_by_ids(self.claims(corpus_id), ids)
@@ -73,22 +82,23 @@ class Engine:
             raise UndeclaredScope(f"declared are {declared}")
         base = store.max_seq()
         rows = batch.withColumn("corpus_id", F.lit(corpus_id)).withColumn("writer", F.lit(writer)).withColumn("recorded", F.lit(now)).withColumn("recorded_seq", F.col("recorded_seq") + base + 1)
-        rows = rows.withColumn("ord", F.struct(F.lit(0).alias("stage"), F.col("recorded_seq").alias("seq"), F.col("id").alias("tie"))).cache()
-        existing = store.claims()
+        rows = rows.withColumn("ord", F.struct(F.lit(0).alias("stage"), F.col("recorded_seq").alias("seq"), F.col("id").alias("tie")))
         # written, not cached: what follows changes the tables that the decisions were read from
-        told = settled(writing.commit_batch(rows, existing, definition["policy"], definition["rule"], store.idempotency(), now), "told")
+        rows = settled(rows, "batch")
+        told = settled(writing.commit_batch(rows, store.claims(), definition["policy"], definition["rule"], store.idempotency(), now), "told")
         accepted = rows.join(told.where("outcome = 'committed'").select("id"), "id", "left_semi")
-        store.insert(accepted.select(*CLAIM_COLUMNS))
-        gone = told.where("deprecated_id is not null").select(F.lit(corpus_id).alias("corpus_id"), F.col("deprecated_id").alias("id"), F.lit("deprecated").alias("to"))
-        store.set_status(gone, now)
-        if definition["policy"] == "accept_but_mark":
-            store.insert(writing.marks(rows, told, now))
-        if "idempotency_key" in batch.columns:
-            store.put_idempotency(accepted.where("idempotency_key is not null").select("corpus_id", "writer", "key", "idempotency_key", F.col("id").alias("claim_id"), F.lit(now).alias("created")))
-        if "audit" in definition["tiers"]:
-            last = store.events().orderBy(F.desc("recorded_seq")).limit(1).collect()
-            events = accepted.select(F.lit("commit").alias("op"), "corpus_id", "writer", F.col("id").alias("claim_id"), *(F.lit(None).cast("string").alias(c) for c in ("deprecated_id", "to_status", "reason")), "recorded", "recorded_seq")
-            store.append_events(chain.build_chain(events, {corpus_id: last[0].entry_hash} if last else None))
+        last = store.events().orderBy(F.desc("recorded_seq")).limit(1).collect() if "audit" in definition["tiers"] else []
+        with store.transact() as whole:
+            whole.insert(accepted.select(*CLAIM_COLUMNS))
+            gone = told.where("deprecated_id is not null").select(F.lit(corpus_id).alias("corpus_id"), F.col("deprecated_id").alias("id"), F.lit("deprecated").alias("to"))
+            whole.set_status(gone, now)
+            if definition["policy"] == "accept_but_mark":
+                whole.insert(writing.marks(rows, told, now))
+            if "idempotency_key" in batch.columns:
+                whole.put_idempotency(accepted.where("idempotency_key is not null").select("corpus_id", "writer", "key", "idempotency_key", F.col("id").alias("claim_id"), F.lit(now).alias("created")))
+            if "audit" in definition["tiers"]:
+                events = accepted.select(F.lit("commit").alias("op"), "corpus_id", "writer", F.col("id").alias("claim_id"), *(F.lit(None).cast("string").alias(c) for c in ("deprecated_id", "to_status", "reason")), "recorded", "recorded_seq")
+                whole.append_events(chain.build_chain(events, {corpus_id: last[0].entry_hash} if last else None))
         return told
 
     def promote(self, corpus_id: str, requests: DataFrame) -> DataFrame:
@@ -110,13 +120,35 @@ class Engine:
     def commit_derived(self, expression: ast.Node, writer: str = "derive") -> tuple[DataFrame, derive.Derivation]:
         """Derive a claim and write it, with its inputs as evidence; the provenance replays it."""
         row, made = self.derive(expression)
-        refs = F.array(*(F.expr(f"named_struct('kind','claim','claim_id','{i}','document_id',cast(null as string),'offset_start',cast(null as bigint),'offset_end',cast(null as bigint),'method','derive','uri',cast(null as string),'content_hash','{h}')") for i, h in zip(made.inputs, made.input_hashes)))
-        return self.commit_batch(made.corpus, row.withColumn("evidence", refs).withColumn("recorded_seq", F.lit(0).cast("bigint")), writer), made
+        if made.inputs_table:  # too many to cite one by one
+            by = lambda f, c: F.lit({"kind": "table", "method": "derive", "uri": made.inputs_table}.get(f)).cast(c).alias(f)
+            refs = F.array(F.struct(*(by(f.name, f.dataType) for f in row.schema["evidence"].dataType.elementType.fields)))
+            row = row.withColumn("evidence", refs)
+        else:
+            pairs = F.from_json(F.lit(json.dumps([{"i": i, "h": h} for i, h in zip(made.inputs, made.input_hashes)])), "array<struct<i:string,h:string>>")
+            row = row.withColumn("evidence", F.transform(pairs, lambda x: cite(x["i"], F.lit("derive"), x["h"])))
+        return self.commit_batch(made.corpus, row.withColumn("recorded_seq", F.lit(0).cast("bigint")), writer), made
+
+    def remember(self, corpus_id: str, claims: DataFrame, writer: str = "remember", policy: str = "always_accept") -> DataFrame:
+        """Write claims, making the corpus where there is none, and tell what each did: id, outcome, action, merged_into, deprecated_ids.
+
+        A claim without a validity start is valid from now, so that the last word holds.
+        """
+        if corpus_id not in self.store.corpora():
+            self.create_corpus(corpus_id, policy=policy, scope_fields=REMEMBER_SCOPE)
+        now = self.clock()
+        rows = as_claims(claims.withColumn("valid_from", F.coalesce("valid_from", F.lit(now)) if "valid_from" in claims.columns else F.lit(now)), corpus_id)
+        told = self.commit_batch(corpus_id, rows, writer).select("id", "outcome")
+        ledger = self.claims(corpus_id)
+        written = ledger.join(told.where("outcome = 'committed'").select("id"), "id", "left_semi")
+        did = read.attribution(written, ledger, now, read.alias_map(ledger, now).map, self.store.corpus(corpus_id)["cardinality"])
+        return told.join(did, "id", "left")
 
     # reading
 
     def query(self, expression: ast.Node) -> DataFrame:
-        return ast.compile(expression, self.claims)
+        rows = ast.compile(expression, self.claims, lambda corpus, hints: self.claims(corpus, **hints))
+        return ranking.ranked(rows) if {"score", "ord"} <= set(rows.columns) else rows
 
     def q(self, corpus_id: str, text: str) -> DataFrame:
         return self.query(dsl.parse(corpus_id, dsl.normalize(text), self.clock()))
@@ -126,8 +158,10 @@ class Engine:
         leaf = expression
         while leaf.source:
             leaf = leaf.source
-        definition = self.store.corpus(leaf.args["corpus"])
-        return derive.derive(derive.stamp(expression, definition["threshold"], now), self.claims, now)
+        corpus_id = leaf.args["corpus"]
+        definition = self.store.corpus(corpus_id)
+        aliases = read.alias_map(self.claims(corpus_id), now).map if derive.resolves(expression) else None
+        return derive.derive(derive.stamp(expression, definition["threshold"], now, aliases, definition["cardinality"]), self.claims, now)
 
     def replay(self, derivation: derive.Derivation) -> str:
         return derive.replay(derivation, self.claims)
@@ -152,7 +186,8 @@ class Engine:
         return read.lineage(rows, subject, read.alias_map(rows, self.clock()).family(key) if key else None)
 
     def audit(self, corpus_id: str) -> DataFrame:
-        return census.audit(self.claims(corpus_id), self.clock(), self.store.corpus(corpus_id)["cardinality"])
+        rows, now = self.claims(corpus_id), self.clock()
+        return census.audit(rows, now, self.store.corpus(corpus_id)["cardinality"], corpus=corpus_id, aliases=read.alias_map(rows, now).map)
 
     def verify(self, corpus_id: str) -> DataFrame:
         return chain.verify_chain(self.store.scoped(corpus_id).events())

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.confidence import lower_bound, source_weight
-from ..schema import STATUSES
+from ..schema import STATUSES, cite
 
 USAGE_WEIGHT, OUTCOME_WEIGHT, SCALAR_PSEUDOCOUNT = 0.5, 2.0, 2.0
 FOLD_AT, BOUND_K = 3, 1.645
 TIERS = {"provisional": 0.5, "validated": 0.65}
-DREAM_PRIOR = (1.0, 3.0)
+DREAM, SUMMARY = "dream", "summary"
+DREAM_PRIOR = SUMMARY_PRIOR = (1.0, 3.0)
 DREAM_DEPTH, DREAM_LIMIT = 3, 200
 KEY_GRAMMAR = re.compile(r"[a-z0-9-]+(\.[a-z0-9-]+)+")
 
@@ -73,20 +74,150 @@ def plan_consolidation(claims: DataFrame, fold_at: int = FOLD_AT, k: float = BOU
     return derived.unionByName(gone).unionByName(risen)
 
 
-def select_dreams(claims: DataFrame, limit: int = DREAM_LIMIT, depth: int = DREAM_DEPTH) -> DataFrame:
-    """What a dream pass reads: no unvalidated dreams, nothing dreamt too deep; newest, then most confident first."""
-    level = F.size(F.filter("tags", lambda t: t.startswith("dream:")))
-    dream = F.exists("tags", lambda t: t.startswith("dream"))
-    rows = claims.where(~(dream & (F.col("status") != "validated"))).where(level < depth)
-    return rows.orderBy(F.desc("recorded"), F.desc("raw"), "id").limit(limit)
+def dream_depth(tags: Column) -> Column:
+    """The number in the first tag ``dream-depth:N``; 0 without one, ``DREAM_DEPTH`` where it is no number."""
+    tag = F.get(F.filter(tags, lambda t: t.startswith("dream-depth:")), F.lit(0))
+    text = F.trim(F.substring(tag, len("dream-depth:") + 1, 1 << 20))
+    return F.when(tag.isNull(), 0.0).when(text == "", 0.0).otherwise(F.coalesce(F.nanvl(text.try_cast("double"), F.lit(None).cast("double")), F.lit(float(DREAM_DEPTH))))
+
+
+def select_dreams(claims: DataFrame, run_ids: DataFrame | None = None, limit: int = DREAM_LIMIT, depth: int = DREAM_DEPTH) -> DataFrame:
+    """What a dream pass reads of an episode's runs: no unvalidated dreams, nothing dreamt too deep; newest, then most confident first.
+
+    ``run_ids``: the episode's runs as rows (run_id); None reads all.
+    """
+    unvalidated = F.coalesce((F.col("workflow") == DREAM) & (F.col("status") == "candidate"), F.lit(False))
+    rows = claims.where(~unvalidated).where(dream_depth(F.col("tags")) < depth)
+    if run_ids is not None:
+        rows = rows.join(run_ids.select("run_id").distinct(), "run_id", "left_semi")
+    return rows.orderBy(F.desc("recorded"), F.desc(F.coalesce("raw", F.lit(0.0))), "ord").limit(limit)
+
+
+def _cited(proposals: DataFrame, selection: DataFrame) -> DataFrame:
+    """Proposals (id, key, cites array) with what their citations say: reason (null if all is well), first cited claim, depth."""
+    known = selection.select(F.col("id").alias("c"), dream_depth(F.col("tags")).alias("depth"), F.lit(1).alias("known"), "valid_from", "valid_to")
+    cited = proposals.select("id", F.posexplode("cites").alias("at", "c")).join(known, "c", "left")
+    told = cited.groupBy("id").agg(
+        F.count("*").alias("_cited"), F.count("known").alias("_known"), F.max("depth").alias("_depth"), F.min_by("valid_from", "at").alias("_from"), F.min_by("valid_to", "at").alias("_to")
+    )
+    ok = (F.coalesce(F.col("_cited"), F.lit(0)) > 0) & (F.col("_cited") == F.col("_known"))
+    well_formed = F.coalesce(F.col("key").rlike(f"^{KEY_GRAMMAR.pattern}$"), F.lit(False))
+    reason = F.when(~ok, "cites not in selected set").when(~well_formed, "invalid key")
+    return proposals.join(told, "id", "left").withColumn("reason", reason)
 
 
 def admit_insights(insights: DataFrame, selection: DataFrame) -> DataFrame:
-    """Insights (id, key, cites array) with ``admitted``: a well-formed key and citations from the selection only."""
-    cited = insights.select("id", F.explode("cites").alias("c")).join(selection.select(F.col("id").alias("c"), F.lit(1).alias("known")), "c", "left")
-    told = cited.groupBy("id").agg(F.count("*").alias("cited"), F.count("known").alias("known"))
-    ok = (F.coalesce(F.col("cited"), F.lit(0)) > 0) & (F.col("cited") == F.col("known")) & F.col("key").rlike(f"^{KEY_GRAMMAR.pattern}$")
-    return insights.join(told, "id", "left").select(*insights.columns, F.coalesce(ok, F.lit(False)).alias("admitted"), F.lit(DREAM_PRIOR[0]).alias("alpha"), F.lit(DREAM_PRIOR[1]).alias("beta"))
+    """Insights (id, key, cites array) with ``admitted``, ``reason`` and, for those admitted, their prior, subject, depth tag and evidence.
+
+    Admitted are well-formed keys with citations from the selection only. An insight is one level deeper than the deepest claim it cites.
+    """
+    rows = _cited(insights, selection)
+    good = F.col("reason").isNull()
+    return rows.select(
+        *insights.columns,
+        good.alias("admitted"),
+        "reason",
+        F.lit(DREAM_PRIOR[0]).alias("alpha"),
+        F.lit(DREAM_PRIOR[1]).alias("beta"),
+        F.when(good, F.substring_index("key", ".", 1)).alias("subject"),
+        F.when(good, F.array(F.concat(F.lit("dream-depth:"), (F.col("_depth") + 1).cast("bigint").cast("string")))).alias("tags"),
+        F.when(good, F.transform("cites", lambda c: cite(c))).alias("evidence"),
+        F.when(good, F.col("_from")).alias("valid_from"),
+        F.when(good, F.col("_to")).alias("valid_to"),
+    )
+
+
+def admit_summaries(summaries: DataFrame, selection: DataFrame, run_id: str | None) -> DataFrame:
+    """Summaries (id, key, cites array) of an episode's run with ``admitted`` and ``reason``, as for insights; without a run all are refused."""
+    rows = _cited(summaries, selection)
+    if run_id is None:
+        rows = rows.withColumn("reason", F.lit("episode has no runs"))
+    good = F.col("reason").isNull()
+    return rows.select(
+        *summaries.columns,
+        good.alias("admitted"),
+        "reason",
+        F.lit(SUMMARY_PRIOR[0]).alias("alpha"),
+        F.lit(SUMMARY_PRIOR[1]).alias("beta"),
+        F.when(good, F.substring_index("key", ".", 1)).alias("subject"),
+        F.when(good, F.transform("cites", lambda c: cite(c))).alias("evidence"),
+        F.when(good, F.lit(run_id).cast("string")).alias("run_id"),
+        F.when(good, F.col("_from")).alias("valid_from"),
+        F.when(good, F.col("_to")).alias("valid_to"),
+    )
+
+
+def admitted_claims(admitted: DataFrame, workflow: str, now: int) -> DataFrame:
+    """What was admitted (with a column value_json) as candidate claims of a workflow."""
+    from ..schema import as_claims
+
+    rows = admitted.where("admitted").withColumns({"status": F.lit("candidate"), "source": F.lit("llm"), "workflow": F.lit(workflow), "recorded": F.lit(now), "dist": F.lit("beta")})
+    return as_claims(rows)
+
+
+class BufferFull(RuntimeError):
+    """Too many signals wait; a cycle must drain them."""
+
+
+class SignalBuffer:
+    """Signals of episodes until a cycle takes them: usage, outcomes and what was surfaced. Bounded by ``cap`` signals."""
+
+    def __init__(self, spark, cap: int = 10_000):
+        self.spark, self.cap = spark, cap
+        self.used: list[tuple] = []
+        self.told: list[tuple] = []
+        self.shown: list[tuple] = []
+        self.counts: dict[str, int] = {}
+
+    def _count(self, episode: str) -> None:
+        if sum(self.counts.values()) >= self.cap:
+            raise BufferFull(f"{self.cap} signals wait")
+        self.counts[episode] = self.counts.get(episode, 0) + 1
+
+    def usage(self, episode: str, claim_ids: list[str]) -> None:
+        self._count(episode)
+        self.used += [(episode, c) for c in claim_ids]
+
+    def outcome(self, episode: str, result: str, weight: float | None = None) -> None:
+        self._count(episode)
+        self.told.append((episode, result, weight))
+
+    def surfaced(self, episode: str, claim_ids: list[str]) -> None:
+        self.shown += [(episode, c) for c in claim_ids]
+
+    def frames(self, episode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Usage, surfaced claims and outcomes of an episode, as ``evidence_update`` takes them."""
+        own = lambda rows: [r for r in rows if r[0] == episode]
+        pairs = "episode string, claim_id string"
+        make = self.spark.createDataFrame
+        return make(own(self.used), pairs), make(own(self.shown), pairs), make(own(self.told), "episode string, result string, weight double")
+
+    def flush(self, episode: str) -> None:
+        self.counts.pop(episode, None)
+        self.used, self.told, self.shown = ([r for r in rows if r[0] != episode] for rows in (self.used, self.told, self.shown))
+
+
+class Cycle:
+    """Runs processes over an episode's signals, one run at a time; a failing run applies nothing and keeps the signals."""
+
+    def __init__(self, apply, processes: list):
+        self.apply, self.processes, self.running, self.number = apply, processes, False, 0
+
+    def run(self, episode: str, buffer: SignalBuffer) -> dict:
+        """``apply(plans, key)`` writes what the processes (episode, buffer) -> plan return and gives the number applied."""
+        if self.running:
+            return {"applied": 0, "errors": ["a cycle is running"]}
+        self.running = True
+        self.number += 1
+        try:
+            plans = [p(episode, buffer) for p in self.processes]
+            applied = self.apply(plans, f"{episode}:{self.number}")
+            buffer.flush(episode)
+            return {"applied": applied, "errors": []}
+        except Exception as e:  # a process may fail in any way; the signals stay for the next run
+            return {"applied": 0, "errors": [str(e)]}
+        finally:
+            self.running = False
 
 
 def apply_plan(claims: DataFrame, plan: DataFrame, now: int) -> DataFrame:

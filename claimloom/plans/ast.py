@@ -112,12 +112,30 @@ CORES = {
 }
 
 
-def compile(n: Node, load) -> DataFrame:  # noqa: A001
-    """The expression as a DataFrame; ``load`` gives a corpus's claims by name. Nothing runs here but what γ and κ must."""
+def leaf_hints(n: Node) -> dict:
+    """What the selections right above the leaf pin down; the predicates still run, so any part of them is sound."""
+    out: dict = {}
+    while n.source:
+        out = pushed_hints(n.args["predicate"]) | out if n.op == "sigma" else {}
+        n = n.source
+    return out
+
+
+def compile(n: Node, load, hinted=None) -> DataFrame:  # noqa: A001
+    """The expression as a DataFrame; ``load`` gives a corpus's claims by name. Nothing runs here but what γ and κ must.
+
+    ``hinted``: gives the claims of a corpus that agree with hints (subject, keys), for leaves with selections on them.
+    """
     a = n.args
     if n.op == "leaf":
         return load(a["corpus"])
-    rows = compile(n.source, load)
+    if hinted and n.op == "sigma" and (hints := leaf_hints(n)) and not hasattr(load, "narrowed"):
+        def narrow(corpus: str) -> DataFrame:
+            return hinted(corpus, hints)
+
+        narrow.narrowed = True
+        return P.sigma(compile(n.source, narrow), predicate(a["predicate"]))
+    rows = compile(n.source, load, hinted)
     match n.op:
         case "sigma":
             return P.sigma(rows, predicate(a["predicate"]))
@@ -128,9 +146,9 @@ def compile(n: Node, load) -> DataFrame:  # noqa: A001
         case "pi":
             return temporal.pi(rows, a["fields"])
         case "rho":
-            return ranking.rho(rows, a["similarity"], a["query"])
+            return ranking.rho(rows, a["similarity"], a["query"], ordered=False)
         case "blend":
-            return ranking.rank_blend(rows, ranking.similarity(a.get("similarity", "jaccard")), a["query"], a["now"], a.get("alpha", 0.5), a.get("half_life_days", 90))
+            return ranking.rank_blend(rows, ranking.similarity(a.get("similarity", "jaccard")), a["query"], a["now"], a.get("alpha", 0.5), a.get("half_life_days", 90), ordered=False)
         case "gamma":
             return provenance.gamma(rows, load(_corpus(n)), a["depth"])
         case "kappa":
@@ -145,9 +163,9 @@ def compile(n: Node, load) -> DataFrame:  # noqa: A001
             core = CORES[a["core"]](a)
             return aggregation.group_by(rows, a["by"], core) if a.get("by") else aggregation.alpha(rows, core)
         case "override":
-            return joins.override(rows, compile(a["right"], load))
+            return joins.override(rows, compile(a["right"], load, hinted))
         case "join":
-            return {"subject": joins.join_subject, "scope": joins.join_scope, "evidence": joins.join_evidence}[a["kind"]](rows, compile(a["right"], load))
+            return {"subject": joins.join_subject, "scope": joins.join_scope, "evidence": joins.join_evidence}[a["kind"]](rows, compile(a["right"], load, hinted))
         case "floor":
             return ranking.relevance_floor(rows, a["least"])
         case "abstain":

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.confidence import point
 from ..operators import combination, composition, contradiction, ranking
 from ..operators import predicates as P
+from ..operators.graph import settled
 from ..operators.temporal import tau_valid
+from ..schema import TRIPLE
 
 ALIAS_KEY, ALIAS_SUBJECT, FLAG_KEY = "alias-of", "key:", "contradiction.flag"
 #: How a read merges restatements: rule, similarity and cutoff.
@@ -79,14 +81,73 @@ def alias_map(claims: DataFrame, t: int) -> Aliases:
     return out
 
 
-def canonical_read(claims: DataFrame, t: int, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None, dedupe: dict | None = None) -> DataFrame:
-    """Valid at ``t``, restatements merged, the newest value kept, nothing deprecated, no flags and no aliases."""
+def restated(claims: DataFrame, t: int, dedupe: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is valid at ``t``, its clusters of restatements (written) and their survivors."""
     how = DEDUPE | (dedupe or {})
-    merged = combination.dedupe(tau_valid(claims, t), how["rule"], how["cutoff"], how["fn"])
+    valid = tau_valid(claims, t)
+    found = combination.similar_groups(valid, how["cutoff"], how["fn"])
+    return valid, found, combination.dedupe(valid, how["rule"], how["cutoff"], how["fn"], found=found)
+
+
+def kept_of(merged: DataFrame, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None) -> DataFrame:
+    """Of survivors: the newest value, nothing deprecated, no flags and no aliases."""
     resolved = contradiction.resolve_deprecate_older(merged, threshold=0, aliases=aliases, cardinality=cardinality, flags=False)
     return resolved.where((F.col("status") != "deprecated") & (F.col("key") != FLAG_KEY) & ~is_alias())
 
 
+def canonical_read(claims: DataFrame, t: int, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None, dedupe: dict | None = None) -> DataFrame:
+    """Valid at ``t``, restatements merged, the newest value kept, nothing deprecated, no flags and no aliases."""
+    return kept_of(restated(claims, t, dedupe)[2], aliases, cardinality)
+
+
+def beaten(merged: DataFrame, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None) -> DataFrame:
+    """Survivors of which a newer claim of another value exists: id, winner (the newest one; the smallest id of several)."""
+    keyed = contradiction.eligible(merged, 0, aliases, cardinality)
+    newest = keyed.groupBy(*contradiction.GROUP, "value_hash").agg(F.max("valid_from").alias("top"), F.min_by("id", F.struct((-F.col("valid_from")).alias("v"), "id")).alias("winner"))
+    place = F.row_number().over(Window.partitionBy(*contradiction.GROUP).orderBy(F.desc("top"), "winner"))
+    two = newest.withColumn("r", place).where("r <= 2").groupBy(*contradiction.GROUP).agg(F.array_sort(F.collect_list(F.struct("r", "value_hash", "top", "winner"))).alias("w"))
+    other = F.when(F.col("w")[0]["value_hash"] != F.col("value_hash"), F.col("w")[0]).otherwise(F.get("w", F.lit(1)))
+    return keyed.join(two, contradiction.GROUP).withColumn("o", other).where(F.col("o.top") > F.col("valid_from")).select("id", F.col("o.winner").alias("winner"))
+
+
+def dispositions(claims: DataFrame, t: int, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None, dedupe: dict | None = None) -> DataFrame:
+    """What became of every claim before ranking: id, disposition (tau-invalid, merged, deprecated, served) and target_id."""
+    how = DEDUPE | (dedupe or {})
+    valid, found, merged = restated(claims, t, dedupe)
+    absorbed = combination.merged_into(valid, merged, how["cutoff"], how["fn"], found=found)
+    rows = (
+        claims.select("id")
+        .join(valid.select("id", F.lit(True).alias("valid")), "id", "left")
+        .join(absorbed.withColumnsRenamed({"member_id": "id", "survivor_id": "into"}), "id", "left")
+        .join(beaten(merged, aliases, cardinality), "id", "left")
+    )
+    kind = F.when(F.col("valid").isNull(), "tau-invalid").when(F.col("into").isNotNull(), "merged").when(F.col("winner").isNotNull(), "deprecated").otherwise("served")
+    return rows.select("id", kind.alias("disposition"), F.coalesce("into", "winner").alias("target_id"))
+
+
+def attribution(written: DataFrame, ledger: DataFrame, t: int, aliases: dict[str, str] | None = None, cardinality: dict[str, str] | None = None) -> DataFrame:
+    """What writing these claims did: id, action (committed, merged, duplicate, superseded), merged_into, deprecated_ids.
+
+    A claim that is merged is a duplicate if its survivor holds the very same value. A claim that is served has
+    superseded what is deprecated under its subject, key and scope. ``ledger``: the claims with those written.
+    """
+    groups = ledger.join(written.select("subject", "key").distinct(), ["subject", "key"], "left_semi")
+    told = dispositions(groups, t, aliases, cardinality).join(groups.select("id", *TRIPLE, "value_hash"), "id")
+    gone = told.where("disposition = 'deprecated'").groupBy(*TRIPLE).agg(F.array_sort(F.collect_list("id")).alias("gone"))
+    target = groups.select(F.col("id").alias("target_id"), F.col("value_hash").alias("theirs"))
+    rows = written.select("id").join(told, "id").join(target, "target_id", "left").join(gone, list(TRIPLE), "left")
+    action = (
+        F.when((F.col("disposition") == "merged") & (F.col("theirs") == F.col("value_hash")), "duplicate")
+        .when(F.col("disposition") == "merged", "merged")
+        .when((F.col("disposition") == "served") & F.col("gone").isNotNull(), "superseded")
+        .otherwise("committed")
+    )
+    none = F.array().cast("array<string>")
+    return rows.withColumn("action", action).select(
+        "id", "action", F.when(F.col("action").isin("merged", "duplicate"), F.col("target_id")).alias("merged_into"), F.when(F.col("action") == "superseded", F.col("gone")).otherwise(none).alias("deprecated_ids")
+    )
+
+
 def entity_tokens(text: str) -> list[str]:
     """Capitalised words and numbers of a question, in order."""
     return [w for w in dict.fromkeys(re.findall(_ENTITY, text, re.ASCII)) if w not in ENTITY_STOPWORDS]
@@ -134,8 +195,8 @@ def selected(claims: DataFrame, subject: str | None = None, family: set[str] | N
 
 
 def recall_ranked(claims, query, now, alpha=0.5, half_life_days=90, aliases=None, cardinality=None, fn=ranking.jaccard, dedupe=None) -> DataFrame:
-    """The canonical read, ranked by similarity and recency; alpha 1 ranks by similarity alone."""
-    return ranking.rank_blend(canonical_read(claims, now, aliases, cardinality, dedupe), fn, query, now, alpha, half_life_days)
+    """The canonical read with its score by similarity and recency, not sorted; alpha 1 ranks by similarity alone."""
+    return ranking.rank_blend(canonical_read(claims, now, aliases, cardinality, dedupe), fn, query, now, alpha, half_life_days, ordered=False)
 
 
 def recall(
@@ -146,14 +207,14 @@ def recall(
     aliases = alias_map(claims, now)
     warnings = list(aliases.warnings)
     rows = selected(claims, subject, aliases.family(key) if key else None)
-    found = recall_ranked(rows, query, now, alpha, half_life_days, aliases.map, cardinality, fn, dedupe).cache()
+    merged = settled(restated(rows, now, dedupe)[2], "merged")
+    found = settled(ranking.rank_blend(kept_of(merged, aliases.map, cardinality), fn, query, now, alpha, half_life_days, ordered=False), "ranked")
     entities = entity_tokens(query)
     covered = [(r.entity, r.supported) for r in coverage(found, entities).collect()] if entities else []
     missing = [e for e, ok in covered if not ok]
     if missing:
         warnings.append(f"nothing is known about: {', '.join(missing)}")
-    merged = combination.dedupe(tau_valid(rows, now), DEDUPE["rule"], DEDUPE["cutoff"], DEDUPE["fn"])
-    for r in contradiction.cardinality_collisions(merged, cardinality, aliases.map).orderBy("subject", "canonical_key").limit(20).collect():
+    for r in contradiction.cardinality_collisions(merged, cardinality, aliases.map).orderBy("subject", "canonical_key").toLocalIterator():
         warnings.append(f"{r.subject} / {r.canonical_key} holds {r['values']} values; the newest is served")
     top = found.agg(F.max("score")).first()[0]
     abstained = top is not None and top < least_top
@@ -166,21 +227,14 @@ def explain(claims: DataFrame, query, now: int, *, limit=5, least_top=0.0, floor
     """What became of every candidate: id, subject, key, disposition, reason, target_id, score.
 
     Served, merged (into a survivor), deprecated (by a newer claim of another value) or dropped (not valid, a flag or
-    alias, abstained, below the floor, beyond the limit). Rows are tagged by joins with each stage's result.
+    alias, abstained, below the floor, beyond the limit). Rows are tagged by joins with each stage's result. What was
+    deprecated before has no target.
     """
     how = DEDUPE | (dedupe or {})
-    valid = tau_valid(claims, now)
-    merged = combination.dedupe(valid, how["rule"], how["cutoff"], how["fn"]).cache()
-    absorbed = combination.merged_into(valid, merged, how["cutoff"], how["fn"])
-    keyed = contradiction.eligible(merged, 0, aliases, cardinality)
-    best = keyed.groupBy(*contradiction.GROUP, "value_hash").agg(F.max(F.struct("valid_from", F.lit(0).alias("z"))).alias("top"))
-    newest = keyed.join(best, [*contradiction.GROUP, "value_hash"]).where(F.col("valid_from") == F.col("top.valid_from"))
-    newest = newest.groupBy(*contradiction.GROUP, "value_hash").agg(F.max("valid_from").alias("top"), F.min("id").alias("winner"))
-    order = Window.partitionBy(*contradiction.GROUP).orderBy(F.desc("top"), "winner")
-    two = newest.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy(*contradiction.GROUP).agg(F.array_sort(F.collect_list(F.struct("r", "value_hash", "top", "winner"))).alias("w"))
-    other = F.when(F.col("w")[0]["value_hash"] != F.col("value_hash"), F.col("w")[0]).otherwise(F.get("w", F.lit(1)))
-    beaten = keyed.join(two, contradiction.GROUP).withColumn("o", other).where("o.top > valid_from").select("id", F.col("o.winner").alias("winner"))
-    ranked = recall_ranked(claims, query, now, alpha, half_life_days, aliases, cardinality, fn, dedupe)
+    valid, found, merged = restated(claims, now, dedupe)
+    merged = settled(merged, "merged")
+    absorbed = combination.merged_into(valid, merged, how["cutoff"], how["fn"], found=found)
+    ranked = settled(ranking.rank_blend(kept_of(merged, aliases, cardinality), fn, query, now, alpha, half_life_days, ordered=False), "ranked")
     places = ranked.select("id", "score", "ord")
     top = places.agg(F.max("score").alias("top_score"))
     passing = places.where(F.col("score") >= floor).orderBy(F.desc("score"), "ord").limit(limit).select("id", F.lit(True).alias("served"))
@@ -188,7 +242,7 @@ def explain(claims: DataFrame, query, now: int, *, limit=5, least_top=0.0, floor
         claims.select("id", "subject", "key", is_alias().alias("alias"))
         .join(valid.select("id", F.lit(True).alias("valid")), "id", "left")
         .join(absorbed.withColumnsRenamed({"member_id": "id", "survivor_id": "into"}), "id", "left")
-        .join(beaten, "id", "left")
+        .join(beaten(merged, aliases, cardinality), "id", "left")
         .join(places.select("id", "score"), "id", "left")
         .join(passing, "id", "left")
         .join(F.broadcast(top))  # one row
@@ -198,18 +252,27 @@ def explain(claims: DataFrame, query, now: int, *, limit=5, least_top=0.0, floor
         F.when(F.col("valid").isNull(), "tau-invalid")
         .when(F.col("into").isNotNull(), "merged-into")
         .when(F.col("alias") | (F.col("key") == FLAG_KEY), "alias-or-flag")
-        .when(F.col("winner").isNotNull(), "superseded-by")
-        .when(F.col("score").isNull(), "already-deprecated")
+        .when(F.col("score").isNull(), "deprecated-by")
         .when(abstain, "abstained")
         .when(F.col("score") < floor, "below-floor")
         .when(F.col("served").isNull(), "over-limit")
         .otherwise("served")
     )
-    kind = F.when(F.col("reason") == "served", "served").when(F.col("reason") == "merged-into", "merged").when(F.col("reason").isin("superseded-by", "already-deprecated"), "deprecated").otherwise("dropped")
-    target = F.when(F.col("reason") == "merged-into", F.col("into")).when(F.col("reason") == "superseded-by", F.col("winner"))
+    kind = F.when(F.col("reason") == "served", "served").when(F.col("reason") == "merged-into", "merged").when(F.col("reason") == "deprecated-by", "deprecated").otherwise("dropped")
+    target = F.when(F.col("reason") == "merged-into", F.col("into")).when(F.col("reason") == "deprecated-by", F.col("winner"))
     return rows.withColumn("reason", reason).select("id", "subject", "key", kind.alias("disposition"), "reason", target.alias("target_id"), "score")
 
 
+def stage_counts(told: DataFrame) -> DataFrame:
+    """How many claims are left after each stage of an explained recall: one row."""
+    reached = lambda *gone: F.count_if(~F.col("reason").isin(*gone))
+    tau, merged, lost = ("tau-invalid",), ("tau-invalid", "merged-into"), ("tau-invalid", "merged-into", "alias-or-flag", "deprecated-by")
+    return told.agg(
+        F.count("*").alias("candidates"), reached(*tau).alias("after_tau"), reached(*merged).alias("after_dedupe"), reached(*lost).alias("after_contradiction"),
+        reached(*lost).alias("ranked"), reached(*lost, "abstained", "below-floor").alias("after_knobs"), F.count_if(F.col("reason") == "served").alias("served"),
+    )
+
+
 def lineage(claims: DataFrame, subject: str, keys: set[str] | None = None) -> DataFrame:
     """All versions under a subject and key family, oldest validity first."""
     return selected(claims, subject, keys).orderBy("valid_from", "recorded_seq", "id")
@@ -218,6 +281,6 @@ def lineage(claims: DataFrame, subject: str, keys: set[str] | None = None) -> Da
 def read_by_ids(claims: DataFrame, ids: list[str]) -> DataFrame:
     """Claims by id in the order asked for; unknown ids drop out."""
     wanted = claims.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, position int")
-    return claims.join(F.broadcast(wanted), "id").orderBy("position")
+    return claims.join(wanted, "id").orderBy("position")
 
 

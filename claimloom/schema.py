@@ -21,7 +21,7 @@ CLAIM_COLUMNS = {
     "corpus_id": "string", "id": "string", "subject": "string", "key": "string", "scope": "map<string,string>", "scope_hash": "string",
     "value_json": "string", "value_text": "string", "value_hash": "string", "dist": "string", "alpha": "double", "beta": "double", "p": "double",
     "raw": "double", "effective": "double", "valid_from": "bigint", "valid_to": "bigint", "recorded": "bigint", "recorded_seq": "bigint",
-    "status": "string", "source": "string", "run_id": "string", "evidence": EVIDENCE, "tags": "array<string>", "ord": ORDER,
+    "status": "string", "source": "string", "workflow": "string", "run_id": "string", "evidence": EVIDENCE, "tags": "array<string>", "ord": ORDER,
 }
 
 
@@ -38,6 +38,13 @@ def order_of(stage: int, seq: Column, tie: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), seq.cast("bigint").alias("seq"), tie.alias("tie"))
 
 
+def cite(claim_id: Column, method: Column | None = None, content_hash: Column | None = None) -> Column:
+    """An evidence reference to a claim."""
+    given = {"kind": F.lit("claim"), "claim_id": claim_id, "method": method, "content_hash": content_hash}
+    kinds = dict(f.split(":") for f in EVIDENCE.removeprefix("array<struct<").removesuffix(">>").split(","))
+    return F.struct(*((given.get(n) if given.get(n) is not None else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+
+
 def as_claims(df: DataFrame, corpus_id: str = "default") -> DataFrame:
     """Fill in what a frame of partial claims lacks: hashes, texts, defaults and order.
 
@@ -56,7 +63,7 @@ def as_claims(df: DataFrame, corpus_id: str = "default") -> DataFrame:
         given("valid_from", F.lit(0)).alias("valid_from"), given("valid_to", null("valid_to")).alias("valid_to"),
         given("recorded", F.col("valid_from") if "valid_from" in have else F.lit(0)).alias("recorded"),
         given("recorded_seq", F.lit(0)).alias("recorded_seq"),
-        given("status", F.lit("validated")).alias("status"), given("source", F.lit("imported")).alias("source"), given("run_id", null("run_id")).alias("run_id"),
+        given("status", F.lit("validated")).alias("status"), given("source", F.lit("imported")).alias("source"), given("workflow", null("workflow")).alias("workflow"), given("run_id", null("run_id")).alias("run_id"),
         given("evidence", F.array()).alias("evidence"), given("tags", F.array()).alias("tags"),
     )
     return built.withColumn("raw", point()).withColumn("ord", order_of(0, F.col("recorded_seq"), F.col("id"))).select(*CLAIM_COLUMNS)

@@ -1,13 +1,14 @@
 """Subscriptions: queries that follow a growing claim log with Structured Streaming.
 
 ``on_every_match`` delivers each new claim that matches a predicate. ``on_transition`` delivers a change of a triple
-between agreed and contested: state per triple is the set of its value hashes, kept by the state store. Deliveries
+between agreed and contested, either way: state per triple is its live claims, kept by the state store. Deliveries
 are at least once; ``delivery_id`` (subscription, recorded, claim) is the same on every attempt, so a sink that
 upserts by it sees each once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,25 +43,36 @@ _CHANGE = "subject string, key string, scope_hash string, was string, became str
 
 
 def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    values: set[str] = set(state.get[0]) if state.exists else set()
+    """State: the live claims of a triple as parallel lists of ids and value hashes. A status change takes a claim out."""
+    live = dict(zip(*state.get)) if state.exists else {}
+    counts = Counter(live.values())
     rows = pd.concat(list(batches)).sort_values(["recorded", "id"])
     out = []
-    for r in rows.itertuples(index=False):
-        before = len(values)
-        values.add(r.value_hash)
-        if before < 2 <= len(values):
-            out.append((*key, "agreed", "contested", len(values), r.id, r.recorded))
-    state.update((sorted(values),))
+    for id_, value, counted, recorded in zip(rows["id"], rows["value_hash"], rows["counted"], rows["recorded"]):
+        before = len(counts)
+        if (old := live.pop(id_, None)) is not None:
+            counts[old] -= 1
+            counts += Counter()
+        if counted:
+            live[id_] = value
+            counts[value] += 1
+        if (before < 2) != (len(counts) < 2):
+            was, became = ("agreed", "contested") if before < 2 else ("contested", "agreed")
+            out.append((*key, was, became, len(counts), id_, recorded))
+    state.update((list(live), list(live.values())))
     yield pd.DataFrame(out, columns=["subject", "key", "scope_hash", "was", "became", "values", "claim_id", "recorded"])
 
 
 def on_transition(log: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows when a triple's eligible claims begin to disagree: once per boundary crossed, whatever the batches."""
+    """Rows when a triple's eligible claims begin or cease to disagree: once per boundary crossed, whatever the batches.
+
+    A later row of an id replaces the earlier one; a claim that becomes deprecated or falls to the threshold drops out.
+    """
+    counted = (effective() > threshold) & (F.col("status") != "deprecated")
     return (
-        log.where(effective() > threshold)
-        .select(*TRIPLE, "value_hash", "id", "recorded")
+        log.select(*TRIPLE, "value_hash", "id", "recorded", F.coalesce(counted, F.lit(False)).alias("counted"))
         .groupBy(*TRIPLE)
-        .applyInPandasWithState(_transitions, _CHANGE, "hashes array<string>", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_transitions, _CHANGE, "ids array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
     )
 
 
