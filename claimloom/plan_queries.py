@@ -37,12 +37,11 @@ def recall_topk(spark, d):
 @register("recall_explain", f"""{MERGED_SQL},
     served AS (SELECT id FROM kept WHERE score >= 0.45 ORDER BY score DESC, id LIMIT 10),
     told AS (
-        SELECT c.id, CASE WHEN v.id IS NULL THEN 'tau-invalid' WHEN r.id <> c.id THEN 'merged-into' WHEN r.valid_from < r.newest THEN 'superseded-by'
-            WHEN r.status = 'deprecated' THEN 'already-deprecated' WHEN k.score < 0.45 THEN 'below-floor' WHEN s.id IS NULL THEN 'over-limit' ELSE 'served' END AS reason,
-            r.id AS rep, n.id AS winner
+        SELECT c.id, CASE WHEN v.id IS NULL THEN 'tau-invalid' WHEN r.id <> c.id THEN 'merged-into' WHEN r.valid_from < r.newest OR r.status = 'deprecated' THEN 'deprecated-by' WHEN k.score < 0.45 THEN 'below-floor' WHEN s.id IS NULL THEN 'over-limit' ELSE 'served' END AS reason,
+            r.id AS rep, CASE WHEN r.valid_from < r.newest THEN n.id END AS winner
         FROM claims c LEFT JOIN valid v USING (id) LEFT JOIN reps r ON v.subject = r.subject AND v.key = r.key AND v.v = r.v
         LEFT JOIN reps n ON n.subject = c.subject AND n.key = c.key AND n.valid_from = n.newest LEFT JOIN kept k ON k.id = c.id LEFT JOIN served s ON s.id = c.id)
-    SELECT id, reason, CASE reason WHEN 'merged-into' THEN rep WHEN 'superseded-by' THEN winner END AS target_id FROM told""")
+    SELECT id, reason, CASE reason WHEN 'merged-into' THEN rep WHEN 'deprecated-by' THEN winner END AS target_id FROM told""")
 def recall_explain(spark, d):
     rows = read.explain(events_beliefs(spark, d), 2, CLOCK, limit=10, floor=0.45, fn=ranking.exact)
     return rows.select("id", "reason", "target_id")
@@ -79,9 +78,9 @@ def coverage(spark, d):
 @register("entity_tokens", """
     SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b(?:[A-Z][a-zA-Z]+|[0-9]+[a-zA-Z]*)\\b')),
         lambda x: x NOT IN ('When', 'Which', 'Who', 'What', 'How', 'Where', 'Why', 'Did', 'Do', 'Does', 'Is', 'Are', 'Was', 'Were', 'The', 'I'))), ' ') AS entities
-    FROM documents WHERE lang = 'en'""", claims=False)
+    FROM documents""", claims=False)
 def entity_tokens(spark, d):
-    docs = views.read(spark, d, "documents").where("lang = 'en'")
+    docs = views.read(spark, d, "documents")
     return docs.select("doc_id", F.array_join(F.array_sort(read.entity_tokens_col(F.col("text"))), " ").alias("entities"))
 
 
@@ -90,7 +89,8 @@ def entity_tokens(spark, d):
 NAMES_SQL = f"""
     WITH names AS (SELECT p_name AS subject, p_type AS key FROM part UNION ALL SELECT n_name, 'nation.region' FROM nation),
     v AS (SELECT {{axis}} AS value, count(*) AS n, {TOKENS_SQL.format("{axis}")} AS t FROM names GROUP BY {{axis}}),
-    s AS (SELECT a.value AS a, b.value AS b, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS score FROM v a JOIN v b ON a.value < b.value)
+    s AS (SELECT a.value AS a, b.value AS b, a.n + b.n AS shared_n, CASE WHEN len(a.t || b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END AS score
+        FROM v a JOIN v b ON a.value < b.value)
 """
 
 
@@ -99,12 +99,12 @@ def distinct_entities(spark, d):
     return census.distinct_entities(views.name_claims(spark, d), "subject", CLOCK)
 
 
-@register("subject_census", NAMES_SQL.format(axis="subject") + "SELECT a, b, round(score, 6) AS score FROM s WHERE s.score > 0 ORDER BY s.score DESC, a, b LIMIT 20", claims=False)
+@register("subject_census", NAMES_SQL.format(axis="subject") + "SELECT a, b, round(score, 6) AS score FROM s ORDER BY s.score DESC, a, b LIMIT 20", claims=False)
 def subject_census(spark, d):
     return census.subject_census(views.name_claims(spark, d), CLOCK).select("a", "b", r6("score").alias("score"))
 
 
-@register("key_census", NAMES_SQL.format(axis="key") + "SELECT a, b, round(score, 6) AS score FROM s WHERE s.score > 0 ORDER BY s.score DESC, a, b LIMIT 20", claims=False)
+@register("key_census", NAMES_SQL.format(axis="key") + "SELECT a, b, round(score, 6) AS score FROM s ORDER BY s.score DESC, a, b LIMIT 20", claims=False)
 def key_census(spark, d):
     return census.key_census(views.name_claims(spark, d), CLOCK).select("a", "b", r6("score").alias("score"))
 
@@ -112,7 +112,7 @@ def key_census(spark, d):
 @register("reconcile", NAMES_SQL.format(axis="key") + f""",
     c AS (SELECT r_name AS value, {TOKENS_SQL.format("r_name")} AS t FROM region UNION ALL SELECT value, t FROM v
           UNION ALL SELECT value || ' EXTRA', list_distinct(t || ['extra']) FROM v),
-    m AS (SELECT c.value, v.value AS best, len(list_intersect(c.t, v.t))::DOUBLE / len(list_distinct(c.t || v.t)) AS score FROM c JOIN v ON len(list_intersect(c.t, v.t)) > 0
+    m AS (SELECT c.value, v.value AS best, CASE WHEN len(c.t || v.t) = 0 THEN 1.0 ELSE len(list_intersect(c.t, v.t))::DOUBLE / len(list_distinct(c.t || v.t)) END AS score FROM c CROSS JOIN v
           QUALIFY row_number() OVER (PARTITION BY c.value ORDER BY score DESC, v.value) = 1)
     SELECT DISTINCT c.value, best, round(coalesce(score, 0), 6) AS score, CASE WHEN coalesce(score, 0) >= 0.9 THEN 'reuse' WHEN coalesce(score, 0) <= 0.5 THEN 'new' ELSE 'uncertain' END AS disposition
     FROM c LEFT JOIN m USING (value)""", claims=False)
@@ -124,36 +124,57 @@ def reconcile(spark, d):
     return census.reconcile(wanted, claims, "key", CLOCK).select("value", "best", r6("score").alias("score"), "disposition")
 
 
-PAIRED_SQL = f"""
-    WITH RECURSIVE t AS (SELECT 'part-' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand AS subject, {TOKENS_SQL.format("p_name")} AS a FROM part),
+def _paired_sql(source: str) -> str:
+    """All pairs of claims (id, subject, tokens a), with both detectors of merged subjects: ``split`` and ``leaked``."""
+    return f"""
+    WITH RECURSIVE t AS ({source}),
     p AS (SELECT x.id AS x, x.subject AS sx, y.id AS y, y.subject AS sy, len(list_intersect(x.a, y.a))::DOUBLE / len(list_distinct(x.a || y.a)) AS score FROM t x JOIN t y ON x.id <> y.id),
-    sizes AS (SELECT subject, count(*) AS n FROM t GROUP BY subject)
-"""
-
-
-@register("reverse_reconcile_a", f"""{PAIRED_SQL},
+    sizes AS (SELECT subject, count(*) AS n FROM t GROUP BY subject),
     cut AS (SELECT sx AS subject, (min(score) + max(score)) / 2 AS edge FROM p WHERE sx = sy GROUP BY sx HAVING max(score) - min(score) >= 0.1),
     e AS (SELECT x, y FROM p JOIN cut ON sx = subject WHERE sx = sy AND score >= edge),
     r AS (SELECT id AS x, id AS y FROM t WHERE subject IN (SELECT subject FROM cut) UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
-    c AS (SELECT x, min(y) AS c FROM r GROUP BY x), k AS (SELECT t.subject, c.c, count(*) AS k FROM c JOIN t ON c.x = t.id GROUP BY ALL)
-    SELECT subject, sum(k)::BIGINT AS n, count(*) AS clusters, count(*) FILTER (k >= 2) AS substantial FROM k JOIN sizes USING (subject) WHERE n >= 4 GROUP BY subject HAVING count(*) FILTER (k >= 2) >= 2""", claims=False)
+    c AS (SELECT x, min(y) AS c FROM r GROUP BY x), k AS (SELECT t.subject, c.c, count(*) AS k FROM c JOIN t ON c.x = t.id GROUP BY ALL),
+    split AS (SELECT subject, sum(k)::BIGINT AS n, count(*) AS clusters, count(*) FILTER (k >= 2) AS substantial FROM k JOIN sizes USING (subject) WHERE n >= 4 GROUP BY subject HAVING count(*) FILTER (k >= 2) >= 2),
+    own AS (SELECT x, max(score) AS own FROM p WHERE sx = sy GROUP BY x),
+    f AS (SELECT x, sx, sy, score FROM p WHERE sx <> sy QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, sy) = 1),
+    g AS (SELECT f.*, f.score - coalesce(own, 0) AS gap FROM f LEFT JOIN own USING (x) WHERE f.score > coalesce(own, 0)),
+    votes AS (SELECT sx AS subject, sy AS better, count(*) AS votes, max(gap) AS gap FROM g GROUP BY ALL),
+    leaked AS (SELECT subject, n, sum(votes)::BIGINT AS affected, arg_max(better, (votes, gap, better)) AS better_subject FROM votes JOIN sizes USING (subject) GROUP BY subject, n HAVING n >= 4 AND sum(votes) < n * 0.5)
+"""
+
+
+BRANDS_SQL = f"SELECT 'part-' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand AS subject, {TOKENS_SQL.format('p_name')} AS a FROM part"
+
+
+@register("reverse_reconcile_a", _paired_sql(BRANDS_SQL) + "SELECT * FROM split", claims=False)
 def reverse_reconcile_a(spark, d):
     return census.value_clusters(views.brand_claims(spark, d), CLOCK)
 
 
-@register("reverse_reconcile_b", f"""{PAIRED_SQL},
-    own AS (SELECT x, max(score) AS own FROM p WHERE sx = sy GROUP BY x),
-    f AS (SELECT x, sx, sy, score FROM p WHERE sx <> sy QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, sy) = 1),
-    g AS (SELECT f.*, f.score - coalesce(own, 0) AS gap FROM f LEFT JOIN own USING (x) WHERE f.score > coalesce(own, 0)),
-    a AS (SELECT sx AS subject, count(*) AS affected FROM g GROUP BY sx)
-    SELECT subject, n, affected FROM a JOIN sizes USING (subject) WHERE n >= 4 AND affected < n * 0.5""", claims=False)
+@register("reverse_reconcile_b", _paired_sql(BRANDS_SQL) + "SELECT subject, n, affected FROM leaked", claims=False)
 def reverse_reconcile_b(spark, d):
     return census.misplaced(views.brand_claims(spark, d), CLOCK).select("subject", "n", "affected")
 
 
-@register("audit_proposals")
+def _alike_sql(axis: str) -> str:
+    return f"(SELECT a, b, round(score, 6) AS score, shared_n::BIGINT AS affected FROM ({NAMES_SQL.format(axis=axis)} SELECT a, b, score, shared_n FROM s ORDER BY score DESC, a, b LIMIT 20))"
+
+
+NAMED_SQL = """
+    SELECT 'part-' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_name AS subject, p_type AS key, p_size::VARCHAR AS v FROM part
+    UNION ALL SELECT 'nation-' || lpad(n_nationkey::VARCHAR, 8, '0'), n_name, 'nation.region', n_regionkey::VARCHAR FROM nation
+"""
+
+
+@register("audit_proposals", f"""{_paired_sql(f"SELECT id, subject, [v] AS a FROM ({NAMED_SQL})")}
+    SELECT 'key-alias' AS kind, a || '|' || b AS entities, score, affected AS claims_affected FROM {_alike_sql("key")}
+    UNION ALL SELECT 'subject-fragmentation', a || '|' || b, score, affected FROM {_alike_sql("subject")}
+    UNION ALL SELECT 'cardinality-declare', subject || '|' || key, NULL, count(DISTINCT v) FROM ({NAMED_SQL}) GROUP BY subject, key HAVING count(DISTINCT v) > 1
+    UNION ALL SELECT 'subject-over-merge', subject || '|' || better_subject, NULL, 0 FROM leaked
+    UNION ALL SELECT 'subject-over-merge', subject, NULL, 0 FROM split""", claims=False)
 def audit_proposals(spark, d):
-    return census.audit(views.name_claims(spark, d), CLOCK)
+    told = census.audit(views.name_claims(spark, d), CLOCK)
+    return told.select("kind", F.array_join("entities", "|").alias("entities"), r6("score").alias("score"), "claims_affected")
 
 
 # the write path
@@ -191,16 +212,17 @@ def commit_mark(spark, d):
     return writing.decisions(events_beliefs(spark, d), None, "accept_but_mark")
 
 
-@register("commit_conservation", "SELECT key, count(*) AS total FROM claims GROUP BY key")
+@register("commit_conservation", f"""{FOLD_SQL.rpartition("SELECT id, outcome")[0] % "CASE WHEN c.point >= i.point THEN 'rejected' ELSE 'committed' END AS outcome, NULL::VARCHAR AS gone"}
+    SELECT key, count(*) FILTER (outcome = 'committed') AS committed, count(*) FILTER (outcome = 'rejected') AS rejected, 0::BIGINT AS duplicate FROM fold WHERE n > 0 GROUP BY key""")
 def commit_conservation(spark, d):
+    """Every item of a batch has one outcome: counts by key."""
     batch = events_beliefs(spark, d)
     told = writing.commit_batch(batch, None, "reject_on_contradiction")
-    counted = batch.select("id", "key").join(told, "id").groupBy("key").agg(*(F.count_if(F.col("outcome") == o).alias(o[0]) for o in ("committed", "rejected", "duplicate")))
-    return counted.select("key", (F.col("c") + F.col("r") + F.col("d")).alias("total"))
+    return batch.select("id", "key").join(told, "id").groupBy("key").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("committed", "rejected", "duplicate")))
 
 
 @register("idempotent_batch", "SELECT id, CASE WHEN min(id) OVER w <> id THEN min(id) OVER w END AS duplicate_of FROM claims WINDOW w AS (PARTITION BY key, k)")
-def idempotentevents_beliefs(spark, d):
+def idempotent_batch(spark, d):
     batch = events_claims(spark, d).withColumns({"writer": F.lit("w"), "idempotency_key": F.get_json_object("value_json", "$.k")})
     return writing.idempotent(batch, None, CLOCK).select("id", "duplicate_of")
 
@@ -208,7 +230,7 @@ def idempotentevents_beliefs(spark, d):
 @register("promote_lifecycle", """,
     q AS (SELECT id, CASE k % 3 WHEN 0 THEN 'validated' WHEN 1 THEN 'provisional' ELSE 'deprecated' END AS goal, status FROM claims),
     r AS (SELECT *, list_position(['candidate', 'provisional', 'validated', 'deprecated'], goal) AS g, list_position(['candidate', 'provisional', 'validated', 'deprecated'], status) AS s FROM q)
-    SELECT id, goal AS to, CASE WHEN status <> 'deprecated' AND g > s THEN 'promoted' ELSE 'invalid_transition' END AS outcome FROM r UNION ALL SELECT 'nobody', 'validated', 'not_found'""")
+    SELECT id, goal AS to, CASE WHEN g = 4 OR g > s THEN 'promoted' ELSE 'invalid_transition' END AS outcome FROM r UNION ALL SELECT 'nobody', 'validated', 'not_found'""")
 def promote_lifecycle(spark, d):
     claims = events_claims(spark, d)
     k = F.get_json_object("value_json", "$.k").cast("bigint")
@@ -223,45 +245,68 @@ def supersede(spark, d):
     return writing.supersede(claims, new).select("id", "status")
 
 
-@register("attribution", """,
-    f AS (SELECT *, min(id) OVER (PARTITION BY subject, key, v) AS first, CASE WHEN status <> 'deprecated' AND valid_from <= 1705000000000 THEN valid_from END AS since FROM claims),
-    n AS (SELECT subject, key, arg_max(v, since) AS live FROM f WHERE since IS NOT NULL GROUP BY ALL)
-    SELECT id, CASE WHEN first <> id THEN 'merged' WHEN live <> v THEN 'superseded' ELSE 'committed' END AS disposition FROM f LEFT JOIN n USING (subject, key)""")
+@register("attribution", f"""{MERGED_SQL},
+    told AS (
+        SELECT c.id, c.subject, c.key, r.id AS rep,
+            CASE WHEN v.id IS NULL THEN 'tau-invalid' WHEN r.id <> c.id THEN 'merged' WHEN r.valid_from < r.newest THEN 'deprecated' ELSE 'served' END AS disposition
+        FROM claims c LEFT JOIN valid v USING (id) LEFT JOIN reps r ON v.subject = r.subject AND v.key = r.key AND v.v = r.v),
+    gone AS (SELECT subject, key, string_agg(id, ',' ORDER BY id) AS ids FROM told WHERE disposition = 'deprecated' GROUP BY ALL)
+    SELECT id, CASE disposition WHEN 'merged' THEN 'duplicate' WHEN 'served' THEN CASE WHEN ids IS NULL THEN 'committed' ELSE 'superseded' END ELSE 'committed' END AS action,
+        CASE disposition WHEN 'merged' THEN rep END AS merged_into, CASE disposition WHEN 'served' THEN coalesce(ids, '') ELSE '' END AS deprecated_ids
+    FROM told LEFT JOIN gone USING (subject, key)""")
 def attribution(spark, d):
     claims = events_beliefs(spark, d)
-    return writing.attribution(claims, claims, CLOCK).select("id", "disposition")
+    return read.attribution(claims, claims, CLOCK).withColumn("deprecated_ids", F.array_join("deprecated_ids", ","))
 
 
 # the audit trail
 
+REASON = 'line one\n\t"quoted" \\ and \x01'
+
 
 def _log(spark, d) -> DataFrame:
+    """One event a claim, some of them with a reason that JSON must escape."""
     rows = events_beliefs(spark, d)
     none = F.lit(None).cast("string")
-    events = rows.select(F.lit("commit").alias("op"), F.col("key").alias("corpus_id"), F.lit("writer").alias("writer"), F.col("id").alias("claim_id"), none.alias("deprecated_id"), none.alias("to_status"), none.alias("reason"), "recorded", "recorded_seq")
+    reason = F.when(F.col("value_json") == "1", REASON)
+    events = rows.select(F.lit("commit").alias("op"), F.col("key").alias("corpus_id"), F.lit("writer").alias("writer"), F.col("id").alias("claim_id"), none.alias("deprecated_id"), none.alias("to_status"), reason.alias("reason"), "recorded", "recorded_seq")
     return chain.build_chain(events)
 
 
-@register("hash_chain_verify", "SELECT key AS corpus_id, count(*) AS entries, true AS intact FROM claims GROUP BY key")
+CHAIN_SQL = """,
+    e AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n,
+            '["commit","' || key || '","writer","' || id || '",null,null,' || CASE v WHEN 1 THEN '"line one\\n\\t\\"quoted\\" \\\\ and \\u0001"' ELSE 'null' END || ',' || recorded || ',' || seq || ']' AS body FROM claims),
+    h AS (SELECT key, 0::BIGINT AS n, '' AS hash FROM (SELECT DISTINCT key FROM e) UNION ALL SELECT e.key, e.n, sha256(e.body || h.hash) FROM h JOIN e ON e.key = h.key AND e.n = h.n + 1)
+"""
+BROKEN_SQL = "SELECT key AS corpus_id, count(*) AS entries, count(*) FILTER ({0}) = 0 AS intact, coalesce(min(n) FILTER ({0}), -1) AS broken_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM claims) GROUP BY key"
+
+
+@register("hash_chain_verify", ", t AS (SELECT 1) " + BROKEN_SQL.format("key < 'event.d' AND seq % 501 = 77"))
 def hash_chain_verify(spark, d):
-    return chain.verify_chain(_log(spark, d)).select("corpus_id", "entries", "intact")
+    """Some corpora have a changed hash here and there, the others are intact."""
+    changed = (F.col("corpus_id") < "event.d") & (F.col("recorded_seq") % 501 == 77)
+    log = _log(spark, d).withColumn("entry_hash", F.when(changed, F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash")))
+    return chain.verify_chain(log).fillna(-1, ["broken_at"])
 
 
-@register("hash_chain", """,
-    e AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, '["commit","' || key || '","writer","' || id || '",null,null,null,' || recorded || ',' || seq || ']' AS body FROM claims),
-    h AS (SELECT key, 0::BIGINT AS n, '' AS hash FROM (SELECT DISTINCT key FROM e) UNION ALL SELECT e.key, e.n, sha256(e.body || h.hash) FROM h JOIN e ON e.key = h.key AND e.n = h.n + 1)
-    SELECT h.key AS corpus_id, e.seq AS recorded_seq, h.hash AS entry_hash FROM h JOIN e ON e.key = h.key AND e.n = h.n""")
+@register("hash_chain", f"{CHAIN_SQL} SELECT h.key AS corpus_id, e.seq AS recorded_seq, h.hash AS entry_hash FROM h JOIN e ON e.key = h.key AND e.n = h.n")
 def hash_chain(spark, d):
     return _log(spark, d).select("corpus_id", "recorded_seq", "entry_hash")
 
 
-@register("hash_chain_tampered", "SELECT key AS corpus_id, false AS intact FROM claims GROUP BY key")
+@register("hash_chain_tampered", ", t AS (SELECT 1) " + BROKEN_SQL.format("seq > 1000"))
 def hash_chain_tampered(spark, d):
     forged = _log(spark, d).withColumn("writer", F.when(F.col("recorded_seq") > 1000, "forger").otherwise(F.col("writer")))
-    return chain.verify_chain(forged).select("corpus_id", "intact")
+    return chain.verify_chain(forged).fillna(-1, ["broken_at"])
 
 
-@register("merkle_root")
+@register("merkle_root", f"""{CHAIN_SQL},
+    tree AS (
+        SELECT key, list(sha256(unhex('00') || hash::BLOB) ORDER BY n) AS nodes FROM h WHERE n > 0 GROUP BY key
+        UNION ALL
+        SELECT key, list_transform(range(0, (len(nodes) + 1) // 2), lambda j: CASE WHEN 2 * j + 2 <= len(nodes) THEN sha256(unhex('01' || nodes[2 * j + 1] || nodes[2 * j + 2])) ELSE nodes[2 * j + 1] END)
+        FROM tree WHERE len(nodes) > 1)
+    SELECT key AS corpus_id, nodes[1] AS root FROM tree WHERE len(nodes) = 1""")
 def merkle_root(spark, d):
     return chain.merkle_roots(_log(spark, d))
 
@@ -308,9 +353,16 @@ def consolidate_plan(spark, d):
     return overlay.plan_consolidation(events_beliefs(spark, d)).select("op", "target", "to", "members")
 
 
-@register("dream_selection", "SELECT id FROM claims ORDER BY recorded DESC, point DESC, id LIMIT 200")
+@register("dream_selection", """,
+    d AS (SELECT *, CASE k % 8 WHEN 1 THEN '1' WHEN 2 THEN '3' WHEN 3 THEN '7' WHEN 4 THEN 'deep' END AS level FROM claims WHERE k % 3 < 2)
+    SELECT id FROM d WHERE (level IS NULL OR level = '1') AND NOT (k % 4 = 1 AND status = 'candidate') ORDER BY recorded DESC, point DESC, seq LIMIT 200""")
 def dream_selection(spark, d):
-    return overlay.select_dreams(events_beliefs(spark, d)).select("id")
+    """Of two of three runs; some claims are dreams of several depths, some of these unvalidated."""
+    k = F.get_json_object("value_json", "$.k").cast("bigint")
+    level = F.when(k % 8 == 1, "1").when(k % 8 == 2, "3").when(k % 8 == 3, "7").when(k % 8 == 4, "deep")
+    tags = F.when(level.isNull(), F.array(F.lit("dreamy"))).otherwise(F.array(F.lit("x"), F.concat(F.lit("dream-depth:"), level)))
+    claims = events_claims(spark, d).withColumns({"tags": tags, "workflow": F.when(k % 4 == 1, overlay.DREAM), "run_id": F.concat(F.lit("run-"), k % 3)})
+    return overlay.select_dreams(claims, spark.createDataFrame([("run-0",), ("run-1",), ("run-9",)], "run_id string")).select("id")
 
 
 # distributions
@@ -332,20 +384,26 @@ def extend_to_frame(spark, d):
 # whole pipelines
 
 
-@register("worked_query", f"SELECT id, round(point * pow(0.5, {AGE} / 30), 6) AS effective FROM claims WHERE {KNOWN} AND subject = 'user:5' AND status = 'validated' AND point * pow(0.5, {AGE} / 30) > 0.3")
+@register("worked_query", """
+    WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS v, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, (epoch_us(o_orderdate) // 1000) AS ms FROM orders),
+    s AS (SELECT *, CASE WHEN v = 'F' THEN 1.0 ELSE 0.0 END AS score, pow(0.5, greatest(0, 1705000000000 - ms) / (86400000.0 * 36500)) AS effective FROM o WHERE c % 7 = 3 AND c < 60 AND v IN ('F', 'P')),
+    one AS (SELECT before AS k FROM s WHERE before NOT IN (SELECT k FROM s)),
+    two AS (SELECT DISTINCT o.before AS k FROM one JOIN o USING (k) WHERE o.before NOT IN (SELECT k FROM s) AND o.before NOT IN (SELECT k FROM one))
+    SELECT 'ord-' || lpad(k::VARCHAR, 10, '0') AS id, score::DOUBLE AS score, round(effective, 6) AS effective, 0 AS depth FROM s
+    UNION ALL SELECT 'ord-' || lpad(k::VARCHAR, 10, '0'), 0, NULL, 1 FROM one UNION ALL SELECT 'ord-' || lpad(k::VARCHAR, 10, '0'), 0, NULL, 2 FROM two""", claims=False)
 def worked_query(spark, d):
-    """Known now, one subject, decayed by 30 days, validated and still confident, ranked."""
+    """Valid claims of some subjects, decayed, still confident and of certain values, ranked, with what they cite."""
     tree = ast.pipe(
-        "events",
-        ("tau", {"mode": "now", "at": CLOCK}),
-        ("sigma", {"predicate": {"op": "subjectEq", "value": "user:5"}}),
-        ("delta", {"policy": temporal.exponential(30), "now": CLOCK}),
-        ("sigma", {"predicate": {"op": "and", "parts": [{"op": "statusEq", "value": "validated"}, {"op": "confidenceGt", "value": 0.3}]}}),
-        ("rho", {"similarity": "jaccard", "query": "amount won"}),
+        "orders",
+        ("tau", {"mode": "valid", "at": CLOCK}),
+        ("sigma", {"predicate": {"op": "subjectIn", "value": [f"cust:{i}" for i in range(60) if i % 7 == 3]}}),
+        ("delta", {"policy": temporal.exponential(36500), "now": CLOCK}),
+        ("sigma", {"predicate": {"op": "and", "parts": [{"op": "confidenceGt", "value": 0.3}, {"op": "or", "parts": [{"op": "valueMatches", "value": "F"}, {"op": "valueMatches", "value": "P"}]}]}}),
+        ("rho", {"similarity": "jaccard", "query": "f"}),
         ("gamma", {"depth": 2}),
     )
-    rows = ast.compile(ast.parse(ast.serialize(tree)), lambda _: events_claims(spark, d))
-    return rows.select("id", r6("effective").alias("effective"))
+    rows = ast.compile(ast.parse(ast.serialize(tree)), lambda _: views.orders_claims(spark, d))
+    return rows.select("id", "score", r6("effective").alias("effective"), "depth")
 
 
 @register("dsl_count", f"SELECT count(*) AS n FROM claims WHERE key = 'event.click' AND status = 'validated' AND point * pow(0.5, {AGE} / 7) > 0.25")
@@ -367,14 +425,16 @@ def canonical_json(spark, d):
     return rows.select("n", V.canonical_json(F.concat(F.lit('{ "b" : [1, true, null], "a": '), F.col("n").cast("string"), F.lit("}"))).alias("canonical"))
 
 
-@register("pushdown_differential", "SELECT id FROM claims WHERE subject = 'user:9' AND key IN ('event.view', 'event.error') AND v = 1")
+@register("pushdown_differential", "SELECT id, true AS plain, true AS hinted FROM claims WHERE subject = 'user:9' AND key IN ('event.view', 'event.error') AND v = 1")
 def pushdown_differential(spark, d):
-    """The same selection as one predicate and as hints with the rest: their union is their intersection."""
+    """The same expression with and without hints at its leaf, side by side."""
     claims = events_beliefs(spark, d)
-    p = {"op": "and", "parts": [{"op": "subjectEq", "value": "user:9"}, {"op": "keyIn", "value": ["event.view", "event.error"]}, {"op": "valueMatches", "value": 1}]}
-    hints = ast.pushed_hints(p)
-    hinted = claims.where(P.and_(P.subject_eq(hints["subject"]), P.key_in(hints["keys"]))).where(ast.predicate(p))
-    return claims.where(ast.predicate(p)).select("id").unionByName(hinted.select("id")).distinct()
+    parts = [{"op": "subjectEq", "value": "user:9"}, {"op": "keyIn", "value": ["event.view", "event.error"]}]
+    tree = ast.pipe("events", ("sigma", {"predicate": {"op": "and", "parts": parts}}), ("sigma", {"predicate": {"op": "valueMatches", "value": 1}}))
+    asked = lambda _, hints: claims.where(P.and_(P.subject_eq(hints["subject"]), P.key_in(hints["keys"])))
+    plain = ast.compile(tree, lambda _: claims).select("id", F.lit(True).alias("plain"))
+    hinted = ast.compile(tree, None, asked).select("id", F.lit(True).alias("hinted"))
+    return plain.join(hinted, "id", "full").select("id", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("hinted", F.lit(False)).alias("hinted"))
 
 
 # sources and stores

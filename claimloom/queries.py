@@ -163,7 +163,7 @@ DOCS_SQL = f"""
 
 
 def _docs_ranked(spark, d):
-    return ranking.rho(views.docs_claims(spark, d), "jaccard", QUERY)
+    return ranking.rho(views.docs_claims(spark, d), "jaccard", QUERY, ordered=False)
 
 
 @register("rho_jaccard", f"{DOCS_SQL} SELECT doc_id, round(score, 6) AS score FROM s", claims=False)
@@ -173,7 +173,7 @@ def rho_jaccard(spark, d):
 
 @register("rho_exact", "SELECT id, CASE WHEN v = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM claims")
 def rho_exact(spark, d):
-    return ranking.rho(events_beliefs(spark, d), "exact", 2).select("id", "score")
+    return ranking.rho(events_beliefs(spark, d), "exact", 2, ordered=False).select("id", "score")
 
 
 @register("top_k", f"{DOCS_SQL} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 10", claims=False)
@@ -194,12 +194,12 @@ def abstain_below_top(spark, d):
 
 @register("rank_blend", "SELECT id, round(0.5 * CASE WHEN v = 2 THEN 1 ELSE 0 END + 0.5 * pow(0.5, greatest(0, 1705000000000 - valid_from) / (90 * 86400000.0)), 6) AS score FROM claims")
 def rank_blend(spark, d):
-    return ranking.rank_blend(events_beliefs(spark, d), ranking.exact, 2, CLOCK).select("id", r6("score").alias("score"))
+    return ranking.rank_blend(events_beliefs(spark, d), ranking.exact, 2, CLOCK, ordered=False).select("id", r6("score").alias("score"))
 
 
 @register("rank_blend_confidence", "SELECT id, round(0.4 * CASE WHEN v = 2 THEN 1 ELSE 0 END + 0.4 * pow(0.5, greatest(0, 1705000000000 - valid_from) / (90 * 86400000.0)) + 0.2 * point, 6) AS score FROM claims")
 def rank_blend_confidence(spark, d):
-    return ranking.rank_blend_confidence(events_beliefs(spark, d), 2, CLOCK, 0.4, 0.4, 0.2).select("id", r6("score").alias("score"))
+    return ranking.rank_blend_confidence(events_beliefs(spark, d), 2, CLOCK, 0.4, 0.4, 0.2, ordered=False).select("id", r6("score").alias("score"))
 
 
 UNIT = [1.0 if i % 2 else 0.5 for i in range(64)]
@@ -208,13 +208,13 @@ COSINE_SQL = f"(1 + list_cosine_similarity(embedding::DOUBLE[], {UNIT}::DOUBLE[]
 
 @register("rho_cosine", f"SELECT vec_id, round({COSINE_SQL}, 6) AS score FROM embeddings", claims=False)
 def rho_cosine(spark, d):
-    return ranking.rho_by(views.vec_claims(spark, d), ranking.cosine_over("embedding", UNIT), None).select(F.col("recorded_seq").alias("vec_id"), r6("score").alias("score"))
+    return ranking.rho_by(views.vec_claims(spark, d), ranking.cosine_over("embedding", UNIT), None, ordered=False).select(F.col("recorded_seq").alias("vec_id"), r6("score").alias("score"))
 
 
 @register("hybrid_max", f"SELECT vec_id, round(greatest(CASE WHEN vec_id = 7 THEN 1 ELSE 0 END, {COSINE_SQL}), 6) AS score FROM embeddings", claims=False)
 def hybrid_max(spark, d):
     fn = ranking.hybrid_max(ranking.exact, ranking.cosine_over("embedding", UNIT))
-    return ranking.rho_by(views.vec_claims(spark, d), fn, 7).select(F.col("recorded_seq").alias("vec_id"), r6("score").alias("score"))
+    return ranking.rho_by(views.vec_claims(spark, d), fn, 7, ordered=False).select(F.col("recorded_seq").alias("vec_id"), r6("score").alias("score"))
 
 
 # provenance
@@ -428,9 +428,11 @@ def alpha_sum_avg(spark, d):
     return A.group_by(events_claims(spark, d), "key", core)
 
 
-@register("alpha_min_max", "SELECT key AS group_key, min(amount) AS least, max(k)::DOUBLE AS most FROM claims GROUP BY key")
+@register("alpha_min_max", "SELECT key AS group_key, min(amount) AS least, max(k)::DOUBLE AS most, min(subject) AS first, max(source) AS last FROM claims GROUP BY key")
 def alpha_min_max(spark, d):
-    return A.group_by(events_claims(spark, d), "key", {"least": A.min_of("value.amount")["value"], "most": A.max_of("value.k")["value"]})
+    """Of numbers and of texts."""
+    core = {"least": A.min_of("value.amount")["value"], "most": A.max_of("value.k")["value"], "first": A.min_of("subject")["text"], "last": A.max_of("source")["text"]}
+    return A.group_by(events_claims(spark, d), "key", core)
 
 
 @register("alpha_group_scope", "SELECT entity AS group_key, count(*) AS n FROM claims WHERE entity IS NOT NULL GROUP BY entity")
@@ -482,7 +484,7 @@ register("reweight_boost", f"{COUNTS_SQL} SELECT id, round({SCORED_SQL} + n * 0.
 
 
 def _few(spark, d):
-    return ranking.rho(views.convo_claims(spark, d), "jaccard", QUERY)
+    return ranking.rho(views.convo_claims(spark, d), "jaccard", QUERY, ordered=False)
 
 
 FEW_SQL = f"""

@@ -162,10 +162,19 @@ def test_joins(spark):
     assert ids(joins.override(left, left)) == ["a", "b"]
 
 
+def test_cycles_at_any_depth(spark):
+    chain = claims(spark, [{"id": f"n{i}", "evidence": cite(f"n{i + 1}")} for i in range(130)])
+    assert provenance.would_create_cycle(chain, "n129", ["n0"]) and not provenance.would_create_cycle(chain, "other", ["n0"]) and provenance.would_create_cycle(chain, "n1", ["n1"])
+
+
 def test_aggregation(spark):
     rows = claims(spark, [{"value": v} for v in (True, None, "", " 12 ", "x", 3.5, [1])])
     assert A.alpha(rows, A.sum_of("value")).first().value == pytest.approx(16.5)
     assert A.alpha(rows.limit(0), A.avg_of("value")).first().value == 0
+    assert A.alpha(claims(spark, [{"subject": "b"}, {"subject": "a"}]), A.min_of("subject")).first().text == "a"
+    texts = claims(spark, [{"value": "pear"}, {"value": "fig"}])
+    assert A.alpha(texts, A.max_of("value")).first().asDict() == {"value": None, "text": "pear"}
+    assert A.alpha(claims(spark, [{"value": 3}, {"value": "12"}, {"value": "x"}]), A.max_of("value")).first().asDict() == {"value": 12.0, "text": None}
     rate = A.alpha(claims(spark, [{"value": {"w": w}} for w in (True, True, False, None)]), A.binary_rate("value.w")).first()
     assert (rate.alpha, rate.beta) == (3, 2)
     assert {r.group_key: r.n for r in A.group_by(rows, "value", A.count()).collect()}.get("12") is None
