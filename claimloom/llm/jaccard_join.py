@@ -4,20 +4,24 @@ A document is the set of its distinct word shingles (64-bit hashes of ``width``
 fewer). Two documents link when |A n B| / |A u B| >= num / den. The steps:
 
 1. *Classes.* Documents with equal sets become one class, by a digest and a partial aggregate: a hot text costs one
-   row per task. Frequent shingles are gathered on the way, as counts of what each task sees often.
+   row per task, and only one document of a class goes on. Frequent shingles are gathered on the way, as counts of what
+   each task sees often.
 2. *Light sets* (size up to a boundary). For each possible partner size the smallest overlap that links is known;
    all subsets of that size are enumerated, and sets that link share one.
 3. *Heavy sets* go to inverted lists. All shingles stand in one global order, rarest first: first the hash region
    for which document frequencies are counted exactly, then the rest of the hash range, then the frequent ones.
    Linked sets share a shingle among the first n - ceil(t n) + 1 of each. Lists are scanned in buckets of the hash
-   range and shipped as packed arrays. A document with enough shingles of its own needs no list at all.
-4. *Verification.* What shares a list or a subset forms a bundle; the whole sets of a bundle meet in one task and
-   each overlap is counted through the bundle's inverted lists. Bundles above ``block_items`` shingles are cut into
-   blocks, and each pair of blocks is one task's work, so that no task or group is unbounded and no link is lost.
+   range and shipped as packed arrays. A document with enough shingles of its own needs no list at all. The list of a
+   frequent shingle never meets in one bucket: its entries are dealt by document.
+4. *Verification.* What shares a list or a subset, and has about the same size, forms a bundle; the whole sets of a
+   bundle meet and each overlap is counted through the bundle's inverted lists. Bundles are cut into blocks by their
+   cost (the pairs that meet in lists) and by ``block_items`` shingles, and each pair of blocks is one task's work, so
+   that no task or group is unbounded and no link is lost.
 
 The boundary between light and heavy is where the estimated rows of either way, over the sizes that occur, add up
-to the least. The frequent-shingle list has at most ``FREQUENT`` entries by its threshold (all region shingles /
-FREQUENT), so it can be broadcast; the bitmap of bundled ids has at most 2^24 bits.
+to the least. The frequent-shingle list has at most ``FREQUENT`` entries by its threshold (all shingles / FREQUENT), so it can be
+broadcast; the bitmaps of representatives and of bundled ids have at most 2^24 bits (what else they let through is
+found out by a join).
 
 Null and empty texts have no shingles and link with nothing: each is its own component. Rows that repeat an id are
 one document to the links; each row gets its answer. A null id has a null component. An empty table gives none.
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ from .worker import release, slices
 REGION = 0.25
 FREQUENT = 1 << 18
 BUCKET_ITEMS = 1_000_000
+MOST_COUNTED = 1_000_000
+BLOCK_COST = 20_000_000
 _LIMIT = U(int(REGION * 2.0**64))
 
 
@@ -104,7 +110,7 @@ def _digests(width: int):
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        often = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        often, floor = [np.zeros(0, np.uint64), np.zeros(0, np.int64)], 0
         for batch in slices(batches):
             for ids, sets in _rows(batch, width):
                 n = [len(s) for s in sets]
@@ -112,10 +118,13 @@ def _digests(width: int):
                 edge = np.concatenate(([0], np.cumsum(n)))
                 a, b = (np.concatenate(([U(0)], np.cumsum(mix(flat ^ _SALT[k]) * _SALT[k + 1], dtype=np.uint64))) for k in (50, 52))
                 yield _batch(schema, np.zeros(len(n), np.int32), ids, n, (a[edge[1:]] - a[edge[:-1]]).view(np.int64), (b[edge[1:]] - b[edge[:-1]]).view(np.int64))
-                seen, count = np.unique(flat[flat < _LIMIT], return_counts=True)
+                seen, count = np.unique(flat, return_counts=True)
                 often = [np.concatenate((often[0], seen)), np.concatenate((often[1], count))]
-                if len(often[0]) > 1_000_000:
+                if len(often[0]) > MOST_COUNTED:
                     often = _summed(*often)
+                    while len(often[0]) > MOST_COUNTED // 2:  # what was rare so far is forgotten, as nothing rests on exact counts
+                        floor += 1
+                        often = [x[often[1] > floor] for x in often]
         seen, count = _summed(*often)
         keep = count >= max(8, int(count.sum()) >> 14)
         k = int(keep.sum())
@@ -134,7 +143,7 @@ def _summed(items: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [items[first], np.add.reduceat(counts[order], first)]
 
 
-REGION_ENTRY, LISTED, SUBSET = 0, 1, 2
+REGION_ENTRY, LISTED, SUBSET, SPREAD = 0, 1, 2, 3
 _ENTRY = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "gap", "cnt", "items"))])
 _ENTRY_SQL = "bucket long, kind int, docs binary, gap binary, cnt binary, items binary"
 
@@ -148,7 +157,7 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
         frequent = shared_frequent.value
         for batch in slices(batches):
             for ids, sets in _rows(batch, width):
-                out: dict[int, list] = {REGION_ENTRY: [], LISTED: [], SUBSET: []}
+                out: dict[int, list] = {REGION_ENTRY: [], LISTED: [], SUBSET: [], SPREAD: []}
                 for doc, items in zip(ids, sets):
                     n = len(items)
                     if doc is None or not n:
@@ -156,18 +165,19 @@ def _entries(width: int, num: int, den: int, light: int, buckets: int, shared_fr
                     if n <= light:
                         out[SUBSET].append((doc, 0, subset_keys(items, num, den, light)))
                     if n >= heavy_from:
-                        cut = int(np.searchsorted(items, _LIMIT))
-                        region = own = items[:cut]
-                        if len(frequent) and cut:
-                            at = np.minimum(np.searchsorted(frequent, region), len(frequent) - 1)
-                            own = region[frequent[at] != region]
-                        lacking = int(prefix_length(n, num, den)) - len(own)
-                        out[REGION_ENTRY].append((doc, lacking, own))
+                        rare, often = items, items[:0]
+                        if len(frequent):
+                            at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
+                            known = frequent[at] == items
+                            rare, often = items[~known], items[known]
+                        cut = int(np.searchsorted(rare, _LIMIT))
+                        lacking = int(prefix_length(n, num, den)) - cut
+                        out[REGION_ENTRY].append((doc, lacking, rare[:cut]))
                         if lacking > 0:
-                            more = items[cut : cut + lacking]
-                            if len(more) < lacking and len(own) < cut:
-                                more = np.concatenate((more, np.setdiff1d(region, own, assume_unique=True)[: lacking - len(more)]))
+                            more = rare[cut : cut + lacking]
                             out[LISTED].append((doc, lacking, more))
+                            if len(more) < lacking:
+                                out[SPREAD].append((doc, lacking, often[: lacking - len(more)]))
                 for kind, found in out.items():
                     if found:
                         yield from _packed(kind, found, buckets)
@@ -181,7 +191,7 @@ def _packed(kind: int, found: list, buckets: int) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
     if not len(items):
         return
-    to = (items % U(buckets)).astype(np.int64)
+    to = (items % U(buckets)).astype(np.int64) if kind != SPREAD else (mix(docs.view(np.uint64)) % U(buckets)).astype(np.int64)[owner]
     order = np.argsort(to, kind="stable")
     items, owner, to = items[order], owner[order], to[order]
     run = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (owner[1:] != owner[:-1]))))
@@ -204,7 +214,7 @@ def _shared(groups: int):
 
     def shared(table: pa.Table) -> pa.Table:
         out = []
-        for kind in (REGION_ENTRY, LISTED, SUBSET):
+        for kind in (REGION_ENTRY, LISTED, SUBSET, SPREAD):
             part = table.filter(pa.array(np.asarray(table.column("kind")) == kind))
             docs, gap, cnt, items = _unpacked(part, ("docs", np.int64), ("gap", np.int32), ("cnt", np.uint32), ("items", np.uint64))
             owner = np.repeat(np.arange(len(docs)), cnt)
@@ -213,7 +223,7 @@ def _shared(groups: int):
             new = np.concatenate(([True], items[1:] != items[:-1])) if len(items) else np.zeros(0, bool)
             df = np.diff(np.append(np.flatnonzero(new), len(items)))
             df = np.repeat(df, df)
-            keep = df >= 2
+            keep = (df >= 2) | (kind == SPREAD)
             items, owner, df = items[keep], owner[keep], df[keep].astype(np.uint32)
             doc = docs[owner] if len(owner) else np.zeros(0, np.int64)
             to = (mix(doc.view(np.uint64)) % U(groups)).astype(np.int64)
@@ -338,6 +348,22 @@ def _sets(width: int):
     return sets_of, "doc long, items binary"
 
 
+def _among(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of the chosen ids (rows with doc) and, by chance, a few others: a bitmap of at most 2^18 words is broadcast."""
+    k = chosen.count()
+    bits = 1 << min(24, max(16, (8 * k).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at("doc") % 64).cast("int"))
+    bitmap = chosen.groupBy(F.shiftright(at("doc"), 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    return (
+        texts.where("doc_id is not null")
+        .withColumn("at", at("doc_id"))
+        .join(F.broadcast(bitmap), F.shiftright("at", 6) == F.col("word"))
+        .where(F.call_function("shiftright", F.col("mask"), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        .select("doc_id", "text")
+    )
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_items: int = 4_000_000
 ) -> DataFrame:
@@ -349,7 +375,7 @@ def jaccard_components(
     seen = written(texts.mapInArrow(*_digests(width)), "digests")
     each = seen.where("kind = 0").drop("kind")
     size = each.agg(F.sum("n").alias("items")).first()["items"] or 0
-    least = max(64, int(REGION * size) // FREQUENT)
+    least = max(64, size // FREQUENT)
     frequent = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("a").collect()
     frequent = np.sort(np.array([r.a for r in frequent], np.int64).view(np.uint64))
     classes = written(
@@ -360,31 +386,33 @@ def jaccard_components(
 
     # 2. and 3. candidates
     parts = max(8, ceil(REGION * size / BUCKET_ITEMS))
-    packed = texts.mapInArrow(_entries(width, num, den, light, parts, spark.sparkContext.broadcast(frequent)), _ENTRY_SQL)
-    found = packed.groupBy("bucket").applyInArrow(_shared(parts), _ENTRY_SQL).groupBy("bucket").applyInArrow(*_prefixes())
     one_each = classes.select(F.col("class_id").alias("doc"), "n", "copies")
-    found = written(found.distinct().join(one_each.select("doc"), "doc", "left_semi"), "lists")
-    hubs = found.groupBy("item").agg(F.min("doc").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    edges = found.join(hubs, "item").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    bundles = connected_components(edges, "bundles").select(F.col("node").alias("doc"), F.col("component").alias("bundle"))
+    first = _among(texts, one_each)
+    packed = first.mapInArrow(_entries(width, num, den, light, parts, spark.sparkContext.broadcast(frequent)), _ENTRY_SQL)
+    found = packed.groupBy("bucket").applyInArrow(_shared(parts), _ENTRY_SQL).groupBy("bucket").applyInArrow(*_prefixes())
+    # linked sets are of one level of sizes or of neighbouring ones
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(den / num) * (1 + 1e-6))) if num < den else F.col("n")
+    found = written(found.distinct().join(one_each.select("doc", level.alias("level")), "doc"), "lists")
+    hubs = written(found.groupBy("item", "level").agg(F.min("doc").alias("hub"), F.count("*").alias("k")), "hubs")
+    upper = hubs.select("item", (F.col("level") - 1).alias("level"), F.col("hub").alias("b"))
+    edges = found.join(hubs, ["item", "level"]).where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    edges = edges.unionByName(hubs.join(upper, ["item", "level"]).select(F.col("hub").alias("a"), "b"))
+    bundles = written(connected_components(edges, "bundles").select(F.col("node").alias("doc"), F.col("component").alias("bundle")), "bundles")
 
     # 4. verification
     bundled = bundles.join(one_each, "doc")
-    blocks = bundled.groupBy("bundle").agg(F.ceil(F.sum("n") / block_items).cast("int").alias("blocks"))
-    bundled = written(bundled.join(blocks, "bundle"), "bundled")
-    facts = bundled.agg(F.count("*").alias("k"), F.max("blocks").alias("most")).first()
-    bits = 1 << min(24, max(16, (8 * facts.k).bit_length()))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    bitmap = bundled.groupBy(F.shiftright(at("doc"), 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at("doc") % 64).cast("int"))).alias("mask"))
-    near = (  # at most 2^18 words of bits
-        texts.where("doc_id is not null")
-        .withColumn("at", at("doc_id"))
-        .join(F.broadcast(bitmap), F.shiftright("at", 6) == F.col("word"))
-        .where(F.call_function("shiftright", F.col("mask"), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        .select("doc_id", "text")
-    )
+    met = hubs.join(bundles, F.col("hub") == F.col("doc")).groupBy("bundle").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+    # of the shingles that two near sets share, about the prefix's share is listed
+    cost = F.coalesce("pairs", F.lit(0)) * den / (den - num + 1)
+    by_cost = F.least(F.sqrt(cost / BLOCK_COST), F.col("k"))
+    blocks = bundled.groupBy("bundle").agg(F.sum("n").alias("items"), F.count("*").alias("k")).join(met, "bundle", "left")
+    blocks = blocks.select("bundle", F.greatest(F.ceil(F.col("items") / block_items), F.ceil(by_cost)).cast("int").alias("blocks")).where("blocks > 1")
+    # written, so that the join below can split a large bundle
+    bundled = written(bundled.join(written(blocks, "blocks"), "bundle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "bundled")
+    most = bundled.agg(F.max("blocks").alias("most")).first().most
+    near = _among(texts, bundled)
     side = F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int")
-    met = (
+    both = (
         near.mapInArrow(*_sets(width))
         .join(bundled, "doc")
         .withColumn("side", side)
@@ -393,8 +421,8 @@ def jaccard_components(
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", "i", "j")
         .sortWithinPartitions("bundle", "i", "j")
     )
-    verified = written(met.mapInArrow(*_verify(num, den)), "verified")
-    if (facts.most or 0) > 1:
+    verified = written(both.mapInArrow(*_verify(num, den)), "verified")
+    if (most or 0) > 1:
         roots = connected_components(verified.select(F.col("doc").alias("a"), F.col("root").alias("b")), "links").withColumnRenamed("component", "root")
     else:
         roots = verified.where("doc <> root").select(F.col("doc").alias("node"), "root")
