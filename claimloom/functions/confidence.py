@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +41,57 @@ def check_rule(rule: str) -> str:
     return name
 
 
+class UnknownDistribution(KeyError):
+    """No distribution of that name."""
+
+
+@dataclass(frozen=True)
+class Distribution:
+    """What a kind of confidence needs: the columns that hold its parameters, its mean and its variance over them."""
+
+    fields: tuple[str, ...]
+    mean: Callable[[Callable[[str], Column]], Column]
+    variance: Callable[[Callable[[str], Column]], Column]
+
+
+_DISTRIBUTIONS = {
+    "beta": Distribution(("alpha", "beta"), lambda c: mean(c("alpha"), c("beta")), lambda c: variance(c("alpha"), c("beta"))),
+    "scalar": Distribution(("p",), lambda c: c("p"), lambda c: F.lit(0.0)),
+}
+
+
+def distribution(name: str) -> Distribution:
+    if name not in _DISTRIBUTIONS:
+        raise UnknownDistribution(f"no distribution {name!r}")
+    return _DISTRIBUTIONS[name]
+
+
+def _by_distribution(of: Callable[[Distribution], Column], dist: Column) -> Column:
+    """The expression of each row's distribution; an unknown name raises when it is met, no name gives null."""
+    unknown = F.raise_error(F.concat(F.lit("no distribution "), dist)).cast("string")
+    out = F.when(dist.isNotNull() & ~dist.isin(*_DISTRIBUTIONS), unknown)
+    for name, d in _DISTRIBUTIONS.items():
+        out = out.when(dist == name, of(d).cast("string"))
+    return out
+
+
+def serialized_params(c=F.col) -> Column:
+    """A confidence's parameters as JSON text."""
+    return _by_distribution(lambda d: F.to_json(F.struct(*(c(f).alias(f) for f in d.fields))), c("dist"))
+
+
+def deserialized_params(text: Column) -> Column:
+    """Such a text as struct(alpha, beta, p)."""
+    return F.from_json(text, "alpha double, beta double, p double")
+
+
+def spread(c=F.col) -> Column:
+    """The variance of each row's distribution."""
+    return _by_distribution(lambda d: d.variance(c), c("dist")).cast("double")
+
+
 def point(c=F.col) -> Column:
-    return F.when(c("dist") == "beta", c("alpha") / (c("alpha") + c("beta"))).otherwise(c("p"))
+    return F.when(c("dist") == "beta", _DISTRIBUTIONS["beta"].mean(c)).otherwise(_DISTRIBUTIONS["scalar"].mean(c))
 
 
 def effective(c=F.col) -> Column:

@@ -182,6 +182,24 @@ def test_aggregation(spark):
     assert low.a == pytest.approx(0.555, abs=1e-3) and low.b == pytest.approx(0.207, abs=1e-3) and low.c == 0
 
 
+def test_distributions_and_lines(spark):
+    from claimloom.plans.render import lines
+
+    rows = claims(spark, [{"id": "a", "alpha": 9, "beta": 1, "value": {"x": 1}}, {"id": "b", "p": 0.25, "value": "tea", "status": "candidate"}])
+    told = {r.id: (r.s, r.v) for r in rows.select("id", C.serialized_params().alias("s"), C.spread().alias("v")).collect()}
+    assert told["a"][0] == '{"alpha":9.0,"beta":1.0}' and told["a"][1] == pytest.approx(9 / 1100) and told["b"] == ('{"p":0.25}', 0.0)
+    back = rows.select(C.deserialized_params(C.serialized_params()).alias("x")).where("x.alpha = 9").first().x
+    assert (back.alpha, back.beta, back.p) == (9, 1, None) and C.distribution("beta").fields == ("alpha", "beta")
+    with pytest.raises(C.UnknownDistribution):
+        C.distribution("gaussian")
+    with pytest.raises(Exception, match="no distribution gaussian"):
+        rows.withColumn("dist", F.lit("gaussian")).select(C.serialized_params()).collect()
+    text = lambda df: [r.line for r in lines(df).collect()]
+    assert text(rows) == ['s k.a = {"x":1}  [validated p=0.900]', 's k.a = "tea"  [candidate p=0.250]']
+    assert text(A.group_by(rows, "status", A.count())) == ["candidate: 1", "validated: 1"] and text(A.alpha(rows, A.count())) == ["2"]
+    assert text(rows.select("id").where("id = 'a'")) == ['{"id":"a"}'] and text(composition.kappa(ranking.rho(rows, "jaccard", "tea"), "text", 1)) == ["tea\n"]
+
+
 def test_opinions(spark):
     o = spark.range(1).select(C.beta_to_opinion(F.lit(1.0), F.lit(1.0)).alias("o"), C.extend_to_frame(F.lit(3.0), F.lit(2.0), [0.5, 0.3, 0.2]).alias("x")).first()
     assert (o.o.b, o.o.d, o.o.u) == (0, 0, 1) and o.x == pytest.approx([3, 1.2, 0.8])
