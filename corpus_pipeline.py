@@ -17,7 +17,11 @@ from claimloom.llm.queries import TOKENIZER
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or whose language is not clear go; ``lang`` becomes the predicted one where it is null."""
+    """Documents without a letter or whose language is not clear go; ``lang`` becomes the predicted one where it is null.
+
+    Null and empty texts have no letter and go. Repeated rows are judged alike; rows without an id are judged as all others.
+    Without a labelled document nothing can be told, so all go. An empty table stays empty.
+    """
     content = language_id.sample_texts(docs, F.lit(True))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text")  # so that no name clashes
     kept = language_id.identify(held, content).where(~F.col("rejected"))
@@ -28,20 +32,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays.
 
-    Rows without an id stay; rows that repeat an id are one document and stay together.
+    Rows without an id stay; rows that repeat an id are one document and stay together. Texts without words are near
+    nothing and stay.
     """
     found = jaccard_join.jaccard_components(docs, width=5, num=80, den=100)
-    go = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    go = found.where("component_id <> doc_id").select(F.lit(False).alias("without"), F.col("doc_id").alias("going"))
+    # rows without an id are dealt by their text, so that they don't meet in one task
+    key = F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))
+    return docs.join(go, (key == go["going"]) & (docs["doc_id"].isNull() == go["without"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares: documents are repeated or left out by their Poisson draw."""
+    """Sources in equal shares: documents are repeated or left out by their Poisson draw.
+
+    A null source is a source of its own; rows that repeat an id draw alike, those without an id as one. Texts do not matter.
+    """
     return mixing.mix(docs, weights=None, scale=1.0, seed="pipeline").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences, with their identifiers."""
+    """Pieces of the packed sequences, with their identifiers.
+
+    A null or empty text is its end identifier alone; every row is a document, whatever repeats. No documents give no pieces.
+    """
     return packing.pack(docs, str(TOKENIZER), window=2048, end_id=1)
 
 
