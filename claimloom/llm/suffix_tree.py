@@ -10,8 +10,9 @@ of its symbols' probabilities. As for the base score, the outcomes are the token
 others: a seen token has (1 - u) * (c / N + product) / 2, an unseen one u, the Good-Turing share of tokens seen once.
 
 The tree grows with the training text, so it is nowhere held whole: it lies in the shared folder, split by the two
-symbols before the next one. Chunks of texts ask for their different strings there, once each, and get the
-probabilities back. Only contexts of up to one symbol, 2^16 counts at most, are broadcast.
+symbols before the next one and a hash of the third, so that no common ending of words is one task's work. Counts of a bucket are added as they
+come, in the memory of its different strings. Chunks of texts ask for their different strings there, once each, and get the
+probabilities back; buckets of which much is asked are salted by chunk. Only contexts of up to two symbols, 2^24 counts at most, are broadcast.
 Unigram counts for the base score are exact: words that make up more than 1 / ``FREQUENT`` of all tokens (so
 fewer than ``FREQUENT``) are broadcast, all others are looked up in the counts by buckets of the hash range, shipped as packed
 arrays.
@@ -41,10 +42,13 @@ LEAST = 4
 PER_SYMBOL = 1.0
 OWN_SHARE = 0.5
 FREQUENT = 1 << 20
-BUCKET_ITEMS = 1_000_000
+BUCKET_ITEMS = 300_000
 SEGMENT = 512
 CHUNK_BYTES = 1 << 24
-SALT_BYTES = 1 << 31
+THIRDS = 4
+#: Training bytes of a bucket for each of its salts.
+SALT_BYTES = 1 << 24
+AT_ONCE = 1 << 20
 _END = 0x0A
 _LEAD = bytes(DEPTH) + bytes([_END])
 
@@ -107,7 +111,7 @@ class _Tally:
         return _merge(self.items, self.counts)
 
 
-WORD, GRAM, DOCUMENT, REQUEST = 0, 1, 2, 3
+WORD, GRAM, DOCUMENT, REQUEST, TRIPLE = 0, 1, 2, 3, 4
 _COUNTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("different", pa.int64())])
 _COUNTED_SQL = "kind int, bucket long, items binary, counts binary, total long, different long"
 
@@ -122,13 +126,13 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
 
 
 def packed(items: np.ndarray) -> bytes:
-    """Sorted strings of one bucket as steps from one to the next, without the two symbols that name the bucket."""
+    """Sorted strings of one bucket as steps from one to the next, without the two symbols that its number tells."""
     return planes(np.diff(((items >> U(24)) << U(8)) | (items & U(255)), prepend=U(0)))
 
 
 def unpacked(raw: bytes, bucket: int) -> np.ndarray:
     rest = np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
-    return ((rest >> U(8)) << U(24)) | U(bucket << 8) | (rest & U(255))
+    return ((rest >> U(8)) << U(24)) | U((bucket // THIRDS) << 8) | (rest & U(255))
 
 
 def _split(kind: int, items: np.ndarray, counts: np.ndarray, to: np.ndarray) -> list[tuple]:
@@ -149,8 +153,9 @@ def _unpack(column, kind) -> np.ndarray:
 
 
 def gram_bucket(items: np.ndarray) -> np.ndarray:
-    """By the two symbols before the next one: the whole subtree of a two-symbol context is in one bucket."""
-    return ((items >> U(8)) & U(0xFFFF)).astype(np.int64)
+    """By the two symbols before the next one and a class of the third: the whole subtree of a three-symbol context is in one bucket."""
+    third = (((items >> U(24)) & U(255)) * U(0x9E37)) >> U(6)
+    return (((items >> U(8)) & U(0xFFFF)) * U(THIRDS) + third % U(THIRDS)).astype(np.int64)
 
 
 def _count(buckets: int):
@@ -175,13 +180,53 @@ def _count(buckets: int):
     return count
 
 
-def _sum_up(table: pa.Table) -> pa.Table:
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    if kind == DOCUMENT:
-        return _table([(kind, bucket, b"", b"", sum(table.column("total").to_pylist()), 0)], _COUNTED)
-    read = (lambda raw: unpacked(raw, bucket)) if kind == GRAM else (lambda raw: np.frombuffer(raw, np.uint64))
-    items, counts = _merge([read(x) for x in table.column("items").to_pylist()], [unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
-    return _table([(kind, bucket, items.tobytes(), counts.tobytes(), int(counts.sum()), len(items))], _COUNTED)
+class _Sum:
+    """The counts of one bucket, added as its parts come in."""
+
+    def __init__(self, kind: int, bucket: int):
+        self.kind, self.bucket, self.total = kind, bucket, 0
+        self.items, self.counts, self.waiting, self.merged = [], [], 0, 0
+
+    def add(self, items: bytes, counts: bytes, total: int) -> None:
+        self.total += total
+        if self.kind == DOCUMENT:
+            return
+        self.items.append(unpacked(items, self.bucket) if self.kind == GRAM else np.frombuffer(items, np.uint64))
+        self.counts.append(unplanes(counts, np.uint32))
+        self.waiting += len(self.items[-1])
+        if self.waiting > max(1 << 20, self.merged):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        items, counts = _merge(self.items, self.counts)
+        self.items, self.counts, self.waiting, self.merged = [items], [counts], 0, len(items)
+        return items, counts
+
+    def rows(self) -> list[tuple]:
+        if self.kind == DOCUMENT:
+            return [(self.kind, self.bucket, b"", b"", self.total, 0)]
+        items, counts = self.merge()
+        out = [(self.kind, self.bucket, items.tobytes(), counts.tobytes(), int(counts.sum()), len(items))]
+        if self.kind == GRAM:
+            items, counts = _merge([items & U(0xFFFFFF)], [counts])
+            out.append((TRIPLE, self.bucket, items.tobytes(), counts.tobytes(), 0, len(items)))
+        return out
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by kind and bucket."""
+    own = None
+    for batch in batches:
+        columns = [batch.column(i) for i in range(5)]
+        for kind, bucket, items, counts, total in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], columns[4].to_pylist()):
+            if own is None or (own.kind, own.bucket) != (kind, bucket):
+                if own:
+                    yield from _table(own.rows(), _COUNTED).to_batches()
+                own = _Sum(kind, bucket)
+            own.add(items.as_py(), counts.as_py(), total)
+    if own:
+        yield from _table(own.rows(), _COUNTED).to_batches()
+    release()
 
 
 def _contexts(items: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
@@ -194,9 +239,17 @@ def _contexts(items: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.nda
     return strings, count, of, contexts, np.bincount(of, count, len(contexts))
 
 
-def retained(items: np.ndarray, counts: np.ndarray, least: float, per_symbol: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For depths 2 to DEPTH, strings and counts of the contexts that the divergence test keeps; all depths 0, 1 and 2 are kept elsewhere."""
+def retained(
+    items: np.ndarray, counts: np.ndarray, least: float, per_symbol: float, pairs: tuple[np.ndarray, np.ndarray] | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For depths 2 to DEPTH, strings and counts of the contexts that the divergence test keeps; all depths 0, 1 and 2 are kept elsewhere.
+
+    ``pairs``: strings of two context symbols with their counts in the whole text, where ``items`` are only some of it.
+    """
     levels = {d: _contexts(items, counts, d) for d in range(2, DEPTH + 1)}
+    if pairs is not None:
+        own = np.isin(pairs[0] >> U(8), levels[2][3])
+        levels[2] = _contexts(pairs[0][own], pairs[1][own], 2)
     keep = {d: np.zeros(len(x[3]), bool) for d, x in levels.items()}
     keep[2][:] = True
     for d in range(DEPTH, 2, -1):
@@ -213,18 +266,19 @@ def retained(items: np.ndarray, counts: np.ndarray, least: float, per_symbol: fl
     return [(x[0][keep[d][x[2]]], x[1][keep[d][x[2]]].astype(np.int64)) for d, x in levels.items()]
 
 
-def _prune(least: float, per_symbol: float):
+def _prune(least: float, per_symbol: float, shared_pairs):
     schema = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, raw, count in zip(*(c.to_pylist() for c in batch.columns)):
-                items, counts = np.frombuffer(raw, np.uint64), np.frombuffer(count, np.int64)
-                rows = [(bucket, d, a.tobytes(), b.tobytes()) for d, (a, b) in enumerate(retained(items, counts, least, per_symbol), 2) if len(a)]
-                for d in (0, 1):  # every context of up to one symbol is kept
-                    strings, n, *_ = _contexts(items, counts, d)
-                    rows.append((bucket, d, strings.tobytes(), n.astype(np.int64).tobytes()))
-                yield from _table(rows, schema).to_batches()
+            for bucket, raw, count in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                items, counts = np.frombuffer(raw.as_py(), np.uint64), np.frombuffer(count.as_py(), np.int64)
+                context = bucket // THIRDS
+                strings, n = shared_pairs.value
+                own = slice(*np.searchsorted(strings, (np.array([context, context + 1], np.uint64) << U(8))))
+                kept = retained(items, counts, least, per_symbol, (strings[own], n[own]))
+                yield from _table([(bucket, d, a.tobytes(), b.tobytes()) for d, (a, b) in enumerate(kept, 2) if d > 2 and len(a)], schema).to_batches()
+        release()
 
     return prune, "bucket long, depth int, items binary, counts binary"
 
@@ -243,15 +297,29 @@ def root_chances(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return table
 
 
-def chances(items: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the last symbols of strings, each in the longest retained suffix of its context."""
-    found = root[((items >> U(8)) & U(255)).astype(np.int64), (items & U(255)).astype(np.int64)]
+def prepared(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each depth from 2: strings, counts, contexts, their totals and numbers of next symbols."""
+    out = {}
     for d in range(2, DEPTH + 1):
         strings, counts = levels.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        if not len(strings):
+        if len(strings):
+            contexts, first = np.unique(strings >> U(8), return_index=True)
+            out[d] = strings, counts, contexts, np.add.reduceat(counts, first), np.diff(first, append=len(strings))
+    return out
+
+
+def chances(items: np.ndarray, levels: dict, root: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the last symbols of strings, each in the longest retained suffix of its context.
+
+    ``levels``: strings and counts by depth, or what ``prepared`` makes of them.
+    """
+    if levels and len(next(iter(levels.values()))) == 2:
+        levels = prepared(levels)
+    found = root[((items >> U(8)) & U(255)).astype(np.int64), (items & U(255)).astype(np.int64)]
+    for d in range(2, DEPTH + 1):
+        if d not in levels:
             break  # suffixes of retained contexts are retained, so nothing is deeper
-        contexts, first = np.unique(strings >> U(8), return_index=True)
-        sums, kinds = np.add.reduceat(counts, first), np.diff(first, append=len(strings))
+        strings, counts, contexts, sums, kinds = levels[d]
         context, whole = (items >> U(8)) & U((1 << 8 * d) - 1), items & U((1 << 8 * (d + 1)) - 1)
         at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
         here = np.minimum(np.searchsorted(strings, whole), len(strings) - 1)
@@ -301,17 +369,38 @@ def _levels(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: _merge(*x) for d, x in parts.items()}
 
 
-def _reply(shared_root):
-    """Per bucket and salt: the probabilities of what chunks ask for."""
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("items", pa.binary()), ("chance", pa.binary())])
+def _reply(shared_root, shared_pairs):
+    """Per bucket and salt: the probabilities of what chunks ask for, in the order in which they asked."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("chance", pa.binary())])
 
     def reply(asked: pa.Table, model: pa.Table) -> pa.Table:
-        levels, rows = _levels(model), []
-        for chunk, bucket, raw in zip(*(asked.column(c).to_pylist() for c in ("chunk", "bucket", "items"))):
-            rows.append((chunk, bucket, raw, planes(chances(unpacked(raw, bucket), levels, shared_root.value))))
+        if not asked.num_rows:
+            return _table([], schema)
+        bucket = asked.column("bucket")[0].as_py()
+        strings, n = shared_pairs.value
+        own = slice(*np.searchsorted(strings, (np.array([bucket // THIRDS, bucket // THIRDS + 1], np.uint64) << U(8))))
+        full = strings[own] >> U(16) != 0
+        levels, rows = prepared({2: (strings[own][full], n[own][full])} | _levels(model)), []
+        chunks_, raws = asked.column("chunk").to_pylist(), asked.column("items").to_pylist()
+        first, parts, size = 0, [], 0
+        for i, raw in enumerate(raws):  # many small requests are looked up together
+            parts.append(unpacked(raw, bucket))
+            size += len(parts[-1])
+            if size >= AT_ONCE or i + 1 == len(raws):
+                found = np.split(chances(np.concatenate(parts), levels, shared_root.value), np.cumsum([len(p) for p in parts])[:-1])
+                rows += [(chunks_[j], bucket, planes(x)) for j, x in enumerate(found, first)]
+                first, parts, size = i + 1, [], 0
         return _table(rows, schema)
 
-    return reply, "chunk long, bucket long, items binary, chance binary"
+    return reply, "chunk long, bucket long, chance binary"
+
+
+def _answered(items: np.ndarray, replies: pa.Table) -> np.ndarray:
+    """The probabilities of a chunk's strings (sorted): replies hold each bucket's in order."""
+    parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("chance").to_pylist()))
+    out = np.empty(len(items), np.float32)
+    out[np.argsort(gram_bucket(items), kind="stable")] = np.concatenate([unplanes(x, np.float32) for _, x in parts] or [np.zeros(0, np.float32)])
+    return out
 
 
 class Automaton:
@@ -434,27 +523,27 @@ def _score(shared_words, tokens: int, different: int, unseen: float, end_count:
 
     def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
         frequent, frequent_counts = shared_words.value
-        known = [unpacked(*x) for x in zip(replies.column("items").to_pylist(), replies.column("bucket").to_pylist())]
-        items = np.concatenate(known or [np.zeros(0, np.uint64)])
-        chance = np.concatenate([unplanes(x, np.float32) for x in replies.column("chance").to_pylist()] or [np.zeros(0, np.float32)])
-        order = np.argsort(items)
-        items, chance = items[order], chance[order]
-        del known, order
-        made = []
         number, nth = texts.column("chunk")[0].as_py() << 25 if texts.num_rows else 0, texts.column("nth").to_pylist()
+        runs = []
         for i in sorted(range(len(nth)), key=nth.__getitem__):
-            whole, sizes, ids, train = (texts.column(c)[i].as_py() for c in ("texts", "sizes", "ids", "train"))
+            whole, sizes = texts.column("texts")[i].as_py(), texts.column("sizes")[i].as_py()
             whole, ends = zstandard.decompress(whole), np.cumsum(sizes).tolist()
             raws = [whole[a:b] for a, b in zip([0, *ends], ends)]
+            asked, back = np.unique(grams(streams(raws)[0]), return_inverse=True)
+            runs.append((i, raws, asked, back.astype(np.int32)))
+        items = np.unique(np.concatenate([r[2] for r in runs] or [np.zeros(0, np.uint64)]))
+        chance = _answered(items, replies)
+        made = []
+        for i, raws, asked, back in runs:
+            ids, train = (texts.column(c)[i].as_py() for c in ("ids", "train"))
             k = len(raws)
             words, per_text = word_hashes(raws)
             owner = np.repeat(np.arange(k), per_text)
             data, lengths = streams(raws)
-            asked, back = np.unique(grams(data), return_inverse=True)
             logp = np.zeros(len(data), np.float32)
             logp[predicted(data)] = chance[np.searchsorted(items, asked)][back]
             spelt = token_sums(logp, data, lengths)
-            del data, asked, back, logp
+            del data, logp
             is_end = np.zeros(len(spelt), bool)
             is_end[np.cumsum(per_text + 1) - 1] = True
             scores, spelt = mixed(np.full(k, end_count), spelt[is_end], tokens, unseen), spelt[~is_end]
@@ -541,9 +630,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     letters = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets = max(8, ceil(letters / 6 / BUCKET_ITEMS))
 
-    counted = written(
-        rows.where("train").select("text").mapInArrow(_count(buckets), _COUNTED_SQL).groupBy("kind", "bucket").applyInArrow(_sum_up, _COUNTED_SQL), "counted"
-    )
+    parts = rows.where("train").select("text").mapInArrow(_count(buckets), _COUNTED_SQL)
+    counted = written(parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum_up, _COUNTED_SQL), "counted")
     sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different")).collect()}
     total = lambda kind, what: sums[kind][what] if kind in sums else 0
     texts, words = total(DOCUMENT, "total"), counted.where(F.col("kind") == WORD)
@@ -561,20 +649,26 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     unseen = unseen_share(tokens, sum(r["once"] for r in often))
 
-    strings = counted.where(F.col("kind") == GRAM).select("bucket", "items", "counts")
-    model = written(strings.mapInArrow(*_prune(least, per_symbol)), "tree")
-    roots: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-    for r in model.where("depth < 2").toLocalIterator():
-        roots[r["depth"]][0].append(np.frombuffer(r["items"], np.uint64))
-        roots[r["depth"]][1].append(np.frombuffer(r["counts"], np.int64))
     share = spark.sparkContext.broadcast
-    root = share(root_chances({d: _merge(*x) for d, x in roots.items()}))
+    triples: tuple[list, list] = ([], [])
+    for r in counted.where(F.col("kind") == TRIPLE).select("items", "counts").toLocalIterator():  # 2^24 different ones at most
+        triples[0].append(np.frombuffer(r["items"], np.uint64))
+        triples[1].append(np.frombuffer(r["counts"], np.int64))
+        if len(triples[0]) >= 4096:
+            triples = tuple([x] for x in _merge(*triples))
+    pairs = _merge(*triples)
+    root, shared_pairs = share(root_chances({d: _contexts(*pairs, d)[:2] for d in (0, 1)})), share(pairs)
+    strings = counted.where(F.col("kind") == GRAM).select("bucket", "items", "counts")
+    model = written(strings.mapInArrow(*_prune(least, per_symbol, shared_pairs)), "tree")
 
-    salts = max(1, ceil(letters / SALT_BYTES))  # so that what chunks ask of one bucket never meets whole
+    # so that what chunks ask of one bucket never meets whole: one row for each large bucket, of which there are 2^16 * THIRDS at most
+    salts = counted.where((F.col("kind") == GRAM) & (F.col("total") > SALT_BYTES)).select("bucket", F.ceil(F.col("total") / SALT_BYTES).alias("salts"))
+    salts = F.broadcast(written(salts, "salts"))
     asking = written(rows.select("text", "doc_id", "train").mapInArrow(_ask, _ASKED_SQL), "asking")
-    asks = asking.where(F.col("kind") == ASK).select("chunk", "bucket", "items", F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt"))
-    deep = model.where("depth >= 2").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    replies = asks.groupBy("bucket", "salt").cogroup(deep.groupBy("bucket", "salt")).applyInArrow(*_reply(root))
+    many = F.coalesce("salts", F.lit(1))
+    asks = asking.where(F.col("kind") == ASK).select("chunk", "bucket", "items").join(salts, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("chunk"), many)).drop("salts")
+    deep = model.join(salts, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("salts")
+    replies = asks.groupBy("bucket", "salt").cogroup(deep.groupBy("bucket", "salt")).applyInArrow(*_reply(root, shared_pairs))
     texts_of = asking.where(F.col("kind") == TEXT).select("chunk", "nth", "texts", "sizes", "ids", "train")
     scored = written(
         texts_of.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share((known, known_counts)), tokens, different, unseen, texts, buckets), _SCORED_SQL), "scored"
