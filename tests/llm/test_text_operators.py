@@ -202,11 +202,84 @@ def test_chances_equal_automaton():
     asked = suffix_tree.grams(data)
     got, bucket = np.zeros(len(asked)), suffix_tree.gram_bucket(asked)
     for b in np.unique(bucket):
-        own = {d: tuple(x[suffix_tree.gram_bucket(s) == b] for x in (s, n)) for d, (s, n) in levels.items()}
+        own = {d: tuple(x[(suffix_tree.gram_bucket(s) == b) | (d == 2)] for x in (s, n)) for d, (s, n) in levels.items()}  # depth 2 is everywhere
         got[bucket == b] = suffix_tree.chances(asked[bucket == b], own, suffix_tree.root_chances(roots))
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def brute_tree(texts, least, per_symbol):
+    """Contexts of all depths as (context -> next symbol -> count), and those retained, string by string."""
+    counts = defaultdict(Counter)
+    for text in texts:
+        symbols = b"\n" + b"".join(w + b" " for w in text.lower().split()) + b"\n"
+        for i in range(1, len(symbols)):
+            for d in range(min(i, suffix_tree.DEPTH) + 1):
+                counts[symbols[i - d : i]][symbols[i]] += 1
+    kept = {c for c in counts if len(c) <= 2}
+    for c, own in counts.items():
+        if len(c) > 2:
+            up, total, above = counts[c[1:]], sum(own.values()), sum(counts[c[1:]].values())
+            gain = sum(n * math.log(n / total / (up[x] / above)) for x, n in own.items())
+            if total >= least and gain >= per_symbol * len(own) - 1e-9:
+                kept.update(c[j:] for j in range(len(c) - 1))
+    return counts, kept
+
+
+def brute_symbol(counts, kept, context, symbol):
+    p = 1 / 257
+    for d in range(len(context) + 1):
+        c = context[len(context) - d :]
+        if c in kept and c in counts:
+            own = counts[c]
+            p = (own[symbol] + len(own) * p) / (sum(own.values()) + len(own))
+    return p
+
+
+def brute_score(counts, kept, words, total, unseen, text):
+    """A text's log10 probability, token by token."""
+    score, before = 0.0, b"\n"
+    tokens = text.lower().split()
+    for token in [*tokens, None]:
+        spelt = 1.0
+        for symbol in b"\n" if token is None else token + b" ":
+            spelt *= brute_symbol(counts, kept, before[-suffix_tree.DEPTH :], symbol)
+            before += bytes([symbol])
+        n = words[token]
+        score += math.log10((1 - unseen) * (n / total + spelt) / 2) if n else math.log10(unseen)
+    return score
+
+
+def test_retained_equals_brute_force():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aab bcd") for _ in range(rng.randrange(400))).encode() for _ in range(50)] + [b"", b"x"]
+    data, _ = suffix_tree.streams(texts)
+    items, counts = np.unique(suffix_tree.grams(data), return_counts=True)
+    told, kept = brute_tree(texts, 4, 1.0)
+    got = {}
+    for d, (strings, n) in enumerate(suffix_tree.retained(items, counts, 4, 1.0), 2):
+        for s, k in zip(strings.tolist(), n.tolist()):
+            got[(s >> 8).to_bytes(d, "big"), s & 255] = k
+    assert got == {(c, x): n for c in kept if len(c) > 1 for x, n in told[c].items()} and len(got) > 200
+
+
+def test_scores_equal_brute_force(spark):
+    """Whole scores of trained and held-out texts, over several partitions, buckets and words of all frequencies."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60))) for i in range(80)} | {80: "never seen zzz", 81: "", 82: "ABC abc"}
+    train = [t.encode() for i, t in texts.items() if i % 5]
+    counts, kept = brute_tree(train, suffix_tree.LEAST, suffix_tree.PER_SYMBOL)
+    words = Counter(w for t in train for w in t.lower().split())
+    words[None] = len(train)
+    total = sum(words.values())
+    unseen = suffix_tree.unseen_share(total, sum(n == 1 for w, n in words.items() if w is not None))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_tree.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
+    for i, text in texts.items():
+        assert got[i].score == pytest.approx(brute_score(counts, kept, words, total, unseen, text.encode()), rel=1e-4), text
+        assert got[i].n_tokens == len(text.split()) + 1 and got[i].train_tokens == total
+
+
 def test_contexts_stay_in_a_large_corpus(spark):
     """A context seen 30 times whose next symbol clearly diverges is kept beside ten million other symbols."""
     filler = spark.range(0, 400, 1, 4).select((F.col("id") + 1000).alias("doc_id"), F.repeat(F.lit("xa m xa n ya m ya n "), 1300).alias("text"))
@@ -221,7 +294,7 @@ def test_scores_do_not_hang_on_chunks(spark, real_docs, monkeypatch):
     """Many small chunks and several salts give what one chunk gives."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     whole = {r.doc_id: r for r in suffix_tree.score_texts(real_docs, train).collect()}
-    monkeypatch.setattr(suffix_tree, "SALT_BYTES", 1 << 17)
+    monkeypatch.setattr(suffix_tree, "SALT_BYTES", 1 << 10)
     small = {r.doc_id: r for r in suffix_tree.score_texts(real_docs.repartition(5), train).collect()}
     assert whole.keys() == small.keys() and all(small[i].score == pytest.approx(r.score, rel=1e-5) and small[i].n_known == r.n_known for i, r in whole.items())
 
