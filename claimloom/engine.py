@@ -87,7 +87,7 @@ class Engine:
         rows = settled(rows, "batch")
         told = settled(writing.commit_batch(rows, store.claims(), definition["policy"], definition["rule"], store.idempotency(), now), "told")
         accepted = rows.join(told.where("outcome = 'committed'").select("id"), "id", "left_semi")
-        last = store.events().orderBy(F.desc("recorded_seq")).limit(1).collect() if "audit" in definition["tiers"] else []
+        last = store.events().orderBy(*map(F.desc, chain.ORDER)).limit(1).collect() if "audit" in definition["tiers"] else []
         with store.transact() as whole:
             whole.insert(accepted.select(*CLAIM_COLUMNS))
             gone = told.where("deprecated_id is not null").select(F.lit(corpus_id).alias("corpus_id"), F.col("deprecated_id").alias("id"), F.lit("deprecated").alias("to"))

@@ -16,6 +16,8 @@ from .graph import settled
 EVENT_FIELDS = ("op", "corpus_id", "writer", "claim_id", "deprecated_id", "to_status", "reason", "recorded", "recorded_seq")
 
 
+#: Events of one number, as of one batch, follow each other by their claim.
+ORDER = ("recorded_seq", "claim_id")
 #: Sequence numbers of one bucket: what is ordered inside one task.
 BUCKET = 1 << 16
 #: Nodes of a Merkle tree that meet in one group.
@@ -29,7 +31,7 @@ def canonical_column() -> Column:
 
 
 def build_chain(events: DataFrame, start: dict[str, str] | None = None) -> DataFrame:
-    """Adds prev_hash and entry_hash, in order of recorded_seq in each corpus.
+    """Adds prev_hash and entry_hash, in ``ORDER`` in each corpus.
 
     Each hash needs the one before, so a corpus is one sequential stream; it is read in sorted batches, with one hash
     in memory. ``start``: the last hash of a corpus that has a log already.
@@ -51,7 +53,7 @@ def build_chain(events: DataFrame, start: dict[str, str] | None = None) -> DataF
             yield batch.drop(columns="_text").assign(prev_hash=before, entry_hash=after)
 
     rows = events.withColumn("_text", canonical_column())
-    return rows.repartition("corpus_id").sortWithinPartitions("corpus_id", "recorded_seq").mapInPandas(chain, schema)
+    return rows.repartition("corpus_id").sortWithinPartitions("corpus_id", *ORDER).mapInPandas(chain, schema)
 
 
 def _bucket() -> Column:
@@ -71,10 +73,10 @@ def verify_chain(log: DataFrame) -> DataFrame:
     An entry is good if it hashes to its own hash and names the hash before it. Logs are cut into buckets of sequence
     numbers; inside a bucket entries see their predecessor, and only each bucket's ends meet those of its neighbours.
     """
-    order = Window.partitionBy("corpus_id", "bucket").orderBy("recorded_seq")
-    rows = log.select("corpus_id", "recorded_seq", "prev_hash", "entry_hash", canonical_column().alias("text"), _bucket().alias("bucket"))
+    order = Window.partitionBy("corpus_id", "bucket").orderBy(*ORDER)
+    rows = log.select("corpus_id", *ORDER, "prev_hash", "entry_hash", canonical_column().alias("text"), _bucket().alias("bucket"))
     own = F.sha2(F.concat("text", "prev_hash"), 256) == F.col("entry_hash")
-    rows = rows.select("corpus_id", "bucket", "recorded_seq", "prev_hash", "entry_hash", own.alias("own"))
+    rows = rows.select("corpus_id", "bucket", *ORDER, "prev_hash", "entry_hash", own.alias("own"))
     before = F.lag("entry_hash").over(order)
     rows = rows.withColumns({"place": F.row_number().over(order) - 1, "good": F.coalesce(F.col("own") & (before.isNull() | (F.col("prev_hash") == before)), F.lit(False))})
     ends = rows.groupBy("corpus_id", "bucket").agg(
@@ -113,8 +115,8 @@ def merkle_roots(log: DataFrame) -> DataFrame:
     ``FAN`` neighbours at a time become their subtree's root, so a log of n entries takes log n / log FAN shuffles; each
     such level is written, and no task holds more than a bucket of leaves or ``FAN`` nodes.
     """
-    inside = Window.partitionBy("corpus_id", "bucket").orderBy("recorded_seq")
-    rows = log.select("corpus_id", "recorded_seq", _bucket().alias("bucket"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col("entry_hash").cast("binary")), 256).alias("h"))
+    inside = Window.partitionBy("corpus_id", "bucket").orderBy(*ORDER)
+    rows = log.select("corpus_id", *ORDER, _bucket().alias("bucket"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col("entry_hash").cast("binary")), 256).alias("h"))
     rows = rows.withColumn("place", F.row_number().over(inside) - 1)
     level = rows.join(_offsets(log), ["corpus_id", "bucket"]).select("corpus_id", (F.col("before") + F.col("place")).alias("i"), "h")
     while True:

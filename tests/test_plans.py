@@ -310,6 +310,12 @@ def test_remember(spark, tmp_path):
     assert (second.outcome, second.action, second.deprecated_ids) == ("committed", "superseded", ["a"])
     now[0] = 3_000
     assert (tell("c", "Rome").action, engine.inspect_corpus("notes")["claims"]) == ("superseded", {"validated": 3})
+    engine.create_corpus("logged", tiers=("claims", "audit"), scope_fields=[])
+    many = spark.createDataFrame([(f"m{i:02}", "Ada", f"ada.k{i}", "1") for i in range(30)], "id string, subject string, key string, value_json string")
+    engine.remember("logged", many)
+    engine.remember("logged", one("z", "Rome"))
+    log = engine.verify("logged").first()
+    assert log.intact and log.entries == 31
     tree = ast.pipe("notes", ("sigma", {"predicate": {"op": "subjectEq", "value": "Ada"}}), ("rho", {"similarity": "jaccard", "query": "rome"}))
     assert ast.leaf_hints(tree) == {"subject": "Ada"} and [r.id for r in engine.query(tree).collect()] == ["b", "c", "a"]
 
