@@ -4,6 +4,9 @@ The chosen and the rejected conversation of a pair are compared turn by turn. Th
 once as the prompt; what follows is rendered as two completions. A completion's mask lists the spans, in code
 points, that are trained on: each assistant text with its end marker.
 
+Markers inside a role or text would end or begin turns, so they are broken by a space (``<| im_end|>``) before anything
+else; no text can forge a turn.
+
 Turns are ordered by turn, then role and text. A conversation is one row of the result and so is gathered whole; its
 size is bounded by that of a string. Null roles count as ``user``, null texts as empty. Turns without a pair id are
 left out; a pair with one side only gets an empty conversation for the other. Equal conversations are all prompt.
@@ -17,6 +20,12 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def _harmless(text: Column) -> Column:
+    for marker in (START, END):
+        text = F.replace(text, F.lit(marker), F.lit(marker.replace("<|", "<| ")))
+    return text
+
+
 def _render(turn: Column) -> Column:
     return F.concat(F.lit(START), turn["role"], F.lit("\n"), turn["text"], F.lit(END + "\n"))
 
@@ -42,7 +51,8 @@ def _mask(turns: Column, trained: str) -> Column:
 
 
 def _gathered(turns: DataFrame, pair: str, turn: str, role: str, text: str, name: str) -> DataFrame:
-    row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    told = (_harmless(F.coalesce(F.col(c), F.lit(default))).alias(field) for c, default, field in ((role, "user", "role"), (text, "", "text")))
+    row = F.struct(F.col(turn).alias("turn"), *told)
     listed = F.transform(F.sort_array(F.collect_list(row)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return turns.where(F.col(pair).isNotNull()).groupBy(F.col(pair).alias("pair_id")).agg(listed.alias(name))
 

@@ -138,7 +138,9 @@ ORACLES: dict[str, str] = {
         FROM scored QUALIFY rank <= 5
     """,
     "op4_chat": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        WITH t AS (
+            SELECT conv_id, turn, replace(replace(coalesce(role, 'user'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS role,
+                replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text FROM conversations WHERE conv_id IS NOT NULL),
         answers AS (SELECT conv_id, max(turn) AS stop FROM t WHERE role = 'assistant' GROUP BY conv_id),
         texts AS (SELECT t.conv_id, max(text) AS answer FROM t JOIN answers a ON t.conv_id = a.conv_id AND t.turn = a.stop WHERE role = 'assistant' GROUP BY t.conv_id),
         told AS (SELECT t.*, a.stop FROM t LEFT JOIN answers a USING (conv_id) WHERE a.stop IS NULL OR t.turn <= a.stop),
