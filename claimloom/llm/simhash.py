@@ -9,7 +9,8 @@ blocks, and for each choice of blocks - radius of them a table is keyed by those
 differ in at most ``radius`` bits agree on at least that many blocks.
 
 ``with_next`` gives each document the next one in descending order of ids, in a ring: ids are cut into ranges, each
-range's first document is also dealt to the range before it, and a window runs inside each range.
+range's first document is also dealt to the range before it, and a window runs inside each range. Ids that are far from
+even are cut into ranges of about equal rows instead.
 
 Null texts are empty. A text without words has the fingerprint of no votes: all zeros. Rows that repeat an id follow
 each other in the ring. Rows with a null id have no next document. An empty table gives none.
@@ -27,6 +28,8 @@ from .common import written
 
 BITS = 128
 RANGE_ROWS = 4096
+MOST_RANGES = 1 << 20
+MOST_PARTS = 10_000
 BROADCAST_RANGES = 500_000
 _LANES = 0x0000000100000001
 _MARK = "\n"
@@ -109,15 +112,17 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """b (the range), doc_id, text, place (position among its range's rows), next_id, next_text; dealt to partitions by b."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count("*").alias("all")).first()
-    ranges, loose = max(1, ceil(span.n / RANGE_ROWS)), max(1, ceil((span.all - span.n) / RANGE_ROWS))
+    ranges, loose = (max(1, min(MOST_RANGES, ceil(k / RANGE_ROWS))) for k in (span.n, span.all - span.n))
     number = F.lit(None).cast("long")
     if span.n:
         width = -(-(span.high - span.low + 1) // ranges)
         number = F.floor((F.col("doc_id") - F.lit(span.low)) / F.lit(width))
         fullest = rows.where("doc_id is not null").groupBy(number.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if fullest > 8 * RANGE_ROWS:  # ids are far from even: cut at quantiles instead
-            cuts = sorted(set(rows.approxQuantile("doc_id", [i / min(ranges, 1000) for i in range(1, min(ranges, 1000))], 0.0002)))
-            number = F.when(F.col("doc_id").isNotNull(), F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("doc_id"))).cast("long"))
+        if fullest > 8 * max(RANGE_ROWS, span.n // ranges):  # ids are far from even: ranges of equal rows, written as they are numbered
+            parts = min(ranges, MOST_PARTS)
+            ranged = rows.where("doc_id is not null").repartitionByRange(parts, "doc_id").withColumn("b", F.spark_partition_id().cast("long"))
+            rows = written(ranged, "ranges").unionByName(rows.where("doc_id is null").withColumn("b", F.lit(None).cast("long")))
+            number = F.col("b")
     # rows without an id are spread over ranges of their own, below 0
     placed = rows.withColumn("b", F.coalesce(number.cast("long"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(loose))))
     heads = placed.where("b >= 0").groupBy("b").agg(F.max("doc_id").alias("head"))
@@ -125,7 +130,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     last = heads.agg(F.min("b")).first()[0]
     heads = heads.select("head", F.coalesce(F.lag("b").over(order), F.lit(last)).cast("long").alias("also"))
     if ranges <= BROADCAST_RANGES:
-        heads = F.broadcast(heads)
+        heads = F.broadcast(heads)  # one row a range
     dealt = placed.join(heads, F.col("doc_id") == F.col("head"), "left").select(
         "doc_id", "text", F.explode(F.expr("if(also is null, array(struct(b, false as guest)), array(struct(b, false as guest), struct(also as b, true as guest)))")).alias("x")
     ).select("doc_id", "text", "x.b", "x.guest")
