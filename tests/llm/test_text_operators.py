@@ -376,6 +376,14 @@ def test_next_documents_over_ranges(spark, monkeypatch):
 def test_fingerprint_edges(edge_docs, no_docs):
     rows = simhash.edited_fingerprints(edge_docs).collect()
     assert len(rows) == edge_docs.count() and next(r for r in rows if r.doc_id is None).near_next is None
+    by = {r.doc_id: r for r in rows}
+    assert {by[i].fingerprint for i in (1, 2, 3)} == {"0" * 32} and by[1].n_chars == by[2].n_chars == 0  # null, empty and blank texts
+    assert len({by[i].fingerprint for i in (6, 7)}) == 1 and by[6].fingerprint == by[8].fingerprint  # equal texts, and letter case
+    word = "word " * 5000
+    assert by[12].n_chars == len(word) and by[13].n_chars == 20000
+    edited = word[: len(word) - len(word) // 3] + "é ü 😀 ß"[: len(word) // 3]  # 10 is the next id below 12
+    assert by[12].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert all(0 <= r.near_edited <= 1 for r in rows)
     assert simhash.edited_fingerprints(no_docs).count() == 0
 
 
