@@ -11,8 +11,8 @@ others: a seen token has (1 - u) * (c / N + product) / 2, an unseen one u, the G
 
 The tree grows with the training text, so it is nowhere held whole: it lies in the shared folder, split by the two
 symbols before the next one and a hash of the third, so that no common ending of words is one task's work. Counts of a bucket are added as they
-come, in the memory of its different strings. Chunks of texts ask for their different strings there, once each, and get the
-probabilities back; buckets of which much is asked are salted by chunk. Only contexts of up to two symbols, 2^24 counts at most, are broadcast.
+come, in the memory of its different strings. One pass over the texts makes both what is counted and what is asked: a chunk's
+different strings, once each, with their counts in its training texts. Chunks get the probabilities back; buckets of which much is asked are salted by chunk. Only contexts of up to two symbols, 2^24 counts at most, are broadcast.
 Unigram counts for the base score are exact: words that make up more than 1 / ``FREQUENT`` of all tokens (so
 fewer than ``FREQUENT``) are broadcast, all others are looked up in the counts by buckets of the hash range, shipped as packed
 arrays.
@@ -55,7 +55,7 @@ _LEAD = bytes(DEPTH) + bytes([_END])
 
 def streams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of lower-cased texts, each after DEPTH zeros and an end symbol; and each text's length with those."""
-    parts = [_LEAD + b"".join([w + b" " for w in r.replace(b"\0", b"\1").split()]) + b"\n" for r in raws]
+    parts = [_LEAD + b" ".join([*r.replace(b"\0", b"\1").split(), b"\n"]) for r in raws]
     return np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
 
 
@@ -76,10 +76,27 @@ def token_sums(logp: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.nd
 
 def grams(data: np.ndarray) -> np.ndarray:
     """Every predicted symbol (lowest byte) with its context; zeros stand for what precedes the text."""
-    out = data.astype(np.uint64)
-    for j in range(1, DEPTH + 1):
-        out[j:] |= data[:-j].astype(np.uint64) << U(8 * j)
-    return out[predicted(data)]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    windows = np.ndarray(len(data) - 7, ">u8", np.ascontiguousarray(data), strides=(1,))  # the last eight symbols of each place; what leads a text is seven
+    return windows[predicted(data)[7:]].astype(np.uint64) & U((1 << 8 * (DEPTH + 1)) - 1)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values and their counts; ``x`` is sorted in place, which is faster than the hash table of ``np.unique``."""
+    x.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return x[first], np.diff(first, append=len(x))
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values and the place of each one among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))
+    back = np.empty(len(x), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x[new], back
 
 
 def _merge(items: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -93,25 +110,37 @@ def _merge(items: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tally:
-    """Counts of 64-bit items, merged whenever many have come together."""
+    """Counts of 64-bit items, merged whenever many have come together. Items of weight 0 are only noted."""
 
     def __init__(self):
         self.items, self.counts, self.n = [], [], 0
-
-    def add(self, items: np.ndarray) -> None:
-        new, count = np.unique(items, return_counts=True)
-        self.items.append(new)
-        self.counts.append(count)
-        self.n += len(new)
+        self.waiting: dict[int, list] = {}
+        self.waits = 0
+
+    def add(self, items: np.ndarray, weight: int = 1) -> None:
+        self.waiting.setdefault(weight, []).append(items)
+        self.waits += len(items)
+        if self.waits > 2_000_000:
+            self.unite()
+
+    def unite(self) -> None:
+        for weight, parts in self.waiting.items():
+            new, count = distinct(np.concatenate(parts))
+            parts.clear()
+            self.items.append(new)
+            self.counts.append(count * weight)
+            self.n += len(new)
+        self.waiting, self.waits = {}, 0
         if self.n > 1_500_000:
             a, b = _merge(self.items, self.counts)
             self.items, self.counts, self.n = [a], [b], len(a) // 2
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self.unite()
         return _merge(self.items, self.counts)
 
 
-WORD, GRAM, DOCUMENT, REQUEST, TRIPLE = 0, 1, 2, 3, 4
+WORD, GRAM, DOCUMENT, REQUEST, TRIPLE, TEXT = 0, 1, 2, 3, 4, 5
 _COUNTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("different", pa.int64())])
 _COUNTED_SQL = "kind int, bucket long, items binary, counts binary, total long, different long"
 
@@ -125,21 +154,32 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as steps from one to the next."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unsteps(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(unplanes(raw, kind), dtype=kind)
+
+
 def packed(items: np.ndarray) -> bytes:
-    """Sorted strings of one bucket as steps from one to the next, without the two symbols that its number tells."""
-    return planes(np.diff(((items >> U(24)) << U(8)) | (items & U(255)), prepend=U(0)))
+    """Sorted strings of one bucket as steps, without the two symbols that its number tells."""
+    return zstandard.compress(steps(((items >> U(24)) << U(8)) | (items & U(255))), 1)
 
 
 def unpacked(raw: bytes, bucket: int) -> np.ndarray:
-    rest = np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+    rest = unsteps(zstandard.decompress(raw), np.uint64)
     return ((rest >> U(8)) << U(24)) | U((bucket // THIRDS) << 8) | (rest & U(255))
 
 
 def _split(kind: int, items: np.ndarray, counts: np.ndarray, to: np.ndarray) -> list[tuple]:
+    """Kind, bucket, items, counts and their sum, for each bucket."""
     order = np.argsort(to, kind="stable")
     edge = np.flatnonzero(np.diff(to[order], prepend=-1))
+    shown = packed if kind == GRAM else np.ndarray.tobytes
     return [
-        (kind, int(to[at[0]]), packed(items[at]) if kind == GRAM else items[at].tobytes(), planes(counts[at].astype(np.uint32)), int(counts[at].sum()), len(at))
+        (kind, int(to[at[0]]), shown(items[at]), zstandard.compress(planes(counts[at].astype(np.uint32)), 1), int(counts[at].sum()))
         for at in (np.split(order, edge[1:]) if len(order) else [])
     ]
 
@@ -158,28 +198,6 @@ def gram_bucket(items: np.ndarray) -> np.ndarray:
     return (((items >> U(8)) & U(0xFFFF)) * U(THIRDS) + third % U(THIRDS)).astype(np.int64)
 
 
-def _count(buckets: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        words, strings, texts = _Tally(), _Tally(), 0
-        for batch in slices(batches):
-            for _, raws in chunks(batch.column(0).to_pylist()):
-                words.add(word_hashes(raws)[0])
-                strings.add(grams(streams(raws)[0]))
-                texts += len(raws)
-        items, counts = words.result()
-        rows = _split(WORD, items, counts, (items % U(buckets)).astype(np.int64))
-        items, counts = strings.result()
-        rows += _split(GRAM, items, counts, gram_bucket(items))
-        rows.append((DOCUMENT, -1, b"", b"", texts, 0))
-        del words, strings, items, counts
-        yield from _table(rows, _COUNTED).to_batches()
-        rows.clear()
-        release()
-
-    return count
-
-
 class _Sum:
     """The counts of one bucket, added as its parts come in."""
 
@@ -191,8 +209,10 @@ class _Sum:
         self.total += total
         if self.kind == DOCUMENT:
             return
-        self.items.append(unpacked(items, self.bucket) if self.kind == GRAM else np.frombuffer(items, np.uint64))
-        self.counts.append(unplanes(counts, np.uint32))
+        counts = unplanes(zstandard.decompress(counts), np.uint32)
+        seen = counts > 0  # what only held-out texts of a chunk hold was not
+        self.items.append((unpacked(items, self.bucket) if self.kind == GRAM else np.frombuffer(items, np.uint64))[seen])
+        self.counts.append(counts[seen])
         self.waiting += len(self.items[-1])
         if self.waiting > max(1 << 20, self.merged):
             self.merge()
@@ -206,11 +226,13 @@ class _Sum:
         if self.kind == DOCUMENT:
             return [(self.kind, self.bucket, b"", b"", self.total, 0)]
         items, counts = self.merge()
-        out = [(self.kind, self.bucket, items.tobytes(), counts.tobytes(), int(counts.sum()), len(items))]
-        if self.kind == GRAM:
-            items, counts = _merge([items & U(0xFFFFFF)], [counts])
-            out.append((TRIPLE, self.bucket, items.tobytes(), counts.tobytes(), 0, len(items)))
-        return out
+        if self.kind == WORD:
+            return [(WORD, self.bucket, items.tobytes(), counts.tobytes(), int(counts.sum()), len(items))]
+        triples, sums = _merge([items & U(0xFFFFFF)], [counts])
+        return [
+            (GRAM, self.bucket, packed(items), planes(counts), int(counts.sum()), len(items)),
+            (TRIPLE, self.bucket, triples.tobytes(), sums.tobytes(), 0, len(triples)),
+        ]
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +294,12 @@ def _prune(least: float, per_symbol: float, shared_pairs):
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, raw, count in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                items, counts = np.frombuffer(raw.as_py(), np.uint64), np.frombuffer(count.as_py(), np.int64)
+                items, counts = unpacked(raw.as_py(), bucket), unplanes(count.as_py(), np.int64)
                 context = bucket // THIRDS
                 strings, n = shared_pairs.value
                 own = slice(*np.searchsorted(strings, (np.array([context, context + 1], np.uint64) << U(8))))
                 kept = retained(items, counts, least, per_symbol, (strings[own], n[own]))
-                yield from _table([(bucket, d, a.tobytes(), b.tobytes()) for d, (a, b) in enumerate(kept, 2) if d > 2 and len(a)], schema).to_batches()
+                yield from _table([(bucket, d, steps(a), planes(b)) for d, (a, b) in enumerate(kept, 2) if d > 2 and len(a)], schema).to_batches()
         release()
 
     return prune, "bucket long, depth int, items binary, counts binary"
@@ -328,44 +350,58 @@ def chances(items: np.ndarray, levels: dict, root: np.ndarray) -> np.ndarray:
     return np.log10(found).astype(np.float32)
 
 
-TEXT, ASK = 0, 1
-_ASKED = pa.schema(
-    [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("nth", pa.int64()), ("items", pa.binary())]
+_READ = pa.schema(
+    [("kind", pa.int32()), ("bucket", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("chunk", pa.int64()), ("nth", pa.int64())]
     + [("texts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_()))]
 )
-_ASKED_SQL = "kind int, chunk long, bucket long, nth long, items binary, texts binary, sizes array<long>, ids array<long>, train array<boolean>"
+_READ_SQL = "kind int, bucket long, items binary, counts binary, total long, chunk long, nth long, texts binary, sizes array<long>, ids array<long>, train array<boolean>"
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in compressed runs, numbered by chunk, and each chunk's different strings by bucket (packed)."""
-    release()
-    chunk, nth, size, strings = TaskContext.get().partitionId() << 20, 0, 0, _Tally()
-
-    def requests() -> list[pa.RecordBatch]:
-        items, _ = strings.result()
-        parts = _split(GRAM, items, np.zeros(len(items), np.int64), gram_bucket(items))
-        return _table([(ASK, chunk, p[1], 0, p[2], None, None, None, None) for p in parts], _ASKED).to_batches()
-
-    for batch in slices(batches):
-        ids, train = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for first, raws in chunks(batch.column(0).to_pylist()):
-            strings.add(grams(streams(raws)[0]))
-            own = slice(first, first + len(raws))
-            yield from _table([(TEXT, chunk, -1, nth, None, zstandard.compress(b"".join(raws), 1), list(map(len, raws)), ids[own], train[own])], _ASKED).to_batches()
-            nth, size = nth + 1, size + sum(map(len, raws)) + len(raws)
-            if size >= CHUNK_BYTES:
-                yield from requests()
-                chunk, nth, size, strings = chunk + 1, 0, 0, _Tally()
-    yield from requests()
-    release()
+def _read(buckets: int):
+    """One pass over the texts: they themselves in compressed runs, numbered by chunk; each chunk's different strings by bucket with
+
+    their counts in its training texts (0: held-out texts alone hold it), which is also what the chunk asks for; counts of training words.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        chunk, nth, size, texts, words, strings = TaskContext.get().partitionId() << 20, 0, 0, 0, _Tally(), _Tally()
+
+        def counted() -> list[pa.RecordBatch]:
+            items, counts = strings.result()
+            return _table([(*p, chunk, 0, None, None, None, None) for p in _split(GRAM, items, counts, gram_bucket(items))], _READ).to_batches()
+
+        for batch in slices(batches):
+            ids, train = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for first, raws in chunks(batch.column(0).to_pylist()):
+                own = slice(first, first + len(raws))
+                learnt = [r for r, t in zip(raws, train[own]) if t]
+                words.add(word_hashes(learnt)[0])
+                strings.add(grams(streams(learnt)[0]))
+                strings.add(grams(streams([r for r, t in zip(raws, train[own]) if not t])[0]), 0)
+                texts += len(learnt)
+                yield from _table([(TEXT, -1, None, None, 0, chunk, nth, zstandard.compress(b"".join(raws), 3), list(map(len, raws)), ids[own], train[own])], _READ).to_batches()
+                nth, size = nth + 1, size + sum(map(len, raws)) + len(raws)
+                if size >= CHUNK_BYTES:
+                    yield from counted()
+                    chunk, nth, size, strings = chunk + 1, 0, 0, _Tally()
+        yield from counted()
+        del strings
+        items, counts = words.result()
+        rows = [(DOCUMENT, -1, b"", b"", texts), *_split(WORD, items, counts, (items % U(buckets)).astype(np.int64))]
+        yield from _table([(*r, -1, 0, None, None, None, None) for r in rows], _READ).to_batches()
+        del words, items, counts, rows
+        release()
+
+    return read, _READ_SQL
 
 
 def _levels(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     parts: dict[int, tuple[list, list]] = {}
     for d, items, counts in zip(*(table.column(c).to_pylist() for c in ("depth", "items", "counts"))):
         at = parts.setdefault(d, ([], []))
-        at[0].append(np.frombuffer(items, np.uint64))
-        at[1].append(np.frombuffer(counts, np.int64))
+        at[0].append(unsteps(items, np.uint64))
+        at[1].append(unplanes(counts, np.int64))
     return {d: _merge(*x) for d, x in parts.items()}
 
 
@@ -516,6 +552,18 @@ _SCORED = pa.schema(
 _SCORED_SQL = "kind int, bucket long, row long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double, rows binary, cnt binary, items binary, spelt binary"
 
 
+def _requests(words: np.ndarray, rows: np.ndarray, spelt: np.ndarray, buckets: int) -> pa.Table:
+    """By bucket: words, how many each row has of them, and their spelling's probabilities."""
+    to = (words % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    out = []
+    for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:]) if len(order) else []:
+        run = np.flatnonzero(np.diff(rows[at], prepend=-1))
+        counts = np.diff(np.append(run, len(at))).astype(np.uint32)
+        out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, steps(rows[at[run]]), planes(counts), words[at].tobytes(), planes(spelt[at])))
+    return _table(out, _SCORED)
+
+
 def _score(shared_words, tokens: int, different: int, unseen: float, end_count: int, buckets: int):
     """Per chunk: one row per document with what is known by now, and packed requests for the counts of all other words."""
 
@@ -529,21 +577,21 @@ def _score(shared_words, tokens: int, different: int, unseen: float, end_count:
             whole, sizes = texts.column("texts")[i].as_py(), texts.column("sizes")[i].as_py()
             whole, ends = zstandard.decompress(whole), np.cumsum(sizes).tolist()
             raws = [whole[a:b] for a, b in zip([0, *ends], ends)]
-            asked, back = np.unique(grams(streams(raws)[0]), return_inverse=True)
-            runs.append((i, raws, asked, back.astype(np.int32)))
-        items = np.unique(np.concatenate([r[2] for r in runs] or [np.zeros(0, np.uint64)]))
+            data, lengths = streams(raws)
+            runs.append((i, raws, data, lengths, *ranked(grams(data))))
+        items, _ = distinct(np.concatenate([r[4] for r in runs] or [np.zeros(0, np.uint64)]))
         chance = _answered(items, replies)
-        made = []
-        for i, raws, asked, back in runs:
+        made, requests = [], ([], [], [])
+        runs.reverse()
+        while runs:  # let go of one by one
+            i, raws, data, lengths, asked, back = runs.pop()
             ids, train = (texts.column(c)[i].as_py() for c in ("ids", "train"))
             k = len(raws)
             words, per_text = word_hashes(raws)
             owner = np.repeat(np.arange(k), per_text)
-            data, lengths = streams(raws)
             logp = np.zeros(len(data), np.float32)
             logp[predicted(data)] = chance[np.searchsorted(items, asked)][back]
             spelt = token_sums(logp, data, lengths)
-            del data, logp
             is_end = np.zeros(len(spelt), bool)
             is_end[np.cumsum(per_text + 1) - 1] = True
             scores, spelt = mixed(np.full(k, end_count), spelt[is_end], tokens, unseen), spelt[~is_end]
@@ -572,15 +620,10 @@ def _score(shared_words, tokens: int, different: int, unseen: float, end_count:
                     schema=_SCORED,
                 )
             )
-            asked, who, spelt = words[~found], owner[~found], spelt[~found].astype(np.float32)
-            to = (asked % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            out = []
-            for at in np.split(order, np.flatnonzero(np.diff(to[order], prepend=-1))[1:]) if len(order) else []:
-                run = np.flatnonzero(np.diff(who[at], prepend=-1))
-                counts = np.diff(np.append(run, len(at))).astype(np.uint32)
-                out.append((REQUEST, int(to[at[0]]), None, None, None, None, None, None, None, rows[who[at[run]]].tobytes(), counts.tobytes(), asked[at].tobytes(), spelt[at].tobytes()))
-            made.append(_table(out, _SCORED))
+            for to, x in zip(requests, (words[~found], rows[owner[~found]], spelt[~found].astype(np.float32))):
+                to.append(x)
+        if made:
+            made.append(_requests(*map(np.concatenate, requests), buckets))
         return pa.concat_tables(made) if made else _table([], _SCORED)
 
     return score
@@ -593,16 +636,17 @@ def _answer(tokens: int, different: int, unseen: float, groups: int):
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
         items, counts = _unpack(counted.column("items"), np.uint64), _unpack(counted.column("counts"), np.int64)
-        rows, cnt, words = _unpack(asked.column("rows"), np.int64), _unpack(asked.column("cnt"), np.uint32), _unpack(asked.column("items"), np.uint64)
-        if not len(rows):
+        if not asked.num_rows:
             return _table([], schema)
+        words, rows = _unpack(asked.column("items"), np.uint64), np.concatenate([unsteps(x, np.int64) for x in asked.column("rows").to_pylist()])
+        cnt, spelt = (np.concatenate([unplanes(x, t) for x in asked.column(c).to_pylist()]) for c, t in (("cnt", np.uint32), ("spelt", np.float32)))
         found = np.zeros(len(words), np.int64)
         if len(items):
             at = np.minimum(np.searchsorted(items, words), len(items) - 1)
             found = np.where(items[at] == words, counts[at], 0)
         owner = np.repeat(np.arange(len(rows)), cnt)
         base, known = np.bincount(owner, np.log10((found + 1) / size), len(rows)), np.bincount(owner, found > 0, len(rows)).astype(np.int64)
-        score = np.bincount(owner, mixed(found, _unpack(asked.column("spelt"), np.float32).astype(float), tokens, unseen), len(rows))
+        score = np.bincount(owner, mixed(found, spelt.astype(float), tokens, unseen), len(rows))
         to = (mix(rows.view(np.uint64)) % U(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         return _table(
@@ -630,7 +674,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     letters = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets = max(8, ceil(letters / 6 / BUCKET_ITEMS))
 
-    parts = rows.where("train").select("text").mapInArrow(_count(buckets), _COUNTED_SQL)
+    read = written(rows.select("text", "doc_id", "train").mapInArrow(*_read(buckets)), "read")
+    parts = read.where((F.col("kind") == DOCUMENT) | (F.col("total") > 0)).select("kind", "bucket", "items", "counts", "total")
     counted = written(parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum_up, _COUNTED_SQL), "counted")
     sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different")).collect()}
     total = lambda kind, what: sums[kind][what] if kind in sums else 0
@@ -664,12 +709,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     # so that what chunks ask of one bucket never meets whole: one row for each large bucket, of which there are 2^16 * THIRDS at most
     salts = counted.where((F.col("kind") == GRAM) & (F.col("total") > SALT_BYTES)).select("bucket", F.ceil(F.col("total") / SALT_BYTES).alias("salts"))
     salts = F.broadcast(written(salts, "salts"))
-    asking = written(rows.select("text", "doc_id", "train").mapInArrow(_ask, _ASKED_SQL), "asking")
     many = F.coalesce("salts", F.lit(1))
-    asks = asking.where(F.col("kind") == ASK).select("chunk", "bucket", "items").join(salts, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("chunk"), many)).drop("salts")
+    asks = read.where(F.col("kind") == GRAM).select("chunk", "bucket", "items").join(salts, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("chunk"), many)).drop("salts")
     deep = model.join(salts, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("salts")
     replies = asks.groupBy("bucket", "salt").cogroup(deep.groupBy("bucket", "salt")).applyInArrow(*_reply(root, shared_pairs))
-    texts_of = asking.where(F.col("kind") == TEXT).select("chunk", "nth", "texts", "sizes", "ids", "train")
+    texts_of = read.where(F.col("kind") == TEXT).select("chunk", "nth", "texts", "sizes", "ids", "train")
     scored = written(
         texts_of.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share((known, known_counts)), tokens, different, unseen, texts, buckets), _SCORED_SQL), "scored"
     )

@@ -299,6 +299,37 @@ def test_scores_do_not_hang_on_chunks(spark, real_docs, monkeypatch):
     assert whole.keys() == small.keys() and all(small[i].score == pytest.approx(r.score, rel=1e-5) and small[i].n_known == r.n_known for i, r in whole.items())
 
 
+def test_texts_are_read_twice(spark):
+    """Once for their size and once for all that is counted and asked, instead of a pass for either."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(0, 40, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.col("id")).alias("text"))
+    assert len(suffix_tree.score_texts(docs.mapInArrow(noted, docs.schema), F.col("doc_id") % 7 != 2).collect()) == 40
+    assert seen.value == 80
+
+
+def test_packed_strings_and_requests_round_trip():
+    data, _ = suffix_tree.streams([b"", b"one two three two", "d\u00e9j\u00e0 vu".encode(), b"x" * 3000])
+    items, counts = suffix_tree.distinct(suffix_tree.grams(data))
+    bucket = suffix_tree.gram_bucket(items)
+    assert all((suffix_tree.unpacked(suffix_tree.packed(items[bucket == b]), int(b)) == items[bucket == b]).all() for b in np.unique(bucket))
+    assert counts.sum() == suffix_tree.predicted(data).sum() and suffix_tree.distinct(items[:0])[0].size == 0 and suffix_tree.grams(data[:0]).size == 0
+    own, back = suffix_tree.ranked(suffix_tree.grams(data))
+    assert (own == items).all() and (own[back] == suffix_tree.grams(data)).all()
+    words, rows = np.arange(50, dtype=np.uint64) * 7 + (1 << 63), np.sort(np.arange(50) % 9) + (5 << 25)
+    asked = suffix_tree._requests(words, rows, np.linspace(-9, 0, 50, dtype=np.float32), 3).to_pylist()
+    got = []
+    for r in asked:
+        who = np.repeat(suffix_tree.unsteps(r["rows"], np.int64), suffix_tree.unplanes(r["cnt"], np.uint32))
+        got += zip(np.frombuffer(r["items"], np.uint64).tolist(), who.tolist(), suffix_tree.unplanes(r["spelt"], np.float32).tolist())
+    assert sorted(got) == list(zip(words.tolist(), rows.tolist(), np.linspace(-9, 0, 50, dtype=np.float32).tolist()))
+
+
 def test_mixture_is_proper():
     """Over all seen tokens and the unseen class, probabilities add up to one at most."""
     counts, unseen = np.array([5, 3, 1, 1]), suffix_tree.unseen_share(10, 2)
