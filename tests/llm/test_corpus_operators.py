@@ -258,6 +258,16 @@ def test_parts_and_rules(spark):
     ]
 
 
+def test_rules_have_the_words_of_the_contract(spark, tmp_path):
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://www.example.net/de/81", "http://example.net/de/7", "http://a.org/es/1", "http://a.net/fr/1"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op1_url_filters"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(7)] == [
+        ("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow"),
+    ]
+
+
 def test_bad_templates_are_rejected(spark):
     pages = [(i, f"http://h.test/{'spam' if i % 4 == 0 else 'news'}/{i}", i % 4 == 0) for i in range(400)] + [(1000 + i, f"http://h.test/x{i}abc/y", None) for i in range(60)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, bad boolean")
