@@ -1,12 +1,18 @@
 """Combination of beliefs: one survivor per group, or per cluster of similar values.
 
 Weighted averages and pooled evidence are sums, so groups of any size aggregate partially. Only Dempster's rule needs
-the members in order. In similarity mode, groups are cut by single-link clustering: pairs that share a token of their
-prefixes are compared, and connected components make the clusters.
+the members in order. In similarity mode, groups are cut by single-link clustering. A group that fits one task is
+clustered there, so each value is shuffled once and nothing iterates. Larger groups are cut into blocks: each pair of
+blocks is compared in a task of its own and gives no more links than it has members, which connected components join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +20,10 @@ from ..functions import values as V
 from ..functions.confidence import check_rule
 from ..schema import CLAIM_COLUMNS, TRIPLE, order_of
 from .contradiction import pooled
-from .graph import components
+from .graph import components, settled
 
+#: What one task compares at a time: members, and characters of all their values.
+BLOCK_MEMBERS, BLOCK_CHARS = 2_000, 4_000_000
 MAX_RULES = ("max_mean", "max_concentration")
 
 
@@ -41,37 +49,113 @@ def _combined(rows: DataFrame, group: list[str], rule: str, representative: list
     return out.withColumn("raw", F.when(F.col("members") > 1, F.coalesce(F.col("alpha") / (F.col("alpha") + F.col("beta")), F.col("p"))).otherwise(F.col("raw")))
 
 
-def similar_pairs(claims: DataFrame, cutoff: float, fn: str = "jaccard") -> DataFrame:
-    """Pairs (a, b) of ids in one (subject, key, scope) whose values are at least ``cutoff`` alike.
+def similar_pairs(claims: DataFrame, cutoff: float, fn: str) -> DataFrame:
+    """Pairs (a, b) that link what is alike without comparing values: equal values, or all of a (subject, key, scope)."""
+    same = [*TRIPLE, "value_json"] if fn == "exact" else list(TRIPLE)
+    rows = claims.select("id", *same)
+    hub = rows.groupBy(*same).agg(F.min("id").alias("b"))
+    return rows.withColumnRenamed("id", "a").join(hub, same).where("a <> b").select("a", "b")
+
+
+def _clusters(cutoff: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by group: (node, component) of what hangs together in each; with two sides, only pairs across count."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):  # few texts are Python objects at a time
+                yield from zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True)
+
+    def cluster(members: Iterator[tuple]) -> Iterator[tuple[str, str]]:
+        parent: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def link(a: str, b: str) -> None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+
+        sets: dict[tuple[int, frozenset], str] = {}
+        for _, side, node, words in members:
+            parent.setdefault(node, node)
+            link(node, sets.setdefault((side, frozenset(words.split())), node))
+        seen: list[tuple[int, frozenset, str]] = []
+        across = len({side for side, _ in sets}) > 1
+        for (side, own), node in sets.items():
+            for other_side, other, rep in seen:
+                if across and side == other_side or root(node) == root(rep):
+                    continue
+                if not own and not other:
+                    link(node, rep)
+                elif min(len(own), len(other)) / max(len(own), len(other)) >= cutoff:
+                    both = len(own & other)
+                    if both / (len(own) + len(other) - both) >= cutoff:
+                        link(node, rep)
+            seen.append((side, own, node))
+        tops = {x: root(x) for x in parent}
+        wide = {top for x, top in tops.items() if x != top}
+        return ((x, top) for x, top in tops.items() if top in wide)
+
+    def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, str]] = []
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["node", "component"])
+        for _, members in groupby(rows(batches), key=itemgetter(0)):
+            out.extend(cluster(members))
+            if len(out) >= 10_000:
+                yield send()
+                out.clear()
+        if out:
+            yield send()
+
+    return clusters
+
+
+def _clustered(rows: DataFrame, group: list[str], side: Column, cutoff: float) -> DataFrame:
+    """``rows``: id, words and the columns of ``group``."""
+    dealt = rows.select(F.struct(*group).alias("g"), side.cast("int").alias("side"), "id", "words").repartition("g").sortWithinPartitions("g")
+    text = dealt.select(F.to_json("g").alias("g"), "side", "id", "words")
+    return text.mapInArrow(_clusters(cutoff), "node string, component string")
 
-    Sets with a Jaccard of c or more share a token among the first n - ceil(c n) + 1 of each in a common order.
-    """
+
+def similar_groups(claims: DataFrame, cutoff: float, fn: str = "jaccard") -> DataFrame:
+    """The clusters of similar values in one (subject, key, scope), as rows (node, component), written; what stands alone has no row."""
     if not 0 <= cutoff <= 1:
         raise ValueError("the cutoff must be in [0, 1]")
-    rows = claims.select("id", *TRIPLE, "value_json", V.tokens(F.col("value_text")).alias("t"))
-    left, right = (rows.select(F.col("id").alias(x), *TRIPLE, F.col("t").alias(f"t{x}"), F.col("value_json").alias(f"v{x}")) for x in "ab")
-    if fn == "exact":
-        same = left.groupBy(*TRIPLE, F.col("va").alias("v")).agg(F.min("a").alias("b"))
-        return left.join(same.withColumnRenamed("v", "va"), [*TRIPLE, "va"]).where("a <> b").select("a", "b")
-    if fn != "jaccard":
+    if fn not in ("exact", "jaccard"):
         raise ValueError(f"no pairs for similarity {fn!r}")
-    if cutoff == 0:
-        hub = rows.groupBy(*TRIPLE).agg(F.min("id").alias("b"))
-        return left.join(hub, list(TRIPLE)).where("a <> b").select("a", "b")
-    # equal values link through the smallest id; what differs is compared once for each distinct value
-    one = rows.groupBy(*TRIPLE, "value_json").agg(F.min("id").alias("rep"), F.first("t").alias("t"))
-    copies = rows.join(one.select(*TRIPLE, "value_json", "rep"), [*TRIPLE, "value_json"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    hashed = one.withColumn("s", F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))))
-    length = F.size("s") - F.ceil(F.size("s") * F.lit(cutoff) - 1e-9).cast("int") + 1
-    keyed = hashed.select(*TRIPLE, "rep", "t", F.explode(F.when(F.size("s") == 0, F.array(F.lit(""))).otherwise(F.slice(F.transform("s", lambda x: x["x"]), F.lit(1), length))).alias("k"))
-    l, r = keyed.withColumnsRenamed({"rep": "a", "t": "ta"}), keyed.withColumnsRenamed({"rep": "b", "t": "tb"})
-    near = l.join(r, [*TRIPLE, "k"]).where("a < b").where(V.jaccard(F.col("ta"), F.col("tb")) >= cutoff).select("a", "b").distinct()
-    return near.unionByName(copies)
-
-
-def similar_groups(claims: DataFrame, cutoff: float, fn: str = "jaccard") -> DataFrame:
-    """The clusters of similar values, as rows (node, component), written; what stands alone has no row."""
-    return components(similar_pairs(claims, cutoff, fn))
+    if fn == "exact" or cutoff == 0:
+        return components(similar_pairs(claims, cutoff, fn))
+    usable = claims.select("id", *TRIPLE, "value_text").where(" and ".join(f"{c} is not null" for c in ("id", *TRIPLE, "value_text")))
+    sizes = usable.groupBy(*TRIPLE).agg(F.count("*").alias("n"), F.sum(F.length("value_text")).alias("chars"))
+    large = settled(sizes.where((F.col("n") > BLOCK_MEMBERS) | (F.col("chars") > BLOCK_CHARS) & (F.col("n") > 1)).select(*TRIPLE), "large")
+    rows = usable.select("id", *TRIPLE, F.array_join(V.tokens(F.col("value_text")), " ").alias("words"))
+    if large.isEmpty():
+        return _one_label(settled(_clustered(rows, list(TRIPLE), F.lit(0), cutoff), "similar"))
+    small = _clustered(rows.join(large, list(TRIPLE), "left_anti"), list(TRIPLE), F.lit(0), cutoff)
+    ordered = F.array_join(F.array_sort(F.split("words", " ")), " ")
+    big = rows.join(large, list(TRIPLE)).withColumn("words", ordered).withColumn("digest", F.sha2("words", 256))
+    one = settled(big.groupBy(*TRIPLE, "digest").agg(F.min("id").alias("id"), F.min("words").alias("words")), "distinct")
+    copies = big.select(F.col("id").alias("node"), *TRIPLE, "digest").join(one.select(F.col("id").alias("component"), *TRIPLE, "digest"), [*TRIPLE, "digest"])
+    parts = one.groupBy(*TRIPLE).agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.length("words")) / BLOCK_CHARS)).alias("parts"))
+    blocks = one.join(parts, list(TRIPLE)).withColumn("side", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    met = met.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+    links = _clustered(met, [*TRIPLE, "low", "high"], F.col("side"), cutoff).unionByName(copies.select("node", "component"))
+    joined = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return _one_label(settled(small.unionByName(joined), "similar"))
+
+
+def _one_label(found: DataFrame) -> DataFrame:
+    """Clusters of different groups that share an id are one: ids that occur in several groups have several rows."""
+    many = found.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("least")).where("n > 1").select("node", "least")
+    if many.isEmpty():
+        return found
+    joined = components(found.join(many, "node").select(F.col("component").alias("a"), F.col("least").alias("b")))
+    named = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("label")), "component", "left")
+    return settled(named.groupBy("node").agg(F.min(F.coalesce("label", "component")).alias("component")), "similar")
 
 
 def dedupe(claims: DataFrame, rule: str = "weighted_avg", cutoff: float | None = None, fn: str = "jaccard", weights: dict | None = None, found: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from helpers import cite, claims, ids
@@ -9,6 +11,8 @@ from claimloom.functions import values as V
 from claimloom.operators import aggregation as A
 from claimloom.operators import combination, composition, contradiction, joins, provenance, ranking, temporal
 from claimloom.operators import predicates as P
+from claimloom.queries import QUERIES
+from claimloom.sources.views import events_claims
 
 DAY = 86_400_000
 
@@ -228,3 +232,36 @@ def test_composition_reads_past_copies(spark):
     rows = rows.withColumn("value_text", text).withColumn("value_json", F.concat(F.lit('"'), text, F.lit('"')))
     assert composition.kappa(rows, "text", 400).first().content == f"{same}\nthe last claim"
     assert composition.kappa(rows, "text", 400, dedup_threshold=1.01).first().content == "\n".join([same] * 20)[:1600]
+
+
+# sizes
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_groups_equal_brute_force(spark, monkeypatch):
+    """Groups in one task and in blocks, copies, empty and null values, and an id that occurs in two groups."""
+    monkeypatch.setattr(combination, "BLOCK_MEMBERS", 6)
+    rng = random.Random(3)
+    rows = [(f"c{i:03}", rng.choice("aab"), " ".join(rng.choice("klmnopqrst") for _ in range(rng.randrange(7)))) for i in range(60)]
+    rows += [(f"d{i:03}", f"s{i // 3}", rng.choice(["x y", "x z", "w", "", None])) for i in range(30)] + [("c000", "s0", "x y"), ("c001", "s0", "x y z"), ("c001", "s1", None)]
+    df = spark.createDataFrame(rows, "id string, subject string, value_text string").withColumns({"key": F.lit("k"), "scope_hash": F.lit("_")})
+    for cutoff in (0.15, 0.6, 1.0):
+        label = {r[0]: r[0] for r in rows}
+        sets = [(i, s, set(t.split())) for i, s, t in rows if t is not None]
+        near = [(i, j) for i, s, a in sets for j, z, b in sets if s == z and (len(a & b) / len(a | b) if a | b else 1.0) >= cutoff]
+        while any(label[i] != label[j] for i, j in near):
+            for i, j in near:
+                label[i] = label[j] = min(label[i], label[j])
+        sizes = Counter(label.values())
+        got = [tuple(r) for r in combination.similar_groups(df, cutoff).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {i: c for i, c in label.items() if sizes[c] > 1}
+
+
+def test_small_groups_take_no_rounds(spark, monkeypatch):
+    """What fits one task is clustered there: no pairs by tokens, no iteration."""
+    monkeypatch.setattr(combination, "components", None)
+    rows = claims(spark, [{"value": "a b c"}, {"value": "a b d"}, {"value": "x"}])
+    assert sorted(tuple(r) for r in combination.similar_groups(rows, 0.4).collect()) == [("c000", "c000"), ("c001", "c000")]
