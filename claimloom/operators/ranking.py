@@ -29,10 +29,11 @@ def _text(query) -> str:
 def jaccard(query) -> Column:
     wanted = V.python_tokens(_text(query))
     own = V.tokens(F.col("value_text"))
-    both = F.size(F.array_intersect(own, F.array(*map(F.lit, wanted)).cast("array<string>")))
     if not wanted:
         return F.when(F.col("value_text").isNotNull(), F.when(F.size(own) == 0, 1.0).otherwise(0.0))
-    return both / (F.size(own) + len(wanted) - both)
+    query_set = F.array(*map(F.lit, wanted)).cast("array<string>")
+    sizes = lambda t: F.struct(F.size(t).alias("own"), F.size(F.array_intersect(t, query_set)).alias("both"))
+    return V.let(V.let(own, sizes), lambda n: n["both"] / (n["own"] + len(wanted) - n["both"]))
 
 
 def exact(query) -> Column:

@@ -45,10 +45,11 @@ def cite(claim_id: Column, method: Column | None = None, content_hash: Column |
     return F.struct(*((given.get(n) if given.get(n) is not None else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
 
 
-def as_claims(df: DataFrame, corpus_id: str = "default") -> DataFrame:
+def as_claims(df: DataFrame, corpus_id: str = "default", text: str | None = None) -> DataFrame:
     """Fill in what a frame of partial claims lacks: hashes, texts, defaults and order.
 
-    Needs id, subject, key and value_json; takes what else is there.
+    Needs id, subject, key and value_json; takes what else is there. ``text``: the column with the string that every
+    value is, where it is at hand, so that it need not be parsed out of its JSON.
     """
     have = set(df.columns)
     null = lambda c: F.lit(None).cast(CLAIM_COLUMNS[c])
@@ -56,7 +57,7 @@ def as_claims(df: DataFrame, corpus_id: str = "default") -> DataFrame:
     base = df.withColumn("value_json", V.canonical_json(F.col("value_json"))).withColumn("scope", given("scope", F.create_map().cast("map<string,string>")))
     built = base.select(
         given("corpus_id", F.lit(corpus_id)).alias("corpus_id"), "id", "subject", "key", "scope", V.scope_hash(F.col("scope")).alias("scope_hash"),
-        "value_json", V.value_text(F.col("value_json")).alias("value_text"), V.short_hash(F.col("value_json")).alias("value_hash"),
+        "value_json", (F.col(text) if text else V.value_text(F.col("value_json"))).alias("value_text"), V.short_hash(F.col("value_json")).alias("value_hash"),
         given("dist", F.when(F.lit("alpha" in have), "beta").otherwise("scalar")).alias("dist"),
         given("alpha", null("alpha")).alias("alpha"), given("beta", null("beta")).alias("beta"),
         given("p", F.lit(None) if "alpha" in have else F.lit(1.0)).alias("p"), given("effective", null("effective")).alias("effective"),

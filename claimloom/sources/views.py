@@ -76,8 +76,10 @@ def docs_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
             quoted.alias("value_json"),
             F.lit(0).alias("valid_from"),
             F.col("doc_id").alias("recorded_seq"),
+            "text",
         ),
         "documents",
+        text="text",
     )
 
 
@@ -93,8 +95,10 @@ def convo_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
             quoted.alias("value_json"),
             F.col("turn").alias("valid_from"),
             (F.col("conv_id") * 1000 + F.col("turn")).alias("recorded_seq"),
+            "text",
         ),
         "conversations",
+        text="text",
     )
 
 

@@ -265,3 +265,9 @@ def test_small_groups_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(combination, "components", None)
     rows = claims(spark, [{"value": "a b c"}, {"value": "a b d"}, {"value": "x"}])
     assert sorted(tuple(r) for r in combination.similar_groups(rows, 0.4).collect()) == [("c000", "c000"), ("c001", "c000")]
+
+
+def test_scores_read_a_text_once(spark):
+    """A floor on the score is pushed to the scan; there it must name the text's tokens once, and parse no JSON."""
+    plan = _plan(QUERIES["relevance_floor"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("split(") == 1 and "parseJson" not in plan
