@@ -91,22 +91,26 @@ def at_path(value_json: Column, path: str) -> Column:
 
 def json_at(value_json: Column, path: str) -> Column:
     """Canonical JSON at a path; SQL null where it is missing, ``null`` for a JSON null."""
-    found = at_path(value_json, path)
+    return let(at_path(value_json, path), json_of)
+
+
+def json_of(found: Column) -> Column:
+    """Canonical JSON of a VARIANT, which is named twice."""
     return F.when(F.is_variant_null(found), "null").otherwise(F.to_json(found))
 
 
 def kind_of(found: Column) -> Column:
     """object, array, string, number, boolean, null of a VARIANT."""
-    schema = F.schema_of_variant(found)
-    return (
-        F.when(found.isNull(), F.lit(None))
-        .when(F.is_variant_null(found), "null")
+    of = lambda schema: (
+        F.when(schema.isNull(), F.lit(None))
+        .when(schema == "VOID", "null")
         .when(schema.startswith("OBJECT"), "object")
         .when(schema.startswith("ARRAY"), "array")
         .when(schema == "STRING", "string")
         .when(schema == "BOOLEAN", "boolean")
         .otherwise("number")
     )
+    return let(F.schema_of_variant(found), of)
 
 
 def tokens(text: Column) -> Column:

@@ -108,9 +108,9 @@ def value_null(path: str) -> Column:
 
 
 def _number(path: str) -> Column:
-    found = V.at_path(F.col("value_json"), path)
     wrong = F.raise_error(F.lit(f"value at {path} is missing or no number")).cast("double")
-    return F.when(V.kind_of(found) == "number", F.try_variant_get(found, "$", "double")).otherwise(wrong)
+    number = lambda found: F.when(V.kind_of(found) == "number", F.try_variant_get(found, "$", "double")).otherwise(wrong)
+    return V.let(V.at_path(F.col("value_json"), path), number)
 
 
 def value_gt(path: str, n: float) -> Column:
@@ -130,32 +130,37 @@ def value_le(path: str, n: float) -> Column:
 
 
 def value_regex(path: str, pattern: str) -> Column:
-    found = V.at_path(F.col("value_json"), path)
     wrong = F.raise_error(F.lit(f"value at {path} is missing or no string")).cast("string")
-    return F.when(V.kind_of(found) == "string", F.try_variant_get(found, "$", "string")).otherwise(wrong).rlike(pattern)
+    string = lambda found: F.when(V.kind_of(found) == "string", F.try_variant_get(found, "$", "string")).otherwise(wrong)
+    return V.let(V.at_path(F.col("value_json"), path), string).rlike(pattern)
 
 
 def value_matches(pattern) -> Column:
     """Recursive subset match: objects field by field, arrays of equal length item by item, others equal."""
-    conditions: list[Column] = []
-
-    def expand(want, path: str) -> None:
-        if isinstance(want, dict):
-            found = V.at_path(F.col("value_json"), path) if path else F.try_parse_json("value_json")
-            conditions.append(_sure(V.kind_of(found) == "object"))
-            for k, v in want.items():
-                expand(v, f"{path}.{k}" if path else k)
-        elif isinstance(want, list):
-            found = V.at_path(F.col("value_json"), path) if path else F.try_parse_json("value_json")
-            conditions.append(_sure(V.kind_of(found) == "array"))
-            conditions.append(_sure(F.size(F.try_variant_get(found, "$", "array<variant>")) == len(want)))
-            for i, v in enumerate(want):
-                expand(v, f"{path}[{i}]")
-        else:
-            conditions.append(value_eq(path, want) if path else _sure(F.col("value_json") == V.canonical(want)))
 
-    expand(pattern, "")
-    return and_(*conditions)
+    def fits(root: Column) -> Column:
+        conditions: list[Column] = []
+
+        def expand(want, path: str) -> None:
+            found = F.try_variant_get(root, V.variant_path(path), "variant") if path else root
+            if isinstance(want, dict):
+                conditions.append(_sure(V.kind_of(found) == "object"))
+                for k, v in want.items():
+                    expand(v, f"{path}.{k}" if path else k)
+            elif isinstance(want, list):
+                conditions.append(_sure(V.kind_of(found) == "array"))
+                conditions.append(_sure(F.size(F.try_variant_get(found, "$", "array<variant>")) == len(want)))
+                for i, v in enumerate(want):
+                    expand(v, f"{path}[{i}]")
+            else:
+                conditions.append(_sure(V.json_of(found) == V.canonical(want)) if path else _sure(F.col("value_json") == V.canonical(want)))
+
+        expand(pattern, "")
+        return and_(*conditions)
+
+    if not isinstance(pattern, (dict, list)):
+        return fits(F.lit(None))
+    return V.let(F.try_parse_json("value_json"), fits)
 
 
 #: What a storage level would have to support; here all of it runs natively.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from ..schema import as_claims
 
 #: The evaluation clock of the registered queries: 2024-01-11, 19:06:40 UTC.
@@ -49,8 +50,9 @@ def events_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per event; the value is an object (amount, k, v, won)."""
     rows = _events(spark, sf_dir)
     k = F.col("k")
-    won = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
-    value = F.to_json(F.struct(F.col("value").alias("amount"), k.alias("k"), (k % 4).alias("v"), won.alias("won")), {"ignoreNullFields": "false"})
+    won = lambda k: F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+    fields = lambda k: F.struct(F.col("value").alias("amount"), k.alias("k"), (k % 4).alias("v"), won(k).alias("won"))
+    value = F.to_json(let(k, fields), {"ignoreNullFields": "false"})  # filters put k's own expression wherever it is named
     scope = F.when(k % 2 == 0, F.create_map(F.lit("entityId"), F.concat(F.lit("user-"), F.col("user_id").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
     return as_claims(rows.select(*(c.alias(n) for n, c in _fields(k).items()), scope.alias("scope"), value.alias("value_json")), "events")
 

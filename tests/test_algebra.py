@@ -271,3 +271,11 @@ def test_scores_read_a_text_once(spark):
     """A floor on the score is pushed to the scan; there it must name the text's tokens once, and parse no JSON."""
     plan = _plan(QUERIES["relevance_floor"](spark, "/root/testdata/sf0.001"))
     assert plan.count("split(") == 1 and "parseJson" not in plan
+
+
+def test_value_predicates_parse_a_value_once(spark):
+    """Each predicate on a value parses it once (and the view makes its JSON once for that), however often it names it."""
+    rows = events_claims(spark, "/root/testdata/sf0.001")
+    for p in (P.value_gt("k", 50), P.value_in("v", [1, 3]), P.value_eq("v", 2), P.value_matches({"v": 2, "won": True})):
+        plan = _plan(P.sigma(rows, p).select("recorded_seq"))
+        assert plan.count("parseJson") == 2 and plan.count("get_json_object") == 1
